@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+_own_dirs: dict[str, str | None] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the cluster's, or an own one where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="codicil-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own_dirs.setdefault(app, None) or tempfile.mkdtemp(prefix="codicil-")
+        _own_dirs[app] = root
     return root.rstrip("/")
 
 

@@ -1,8 +1,12 @@
-"""Text expressions. All are JVM-side columns; none needs a shuffle."""
+"""Text expressions. All are JVM-side columns; none needs a shuffle.
+
+Where a function takes a token array that a lambda reads, pass a plain column,
+not a nested expression: Spark evaluates a lambda's body once per element.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -50,35 +54,51 @@ def shingles(toks: Column, width: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def trigrams(name: Column | str) -> Column:
+def with_trigrams(df: DataFrame, name: str, out: str = "grams") -> DataFrame:
     """Distinct character trigrams of the padded, lower-cased name."""
-    padded = F.concat(F.lit("  "), squash(F.lower(col_of(name))), F.lit(" "))
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length(padded) - 2),
-            lambda i: padded.substr(i, F.lit(3)),
+    padded = F.concat(F.lit("  "), squash(F.lower(F.col(name))), F.lit(" "))
+    at = F.col("__padded")
+    return (
+        df.withColumn("__padded", padded)
+        .withColumn(
+            out,
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.length(at) - 2), lambda i: at.substr(i, F.lit(3)))
+            ),
         )
+        .drop("__padded")
     )
 
 
-def term_counts(toks: Column) -> Column:
-    """``array<struct<term,tf>>`` of a token array, counted inside the row.
+def with_term_counts(df: DataFrame, toks: str = "toks", out: str = "counts") -> DataFrame:
+    """Add ``array<struct<term,tf>>`` of a token array, counted inside the row.
 
     The array is sorted once and cut at the places where the value changes, so
-    the cost is n log n per text and no row leaves its task.
+    the cost is n log n per text and no row leaves its task. The steps are
+    columns of their own because a lambda re-evaluates any expression it holds.
     """
-    run = F.array_sort(toks)
+    run, starts = F.col("__run"), F.col("__starts")
     n = F.size(run)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: (n > 0) & ((i == 0) | (F.get(run, i) != F.get(run, i - 1))),
-    )
-    return F.transform(
-        starts,
-        lambda s, i: F.struct(
-            F.get(run, s).alias("term"),
-            (F.coalesce(F.get(starts, i + 1), n) - s).cast("bigint").alias("tf"),
-        ),
+    return (
+        df.withColumn("__run", F.array_sort(F.col(toks)))
+        .withColumn(
+            "__starts",
+            F.filter(
+                F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                lambda i: (n > 0) & ((i == 0) | (F.get(run, i) != F.get(run, i - 1))),
+            ),
+        )
+        .withColumn(
+            out,
+            F.transform(
+                starts,
+                lambda s, i: F.struct(
+                    F.get(run, s).alias("term"),
+                    (F.coalesce(F.get(starts, i + 1), n) - s).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+        .drop("__run", "__starts")
     )
 
 
