@@ -1,3 +1,315 @@
-from pyspark.sql import Window, functions as F
-def close_intervals(v):
-    return v.withColumn("effective_to", F.lead("effective_from").over(Window.partitionBy("act","section_no").orderBy("version")))
+"""Ingestion transforms (I-01 .. I-10, I-14, I-15).
+
+Documents are one row each, so sections, chunks and paragraphs are cut with
+array expressions inside the row: these steps are maps and move no data.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from codicil.functions.relational import small_side
+from codicil.functions.text import lines_of, squash, tokens, with_trigrams
+
+# Mark-up removed with its content, block ends that become line
+# breaks, and character entities (the ampersand last).
+DROPPED = ("script", "style", "nav", "footer", "head")
+BREAKS = r"(?i)<br\s*/?>|</p>|</h[1-6]>|</li>|</div>|</tr>"
+ENTITIES = (
+    ("&nbsp;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+)
+
+Rules = dict[str, list[tuple[str, str]]]
+
+
+def clean_html(html: Column) -> Column:
+    """Text of a page: dropped blocks, tags and comments out, entities decoded, blank lines folded."""
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    for tag in DROPPED:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^>]+>", "")
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"\s*\n\s*", "\n")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def normalize_html(df: DataFrame, rules: Rules | None = None, column: str = "html") -> DataFrame:
+    """I-01. Add ``text``: cleaned mark-up, then the jurisdiction's own replacements."""
+    df = df.withColumn("text", clean_html(F.col(column)))
+    for place, steps in (rules or {}).items():
+        for pattern, with_text in steps:
+            df = df.withColumn(
+                "text",
+                F.when(F.col("jurisdiction") == place, F.regexp_replace("text", pattern, with_text)).otherwise(
+                    F.col("text")
+                ),
+            )
+    return df
+
+
+# --- section tree ---------------------------------------------------------
+
+# Header patterns per jurisdiction ("*" is the default), each with
+# the number in group 1. Explicit classes only.
+SECTION = {"*": r"^(?:Section|Sec\.|s) ([0-9]+[A-Z]?)\b", "de": r"^§ ([0-9]+[a-z]?)\b"}
+SUBSECTION = {"*": r"^\(([0-9]+[a-z]?)\)"}
+PROVISO = r"^(Provided that|Provided, however|Except that)\b"
+DEFINITION = r'"([^"]+)" (?:means|bedeutet|includes)\b'
+
+
+def by_place(patterns: dict[str, str], use: Callable[[str], Column]) -> Column:
+    """The expression of the row's jurisdiction, else the default one."""
+    chosen = use(patterns["*"])
+    for place, pattern in patterns.items():
+        if place != "*":
+            chosen = F.when(F.col("jurisdiction") == place, use(pattern)).otherwise(chosen)
+    return chosen
+
+
+def cut_lines(df: DataFrame, column: str, marks: dict[str, str], out: str) -> DataFrame:
+    """One row per block of lines; a block starts at a marked line or at the top.
+
+    Adds ``out`` (array of lines) and ``<out>_pos`` (line the block starts at).
+    """
+    lines, at = F.col(column), F.col("__at")
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(lines) - 1),
+        lambda i: (i == 0) | by_place(marks, lambda p: F.get(lines, i).rlike(p)),
+    )
+    blocks = F.transform(
+        at,
+        lambda s, k: F.struct(
+            s.alias("pos"),
+            F.slice(lines, s + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - s).alias("block"),
+        ),
+    )
+    return (
+        df.withColumn("__at", starts)
+        .withColumn("__blocks", blocks)
+        .drop("__at")
+        .withColumn("__b", F.explode_outer("__blocks"))
+        .withColumn(out, F.col("__b.block"))
+        .withColumn(f"{out}_pos", F.col("__b.pos"))
+        .drop("__b", "__blocks")
+    )
+
+
+def detect_sections(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """I-02. Section tree of each document, top to bottom, heading carried to its subsections.
+
+    Rows: key, jurisdiction, act, section_no, sub_no, section_path, parent_no,
+    level, kind, heading, text, first_line. Text before the first header has
+    level 0.
+    """
+    base = docs.select(key, "jurisdiction", "act", lines_of("text").alias("__lines"))
+    whole = cut_lines(base, "__lines", SECTION, "sec").drop("__lines")
+    first = F.get("sec", F.lit(0))
+    whole = whole.withColumn("section_no", by_place(SECTION, lambda p: F.nullif(F.regexp_extract(first, p, 1), F.lit(""))))
+    whole = whole.withColumn("heading", F.when(F.col("section_no").isNotNull(), first))
+    parts = cut_lines(whole, "sec", SUBSECTION, "sub").drop("sec")
+    head = F.get("sub", F.lit(0))
+    parts = parts.withColumn("sub_no", F.nullif(F.regexp_extract(head, SUBSECTION["*"], 1), F.lit("")))
+    level = F.when(F.col("sub_no").isNotNull(), 2).when(F.col("section_no").isNotNull(), 1).otherwise(0)
+    kind = (
+        F.when(F.exists("sub", lambda x: x.rlike(PROVISO)), "proviso")
+        .when(F.exists("sub", lambda x: x.rlike(DEFINITION)), "definition")
+        .when(F.col("level") == 2, "subsection")
+        .when(F.col("level") == 1, "section")
+        .otherwise("preamble")
+    )
+    return (
+        parts.withColumn("level", level)
+        .withColumn("kind", kind)
+        .select(
+            key,
+            "jurisdiction",
+            "act",
+            "section_no",
+            "sub_no",
+            F.array_compact(F.array("section_no", "sub_no")).alias("section_path"),
+            F.when(F.col("level") == 2, F.col("section_no")).alias("parent_no"),
+            "level",
+            "kind",
+            "heading",
+            F.array_join("sub", "\n").alias("text"),
+            (F.col("sec_pos") + F.col("sub_pos")).alias("first_line"),
+        )
+    )
+
+
+def defined_terms(docs: DataFrame) -> DataFrame:
+    """I-03. Distinct defined terms per jurisdiction and Act."""
+    return (
+        docs.select(
+            "jurisdiction",
+            "act",
+            F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(DEFINITION), F.lit(1)))).alias("term"),
+        )
+        .where(F.col("term").isNotNull())
+        .distinct()
+    )
+
+
+def chunk_sections(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """I-04. One chunk per section or subsection, never across sections."""
+    return detect_sections(docs, key).withColumn("tokens", F.size(tokens("text"))).withColumn(
+        "piece_id", F.concat_ws(":", F.col(key).cast("string"), F.col("first_line").cast("string"))
+    )
+
+
+def parent_context() -> Column:
+    return F.concat_ws(
+        " | ", "act", F.concat(F.lit("s "), F.array_join("section_path", ".")), F.col("heading")
+    )
+
+
+def with_parent_context(chunks: DataFrame) -> DataFrame:
+    """I-05. Put Act, section number and heading before the text.
+
+    The heading already travels with each subsection, so no join is needed.
+    """
+    return chunks.withColumn("text", F.concat_ws("\n", parent_context(), "text"))
+
+
+def chunk_cases(pages: DataFrame) -> DataFrame:
+    """I-06. One chunk per paragraph, with the case's headnote attached.
+
+    The headnote is the page's first heading; ``text`` is normalized (I-01).
+    """
+    head = clean_html(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    cut = pages.select("page_id", "jurisdiction", head.alias("headnote"), F.posexplode_outer(lines_of("text")).alias("para_no", "text"))
+    return cut.where((F.col("text") != "") & (F.col("text") != F.col("headnote")))
+
+
+# --- versions -------------------------------------------------------------
+
+def version_diff(prev: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """I-08. Change per key between two snapshots, with its note.
+
+    Texts are hashed before the join, so the shuffle carries keys and digests.
+    """
+    def digest(df: DataFrame, side: str) -> DataFrame:
+        extra = [F.col("effective_from"), F.col("as_at")] if side == "new" else []
+        return df.select(*key, F.md5(squash("text")).alias(f"{side}_hash"), *extra)
+
+    both = digest(prev, "prev").join(digest(new, "new"), key, "full_outer")
+    change = (
+        F.when(F.col("prev_hash").isNull(), "added")
+        .when(F.col("new_hash").isNull(), "removed")
+        .when(F.col("prev_hash") != F.col("new_hash"), "amended")
+        .otherwise("unchanged")
+    )
+    place = F.concat(F.lit("s "), F.col("section_no"), F.lit(" of "), F.col("act"))
+    return both.withColumn("change", change).select(
+        *key,
+        "change",
+        F.when(F.col("change").isin("amended", "removed"), F.concat(F.col("change"), F.lit(": "), place)).alias(
+            "amendment_note"
+        ),
+        F.when(
+            F.col("effective_from") > F.col("as_at"),
+            F.concat(F.lit("commences on "), F.col("effective_from").cast("string")),
+        ).alias("commencement_note"),
+    )
+
+
+SECTION_KEY = ["act", "section_no"]
+
+
+def close_intervals(versions: DataFrame) -> DataFrame:
+    """I-10. Close each version's validity at the next version's start.
+
+    Works on the narrow version table (no texts); a section's group holds one
+    row per version.
+    """
+    w = Window.partitionBy(*SECTION_KEY).orderBy("version")
+    return versions.withColumn("effective_to", F.lead("effective_from").over(w))
+
+
+def in_force_at(d: dt.date | Column) -> Column:
+    d = d if isinstance(d, Column) else F.lit(d)
+    return (F.col("effective_from") <= d) & (F.col("effective_to").isNull() | (d < F.col("effective_to")))
+
+
+def stamp(versions: DataFrame, as_at: dt.date) -> DataFrame:
+    """I-09. Stamp as-at date and in-force flag on closed versions."""
+    return close_intervals(versions).withColumns(
+        {"as_at": F.lit(as_at), "in_force": in_force_at(as_at) & (F.col("status") == "in_force")}
+    )
+
+
+def as_of(versions: DataFrame, d: dt.date) -> DataFrame:
+    """I-10. The version of each section that is valid on ``d``.
+
+    Predicates reach the scan, then the latest started version is kept with a
+    partial aggregate; rows of one section never gather.
+    """
+    facts = [c for c in versions.columns if c not in (*SECTION_KEY, "version", "effective_from")]
+    started = versions.where(F.col("effective_from") <= F.lit(d))
+    latest = started.groupBy(*SECTION_KEY).agg(
+        F.max(F.struct("effective_from", "version", *facts)).alias("v")
+    )
+    return latest.select(*SECTION_KEY, "v.*")
+
+
+# --- names and authority --------------------------------------------------
+
+def trigram_match(names: DataFrame, aliases: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """I-14. Pairs (name, alias) whose trigram sets have Jaccard similarity >= ``threshold``.
+
+    Copies are folded first. Grams are ordered from rare to frequent and only
+    each set's prefix is joined: two sets that similar must share a prefix gram,
+    so the result is exact while frequent grams hardly ever meet.
+    """
+    left = with_trigrams(names.select("name").distinct(), "name")
+    right = with_trigrams(aliases.select("alias").distinct(), "alias")
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
+
+    freq = (
+        grams(left, "name").select("gram").unionAll(grams(right, "alias").select("gram")).groupBy("gram").count()
+    )
+
+    def prefix(df: DataFrame, key: str) -> DataFrame:
+        ordered = (
+            grams(df, key)
+            .join(small_side(freq), "gram")
+            .groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
+        )
+        n = F.size("g")
+        reach = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+        return ordered.select(key, F.explode_outer(F.slice(F.col("g"), F.lit(1), reach)).alias("p")).select(
+            key, F.col("p.gram").alias("gram")
+        )
+
+    pairs = prefix(left, "name").join(prefix(right, "alias"), "gram").select("name", "alias").distinct()
+    scored = with_trigrams(with_trigrams(pairs, "name", "a"), "alias", "b")
+    same = F.size(F.array_intersect("a", "b"))
+    sim = same / (F.size("a") + F.size("b") - same)
+    return scored.where(sim >= threshold).select("name", "alias", F.round(sim, 6).alias("similarity"))
+
+
+def with_authority(cases: DataFrame, treatment: DataFrame) -> DataFrame:
+    """I-15. Attach court, authority level and treatment from a curated table."""
+    return cases.join(small_side(treatment), "case_id", "left").withColumns(
+        {
+            "authority_level": F.coalesce("authority_level", F.lit(0)),
+            "treatment": F.coalesce("treatment", F.lit("unknown")),
+        }
+    )

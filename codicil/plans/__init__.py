@@ -1,6 +1,7 @@
 """Registered queries; importing this package fills the registry."""
 
 from codicil.plans import retrieval_queries  # noqa: F401
+from codicil.plans import corpus_queries  # noqa: F401
 from codicil.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
