@@ -26,14 +26,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back, in directories of ``by`` if given.
 
     Cuts lineage in a way that survives lost executors, and gives the optimizer
     true sizes for the joins that follow.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +48,23 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if within else df
 
 
+def join_hot(
+    big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", salts: int = 32
+) -> DataFrame:
+    """Join on keys of which some may hold much of ``big``.
+
+    The small side is broadcast if it is counted to be small. If not, each key is
+    split into ``salts`` parts by a hash of ``spread_by`` and the small side is
+    repeated per part, so no task gets a whole hot key. Both ways are exact.
+    """
+    hinted = small_side(small)
+    if hinted is not small:
+        return big.join(hinted, keys, how)
+    part = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("__salt", part).join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. Spark prunes to ``k`` per task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import small_side
+from codicil.functions.relational import join_hot, small_side, stage
 from codicil.functions.text import shingles, tokens
 
 
@@ -21,9 +21,9 @@ def ratio(part: Column, whole: Column) -> Column:
 def passage_qrels(docs: DataFrame, passages: DataFrame, width: int = 5) -> DataFrame:
     """Relevant pairs: the document's token run contains the passage's token run.
 
-    Each passage is anchored by its first ``width`` tokens (all, if shorter); the
-    documents' shingles meet the anchors in an equi-join, and the whole passage
-    is checked on the pairs that meet, so no cross product is formed.
+    Each passage is anchored by its first ``width`` tokens (all, if shorter). The
+    documents' shingles, without the texts, meet the anchors in an equi-join; the
+    whole passage is then checked in the documents of the pairs that met.
     """
     asked = (
         passages.select("query_id", tokens("text").alias("p_toks"))
@@ -33,16 +33,21 @@ def passage_qrels(docs: DataFrame, passages: DataFrame, width: int = 5) -> DataF
         .withColumn("needle", F.concat(F.lit(" "), F.array_join("p_toks", " "), F.lit(" ")))
     )
     held = docs.select("chunk_id", tokens("text").alias("toks"))
-    pairs = None
-    for w in sorted(r[0] for r in asked.select("w").distinct().collect()):
-        part = held.withColumn("anchor", F.explode_outer(F.array_distinct(shingles(F.col("toks"), w)))).join(
-            small_side(asked.where(F.col("w") == w)), "anchor"
-        )
-        pairs = part if pairs is None else pairs.unionByName(part)
-    if pairs is None:
-        return docs.select("chunk_id").limit(0).select(F.lit(0).cast("bigint").alias("query_id"), "chunk_id")
+    widths = sorted(r[0] for r in asked.select("w").distinct().collect())
+    runs = F.flatten(F.array(*[shingles(F.col("toks"), w) for w in widths or [width]]))
+    met = held.select("chunk_id", F.explode_outer(F.array_distinct(runs)).alias("anchor"))
+    anchors = asked.select("query_id", "anchor")
+    pairs = stage(
+        join_hot(met.where(F.col("anchor").isNotNull()), anchors, ["anchor"], "chunk_id").select("query_id", "chunk_id"),
+        "anchored",
+    )
     hay = F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" "))
-    return pairs.where(F.contains(hay, F.col("needle"))).select("query_id", "chunk_id")
+    return (
+        held.join(small_side(pairs), "chunk_id")
+        .join(small_side(asked.select("query_id", "needle")), "query_id")
+        .where(F.contains(hay, F.col("needle")))
+        .select("query_id", "chunk_id")
+    )
 
 
 def judged(qrels: DataFrame, run: DataFrame) -> DataFrame:

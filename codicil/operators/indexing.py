@@ -99,7 +99,7 @@ def drop_stopwords(terms: DataFrame, stop: DataFrame) -> DataFrame:
 def frequent_terms(terms: DataFrame, stats: DataFrame, share: float) -> DataFrame:
     """Stop-word candidates: terms held by at least ``share`` of a jurisdiction's chunks."""
     return (
-        terms.join(small_side(stats), "jurisdiction")
+        terms.join(F.broadcast(stats), "jurisdiction")  # one row per jurisdiction
         .where(F.col("df") >= share * F.col("n"))
         .select("jurisdiction", "term")
     )

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import best_first, small_side, stage, top_k
+from codicil.functions.relational import best_first, join_hot, small_side, stage, top_k
 from codicil.functions.text import bigrams, share_in, tokens
 from codicil.operators.indexing import TextIndex, chunk_counts, embed
 
@@ -71,11 +71,11 @@ def _bm25_score(
     damp = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     weighted = (
         wanted.join(df, ["jurisdiction", "term"])
-        .join(small_side(stats), "jurisdiction")
+        .join(F.broadcast(stats), "jurisdiction")  # one row per jurisdiction
         .select("query_id", "jurisdiction", "term", "avgdl", idf.alias("idf"))
     )
     scored = (
-        hits.join(weighted, ["jurisdiction", "term"])
+        join_hot(hits, stage(weighted, "weights"), ["jurisdiction", "term"], "chunk_id")
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / damp), 6).alias("score"))
     )
@@ -102,7 +102,7 @@ def bm25(
         F.inline_outer(F.concat(F.array(F.struct(marker.alias("term"), F.lit(0).cast("bigint").alias("tf"))), "counts")),
     )
     hits = stage(
-        posted.join(small_side(vocab), ["jurisdiction", "term"], "left")
+        join_hot(posted, vocab, ["jurisdiction", "term"], "chunk_id", "left")
         .where(F.col("asked") | (F.col("tf") == 0))
         .drop("asked"),
         "postings",
@@ -125,7 +125,7 @@ def bm25_from_index(
         asked = [r[0] for r in wanted.select(mine).distinct().collect()]
         postings = postings.where(F.col("term_bucket").isin(*asked)).drop("term_bucket")
         terms = terms.where(F.col("term_bucket").isin(*asked)).drop("term_bucket")
-    return _bm25_score(postings, small_side(wanted), terms, index.stats, k, k1, b)
+    return _bm25_score(postings, wanted, terms, index.stats, k, k1, b)
 
 
 # --- dense leg ------------------------------------------------------------
@@ -155,14 +155,18 @@ class _Shortlist:
     def __init__(self, k: int):
         self.k, self.held = k, {}
 
-    def add(self, qids: np.ndarray, qvecs: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+    def add(self, qids: np.ndarray, qvecs: np.ndarray, ids: np.ndarray, vecs: np.ndarray, block: int = 256) -> None:
+        for at in range(0, len(qids), block):
+            self._add(qids[at : at + block], qvecs[at : at + block], ids, vecs)
+
+    def _add(self, qids: np.ndarray, qvecs: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
         sims = np.round(qvecs @ vecs.T, 6) + 0.0
         for row, q in enumerate(qids):
             new_ids, new_sims = _best_of(sims[row], ids, self.k)
             if q in self.held:
                 old_ids, old_sims = self.held[q]
                 new_ids, new_sims = np.concatenate([old_ids, new_ids]), np.concatenate([old_sims, new_sims])
-                new_ids, new_sims = _best_of(new_sims, new_ids, self.k)[0:2]
+                new_ids, new_sims = _best_of(new_sims, new_ids, self.k)
             self.held[q] = (new_ids, new_sims)
 
     def frame(self) -> pd.DataFrame:
@@ -405,8 +409,9 @@ def retrieve(
     ``chunks`` must already be scoped (R-01). Ranked lists are staged, at most
     ``k`` rows per query, so each leg reads the corpus once.
     """
-    sparse = bm25(chunks, queries, k)
-    dense = dense_exact(embed(chunks.select("chunk_id", "jurisdiction", "text")), embed(queries), k)
+    sparse = stage(bm25(chunks, queries, k), "sparse")
+    vectors = embed(chunks.select("chunk_id", "jurisdiction", "text"))
+    dense = stage(dense_exact(vectors, embed(queries), k), "dense")
     if modes:
         dense = lexical_only(dense, queries, modes)
     fused = rrf([sparse, dense])

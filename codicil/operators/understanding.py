@@ -68,11 +68,12 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, max_n: int = 5) -> D
     ``synonyms`` is (jurisdiction, alias, expansions); the dictionary is broadcast
     if small, and a question's variants are gathered per question only.
     """
-    base = queries.select("query_id", "jurisdiction", "text", tokens("text").alias("toks"))
+    base = queries.select("query_id", "jurisdiction", tokens("text").alias("toks"))
     met = (
-        base.withColumn("alias", F.explode_outer(F.array_distinct("toks")))
+        base.select("query_id", "jurisdiction", F.explode_outer(F.array_distinct("toks")).alias("alias"))
         .join(small_side(synonyms.select("jurisdiction", "alias", "expansions")), ["jurisdiction", "alias"])
-        .withColumn("expansion", F.explode("expansions"))
+        .select("query_id", "alias", F.explode("expansions").alias("expansion"))
+        .join(base, "query_id")
     )
     swapped = F.array_join(
         F.transform("toks", lambda t: F.when(t == F.col("alias"), F.col("expansion")).otherwise(t)), " "
@@ -158,6 +159,7 @@ def cache_hits(requests: DataFrame, ttl_hours: int = 24) -> DataFrame:
         .agg(F.count("*").alias("requests"))
         .withColumn("span", F.floor(F.col("us") / span)),
         "requests",
+        by="span",
     )
     spans = [r[0] for r in per.select("span").distinct().orderBy("span").collect()]
     spark = per.sparkSession

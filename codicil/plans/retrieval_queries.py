@@ -267,9 +267,9 @@ BOOSTED = """boosted AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTIT
                              body="SELECT query_id, chunk_id, score, rank FROM boosted"))
 def boosted(spark, sf):
     chunks = scoped_chunks(spark, sf)
-    cands = rt.bm25(chunks, questions(spark, sf))
+    cands = stage(rt.bm25(chunks, questions(spark, sf)), "cands")
     facts = chunks.select("chunk_id", "act", "section_no", "authority_level", "doc_type")
-    return rt.boost(cands.join(facts, "chunk_id"), soft_boosts()).select("query_id", "chunk_id", "score", "rank")
+    return rt.boost(facts.join(cands, "chunk_id"), soft_boosts()).select("query_id", "chunk_id", "score", "rank")
 
 
 @register("r07_rerank", with_(LV, Q_OPEN, CHUNKS_OPEN, BM25.strip(), rerank_sql("bm25"), body="SELECT * FROM excerpts"))
