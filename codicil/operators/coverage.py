@@ -53,9 +53,8 @@ def missing_parts(parts: DataFrame, excerpts: DataFrame, share: float = 0.5) ->
     seen = (
         asked.join(held, "query_id", "left")
         .select("query_id", "part_no", "terms", met.alias("met"))
-        .groupBy("query_id", "part_no")
+        .groupBy("query_id", "part_no", "terms")
         .agg(
-            F.first("terms").alias("terms"),
             F.round(F.max(F.size("met") / F.size("terms")), 6).alias("support"),
             F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"),
         )

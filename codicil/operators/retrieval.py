@@ -330,20 +330,21 @@ def rerank(
     """R-07, R-13. Rescore the first ``take`` candidates and number the best ``keep``.
 
     At most ``take`` rows per query meet the chunk texts, so the candidate side
-    is the small one and the corpus is scanned in place. ``scorer`` is any column
-    over the prepared token columns, a pandas UDF included.
+    is the small one and the corpus is scanned in place; a chunk that many
+    queries picked is tokenized once. ``scorer`` is any column over the prepared
+    token columns, a pandas UDF included.
     """
     if not 8 <= keep <= 12:
         raise ValueError("keep must be within 8..12")
     asked = queries.select("query_id", tokens("text").alias("q_toks")).withColumn("q_grams", bigrams(F.col("q_toks")))
     picked = cands.where(F.col("rank") <= take).select("query_id", "chunk_id", F.col("rank").alias("fused_rank"))
-    texts = chunks.select("chunk_id", "text", "heading")
-    paired = (
-        texts.join(small_side(picked), "chunk_id")
-        .select("query_id", "chunk_id", "fused_rank", tokens("text").alias("c_toks"), tokens("heading").alias("h_toks"))
+    wanted = small_side(picked.select("chunk_id").distinct())
+    words = (
+        chunks.join(wanted, "chunk_id", "left_semi")
+        .select("chunk_id", tokens("text").alias("c_toks"), tokens("heading").alias("h_toks"))
         .withColumn("c_grams", bigrams(F.col("c_toks")))
-        .join(small_side(asked), "query_id")
     )
+    paired = words.join(small_side(picked), "chunk_id").join(small_side(asked), "query_id")
     scored = paired.withColumn("score", lexical_relevance() if scorer is None else scorer)
     order = [F.col("score").desc(), F.col("fused_rank").asc(), F.col("chunk_id").asc()]
     return top_k(scored.select("query_id", "chunk_id", "fused_rank", "score"), ["query_id"], order, keep, "excerpt_no")

@@ -87,8 +87,8 @@ def section_realism(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
 
     ok = paired.select(*CLAIM, "refs", F.filter("refs", held).alias("ok"))
     return (
-        ok.groupBy(*CLAIM)
-        .agg(F.first("refs").alias("refs"), F.array_distinct(F.flatten(F.collect_list("ok"))).alias("ok"))
+        ok.groupBy(*CLAIM, "refs")
+        .agg(F.array_distinct(F.flatten(F.collect_list("ok"))).alias("ok"))
         .select(*CLAIM, F.explode_outer(F.array_except("refs", "ok")).alias("ref"))
         .where(F.col("ref").isNotNull())
     )
@@ -130,10 +130,12 @@ def entail(claims: DataFrame, excerpts: DataFrame, scorer: Column | None = None)
     )
     verdict = lexical_support() if scorer is None else scorer
     order = F.when(F.col("v") == "entailed", 2).when(F.col("v") == "not_entailed", 1).otherwise(0)
+    best = F.when(F.col("best") == 2, "entailed").when(F.col("best") == 1, "not_entailed").otherwise("not_found")
     return (
         paired.withColumn("v", verdict)
-        .groupBy(*CLAIM)
-        .agg(F.first("claim").alias("claim"), F.first("cited").alias("cited"), F.max(F.struct(order, "v"))["v"].alias("verdict"))
+        .groupBy(*CLAIM, "claim", "cited")
+        .agg(F.max(order).alias("best"))
+        .select(*CLAIM, "claim", "cited", best.alias("verdict"))
     )
 
 
@@ -203,8 +205,8 @@ def demote_controlling(claims: DataFrame, excerpts: DataFrame, rules: DataFrame)
     backed = (
         evidence(claims, excerpts.select("query_id", "n", "act"))
         .join(small_side(rules.select("act").distinct().withColumn("ruled", F.lit(True))), "act", "left")
-        .groupBy(*CLAIM)
-        .agg(F.first("claim").alias("claim"), F.bool_or(F.coalesce("ruled", F.lit(False))).alias("backed"))
+        .groupBy(*CLAIM, "claim")
+        .agg(F.bool_or(F.coalesce("ruled", F.lit(False))).alias("backed"))
     )
     claims_it = F.col("claim").rlike(CONTROLLING)
     return backed.select(
