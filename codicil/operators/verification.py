@@ -14,7 +14,7 @@ from codicil.functions.relational import small_side
 from codicil.functions.text import squash, tokens
 
 CITE = r"\[([0-9]+)\]"
-REF = r"(?:^|[^\p{L}\p{N}])(?:s|ss|sec|section|art|§) ?([0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*)"
+REF = r"(?:^|[^\p{L}\p{N}])(?i:s|ss|sec|section|art|article|§) ?([0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*)"
 NUMBERED = r"(?:^|[^\p{L}\p{N}])([0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*)"
 
 # Words that negate a statement.

@@ -27,7 +27,7 @@ def read_raw(
 
 def read_raw_text(spark: SparkSession, path: str) -> DataFrame:
     """S-01. Raw text or HTML files under ``jurisdiction=`` directories, one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         "jurisdiction", F.col("_metadata.file_path").alias("url"), F.col("value").alias("body")
     )
 
