@@ -13,9 +13,14 @@ _own_dirs: dict[str, str | None] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the cluster's, or an own one where none is named."""
+    """Shared folder for staged tables: the one ``spark.checkpoint.dir`` names.
+
+    Only a local session may go without; it gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
         root = _own_dirs.setdefault(app, None) or tempfile.mkdtemp(prefix="codicil-")
         _own_dirs[app] = root

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import small_side
+from codicil.functions.relational import small_side, stage
 from codicil.functions.text import tokens, with_term_counts
 
 DIM = 64
@@ -99,7 +99,7 @@ def drop_stopwords(terms: DataFrame, stop: DataFrame) -> DataFrame:
 def frequent_terms(terms: DataFrame, stats: DataFrame, share: float) -> DataFrame:
     """Stop-word candidates: terms held by at least ``share`` of a jurisdiction's chunks."""
     return (
-        terms.join(F.broadcast(stats), "jurisdiction")  # one row per jurisdiction
+        terms.join(small_side(stage(stats, "stats")), "jurisdiction")
         .where(F.col("df") >= share * F.col("n"))
         .select("jurisdiction", "term")
     )
@@ -157,19 +157,20 @@ def _typed(fn: Callable) -> Callable:
     return call
 
 
-def build_vector_index(chunks: DataFrame, cells: int = 16, seed: int = 7, sample: float = 1.0):
+def build_vector_index(chunks: DataFrame, cells: int = 16, seed: int = 7, train_rows: int = 500_000):
     """I-13. Assign each chunk a k-means cell; returns (index, centroids).
 
-    Only centroids are learned, from a sample if asked; every chunk is assigned.
+    Only the centroids are learned from about ``train_rows`` chunks, staged since
+    k-means reads them repeatedly; every chunk is assigned to a cell.
     ``centroids`` is a (cell, centroid) table of ``cells`` rows.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    featured = chunks.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    train = featured.select("features")
-    if sample < 1.0:
-        train = train.sample(sample, seed)
+    vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    featured = chunks.select("*", vector)
+    share = min(1.0, train_rows / max(1, chunks.count()))
+    train = stage(chunks.select("embedding").sample(share, seed), "train").select(vector)
     model = KMeans(k=cells, seed=seed, maxIter=5, predictionCol="cell").fit(train)
     index = model.transform(featured).drop("features")
     centroids = chunks.sparkSession.createDataFrame(

@@ -288,7 +288,7 @@ def trigram_match(names: DataFrame, aliases: DataFrame, threshold: float = 0.3)
     def prefix(df: DataFrame, key: str) -> DataFrame:
         ordered = (
             grams(df, key)
-            .join(small_side(freq), "gram")
+            .join(freq, "gram")
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
         )

@@ -71,7 +71,7 @@ def _bm25_score(
     damp = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     weighted = (
         wanted.join(df, ["jurisdiction", "term"])
-        .join(F.broadcast(stats), "jurisdiction")  # one row per jurisdiction
+        .join(stats, "jurisdiction")
         .select("query_id", "jurisdiction", "term", "avgdl", idf.alias("idf"))
     )
     scored = (
@@ -251,27 +251,13 @@ def dense_exact(chunks: DataFrame, queries: DataFrame, k: int = POOL) -> DataFra
 def dense_ann(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = POOL, probes: int = 4) -> DataFrame:
     """R-04. Approximate cosine: score only the ``probes`` cells nearest to the query.
 
-    Centroids are at most one row per cell, held in an array literal column.
-    Cells are scanned row-parallel, so a crowded cell is only more batches.
+    The cells are found by the exact search, over centroids. Cells are scanned
+    row-parallel, so a crowded cell is only more batches.
     """
-    cells = [(r["cell"], r["centroid"]) for r in centroids.collect()]
-    spots = F.array(
-        *[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(x) for x in v]).alias("v")) for c, v in cells]
-    )
-    vec = F.col("embedding").cast("array<double>")
-
-    def gap(s: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(F.col("__q"), s["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y
-        )
-
-    probed = (
-        queries.withColumn("__q", vec)
-        .withColumn("__near", F.array_sort(F.transform(spots, lambda s: F.struct(gap(s), s["cell"].alias("cell")))))
-        .withColumn("cell", F.explode_outer(F.slice(F.col("__near")["cell"], 1, probes)))
-        .select("query_id", "cell", "embedding")
-    )
-    return nearest(index, probed, "cell", k)
+    spots = centroids.select(F.lit("*").alias("any"), F.col("cell").cast("bigint").alias("chunk_id"), F.col("centroid").alias("embedding"))
+    asked = queries.withColumn("any", F.lit("*"))
+    near = nearest(spots, asked, "any", probes).select("query_id", F.col("chunk_id").cast("int").alias("cell"))
+    return nearest(index, queries.select("query_id", "embedding").join(near, "query_id"), "cell", k)
 
 
 def overlap_recall(exact: DataFrame, found: DataFrame) -> DataFrame:

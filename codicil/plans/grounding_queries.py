@@ -238,9 +238,28 @@ def missing_parts(spark, sf):
     return cv.missing_parts(un.decompose(questions(spark, sf)), held)
 
 
-@register("g03_retrieve_rounds")
+def round_sql(n: int) -> str:
+    """Retrieval, rerank and coverage of round ``n``; the next round's questions follow from it."""
+    pool = rq.BM25[rq.BM25.index("qterms AS") :] + ",\n" + rq.rerank_sql("bm25")
+    for name in ("qterms", "bm25_all", "excerpts_t", "excerpts_g", "excerpts_s"):
+        pool = pool.replace(name, f"{name}{n}")
+    pool = pool.replace("bm25 AS", f"bm25{n} AS").replace("FROM bm25 f", f"FROM bm25{n} f").replace("excerpts AS", f"excerpts{n} AS")
+    pool = pool.replace("questions", f"open{n}")
+    state = f"""state{n} AS (SELECT q.query_id, q.jurisdiction, {n} AS round, e.best, coalesce(e.n, 0) AS excerpts, coalesce(e.best >= 0.5, false) AS covered
+   FROM open{n} q LEFT JOIN (SELECT query_id, max(score) AS best, count(*) AS n FROM excerpts{n} GROUP BY ALL) e USING (query_id))"""
+    if n == 3:
+        return f"{pool},\n{state}"
+    words, held = tok("q.text"), tok("c.text")
+    follow = f"""lack{n} AS (SELECT q.query_id, q.jurisdiction, q.text, list_filter(list_distinct({words}), lambda t: NOT list_contains(coalesce({held}, []), t)) AS lack, {words} AS w
+   FROM open{n} q JOIN state{n} s USING (query_id) LEFT JOIN excerpts{n} e ON e.query_id = q.query_id AND e.excerpt_no = 1 LEFT JOIN chunks c ON c.chunk_id = e.chunk_id WHERE NOT s.covered),
+open{n + 1} AS (SELECT query_id, jurisdiction, CASE WHEN len(lack) > 0 THEN array_to_string(list_filter(w, lambda t, i: list_contains(lack, t) AND list_position(w, t) = i), ' ') ELSE text END AS text FROM lack{n})"""
+    return f"{pool},\n{state},\n{follow}"
+
+
+@register("g03_retrieve_rounds", with_(LV, rq.Q_SCOPED.replace("questions AS", "open1 AS"), rq.CHUNKS_SCOPED, rq.POSTINGS.strip(), round_sql(1), round_sql(2), round_sql(3),
+   body="SELECT * FROM state1 UNION ALL SELECT * FROM state2 UNION ALL SELECT * FROM state3"))
 def rounds(spark, sf):
-    return cv.retrieve_rounds(questions(spark, sf), rq.scoped_chunks(spark, sf), {"gb": 0.5, "de": 0.5, "ca": 0.5, "us": 0.5})
+    return cv.retrieve_rounds(questions(spark, sf), rq.scoped_chunks(spark, sf), {"gb": 0.5})
 
 
 PART_Q = "questions AS (SELECT query_id * 1000 + part_no AS query_id, 'all' AS jurisdiction, text FROM parts)"
@@ -272,11 +291,11 @@ def budget(spark, sf):
 
 
 @register("g06_step_log", with_("src AS (SELECT item_id AS query_id, text FROM benchmark)", parts_sql("src"), f"""rr AS (SELECT query_id, part_no + 1 AS round, len({tok('text')}) AS n_variants,
-   len(list_distinct({tok('text')})) AS found, len({tok('text')}) - len(list_distinct({tok('text')})) AS missing FROM parts WHERE part_no < 3)""",
+   len(list_distinct({tok('text')})) AS found, len({tok('text')}) - len(list_distinct({tok('text')})) AS missing FROM parts)""",
    body="""SELECT query_id, list('round ' || CAST(round AS VARCHAR) || ': searched ' || CAST(n_variants AS VARCHAR) || ' variants, found basis for ' || CAST(found AS VARCHAR)
      || ', still missing ' || CAST(missing AS VARCHAR) ORDER BY round) AS steps FROM rr GROUP BY query_id"""))
 def steps(spark, sf):
-    parts = un.decompose(questions(spark, sf)).where("part_no < 3")
+    parts = un.decompose(questions(spark, sf))
     t = tokens("text")
     return cv.step_log(
         parts.select("query_id", (F.col("part_no") + 1).alias("round"), F.size(t).alias("n_variants"), F.size(F.array_distinct(t)).alias("found"),

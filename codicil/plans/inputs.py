@@ -14,14 +14,13 @@ from codicil.functions.text import tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores if it comes in fewer files than there are cores.
+    """A driver table, spread over the cores if it comes in fewer splits than there are cores.
 
-    Filters and column pruning still reach the scan; a table of many files is
-    read in place.
+    Filters and column pruning still reach the scan; a large table is read in place.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # --- legal view -----------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codicil.functions.relational import small_side
 from codicil.schemas import RAW
@@ -85,4 +86,7 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("corpus_id")
         .agg(F.max("snapshot_id").alias("snapshot_id"))
     )
-    return spark.read.parquet(f"{root}/staging").join(small_side(pointers), ["corpus_id", "snapshot_id"], "left_semi")
+    found = spark.read.parquet(f"{root}/staging").schema
+    names = T.StructType([T.StructField(f.name, T.StringType() if f.name in pointers.columns else f.dataType) for f in found])
+    staged = spark.read.schema(names).parquet(f"{root}/staging")
+    return staged.join(small_side(pointers), ["corpus_id", "snapshot_id"], "left_semi")
