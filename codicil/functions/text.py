@@ -18,7 +18,7 @@ def col_of(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(col_of(text)), WORD_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(col_of(text)), WORD_BREAK), "")
 
 
 def squash(text: Column | str) -> Column:
@@ -80,7 +80,7 @@ def with_term_counts(df: DataFrame, toks: str = "toks", out: str = "counts") ->
     run, starts = F.col("__run"), F.col("__starts")
     n = F.size(run)
     return (
-        df.withColumn("__run", F.array_sort(F.col(toks)))
+        df.withColumn("__run", F.sort_array(F.col(toks)))
         .withColumn(
             "__starts",
             F.filter(

@@ -21,18 +21,34 @@ def micros(ts: str = "ts") -> Column:
 def breaches(events: DataFrame, key: str, window_sec: int, max_n: int) -> DataFrame:
     """O-01. Instants at which a key's count in ``(t - window, t]`` exceeds the limit.
 
-    Events are folded per instant and placed in slots one window long; a slot
-    also sees the slot before it. So a busy key is spread over its slots and the
-    counts stay exact.
+    Events are folded per instant and placed in slots one window long, so a busy
+    key is spread over its slots. A slot starts with the total of the slot before
+    it; each event of that slot leaves again one window after it came. The count
+    is then one running sum per slot, exact and linear in the events.
     """
     w = window_sec * MICROS
-    per = events.groupBy(F.col(key).alias("key"), micros().alias("us")).agg(F.count("*").alias("n"))
-    slot = F.floor(F.col("us") / w)
-    spread = per.withColumn("own", slot).withColumn("slot", F.explode(F.array(slot, slot + 1)))
-    frame = Window.partitionBy("key", "slot").orderBy("us").rangeBetween(-(w - 1), 0)
+    per = (
+        events.groupBy(F.col(key).alias("key"), micros().alias("us"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("slot", F.floor(F.col("us") / w))
+    )
+    no_event = F.lit(None).cast("bigint")
+
+    def move(slot: Column, us: Column, step: Column, n: Column) -> Column:
+        return F.struct(slot.alias("slot"), us.alias("us"), step.alias("step"), n.alias("n"))
+
+    n = F.col("n")
+    comes = move(F.col("slot"), F.col("us"), n, n)
+    leaves = move(F.col("slot") + 1, F.col("us") + w, -n, no_event)
+    moves = per.select("key", F.inline(F.array(comes, leaves)))
+    carried = per.groupBy("key", "slot").agg(F.sum("n").alias("step")).select(
+        "key", (F.col("slot") + 1).alias("slot"), ((F.col("slot") + 1) * w - 1).alias("us"), "step", no_event.alias("n")
+    )
+    running = Window.partitionBy("key", "slot").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
     return (
-        spread.withColumn("in_window", F.sum("n").over(frame))
-        .where((F.col("slot") == F.col("own")) & (F.col("in_window") > max_n))
+        moves.unionByName(carried)
+        .withColumn("in_window", F.sum("step").over(running))
+        .where(F.col("n").isNotNull() & (F.col("in_window") > max_n))
         .select("key", "us", "n", "in_window")
     )
 

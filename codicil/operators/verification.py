@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import small_side
+from codicil.functions.relational import join_hot, small_side
 from codicil.functions.text import squash, tokens
 
 CITE = r"\[([0-9]+)\]"
@@ -323,7 +323,7 @@ def review_documents(drafts: DataFrame, held: DataFrame) -> DataFrame:
     refs = refs.withColumn("section_no", F.regexp_extract("ref", r"^([0-9]+[A-Za-z]?)", 1))
     live = held.groupBy("act", "section_no").agg(F.bool_or(F.col("status") == "in_force").alias("live"))
     return (
-        refs.join(live, ["act", "section_no"], "left")
+        join_hot(refs, live, ["act", "section_no"], "doc_id", "left")
         .withColumn("finding", F.when(F.col("live").isNull(), "not_held").when(~F.col("live"), "not_in_force"))
         .where(F.col("finding").isNotNull())
         .select("doc_id", "act", "ref", "finding")

@@ -466,7 +466,7 @@ repair AS (SELECT query_id, CASE WHEN ok IS NOT NULL THEN 'accept' WHEN la = 1 T
 
 def statuses(spark, sf):
     answers, excerpts = drafts.answers(spark, sf), drafts.excerpts(spark, sf)
-    claims = vf.split_claims(answers)
+    claims = stage(vf.split_claims(answers), "claims")
     return vf.attempt_status(
         answers,
         vf.citation_realism(answers, excerpts).withColumn("reason", F.lit("citation")),

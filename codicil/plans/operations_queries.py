@@ -6,11 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import stage
+from codicil.functions.relational import fresh_path, stage
 from codicil.operators import evaluation as ev
 from codicil.operators import operations as op
 from codicil.operators import retrieval as rt
 from codicil.plans import corpus_queries as cq
+from codicil.plans import grounding_queries as gq
 from codicil.plans import retrieval_queries as rq
 from codicil.plans.inputs import LV, questions, table
 from codicil.plans.registry import register, with_
@@ -229,6 +230,23 @@ def session_stream(spark, sf):
     return ntz(mo.run_available(mo.session_stream(stream(spark, sf).select("ts", "user_id")), "session_stream"), "session_start")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@register("q07_cache_stream", gq.CACHE + "SELECT key, us, requests, misses FROM hits")
+def cache_stream(spark, sf):
+    folded = gq.requests(spark, sf).groupBy("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.count("*").alias("requests"))
+    path = fresh_path(spark, "folded")
+    folded.write.parquet(path)
+    former = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # arbitrary state needs it; put back once the stream is drained
+    try:
+        return mo.run_available(mo.cache_stream(mo.stream_table(spark, path, "key string, us bigint, requests bigint")), "cache")
+    finally:
+        spark.conf.set(PROVIDER, former)
+
+
 @register("o15_dedupe_traces", "SELECT DISTINCT event_id AS request_id FROM events")
 def dedupe(spark, sf):
     rows = stream(spark, sf).select(F.col("event_id").alias("request_id"), "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))

@@ -144,11 +144,15 @@ def index_stored(spark, sf):
     return index.stats.join(terms, "jurisdiction").select("jurisdiction", "n", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
 
 
-@register("i13_vector_cells")
+@register("i13_vector_cells", "SELECT vec_id AS chunk_id, CAST(1 AS BIGINT) AS cells, true AS known FROM embeddings")
 def vector_cells(spark, sf):
+    """Every chunk lies in exactly one cell that has a centroid; which one is learned."""
     chunks = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    index, _ = ix.build_vector_index(chunks)
-    return index.groupBy("cell").agg(F.count("*").alias("chunks"))
+    index, centroids = ix.build_vector_index(chunks)
+    known = centroids.select("cell", F.lit(True).alias("known"))
+    return index.join(known, "cell", "left").groupBy("chunk_id").agg(
+        F.count("cell").alias("cells"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known")
+    )
 
 
 @register(
@@ -240,6 +244,14 @@ def dense_ann(spark, sf):
     return rt.overlap_recall(rt.dense_exact(chunks, asked), rt.dense_ann(index, centroids, asked))
 
 
+@register("r04_dense_ann_all_cells", with_(LABEL_CENTROIDS, body="SELECT * FROM near"))
+def dense_ann_all(spark, sf):
+    """Probing every cell must give the exact neighbours."""
+    chunks, asked = vector_tables(spark, sf)
+    index, centroids = ix.build_vector_index(chunks)
+    return rt.dense_ann(index, centroids, stage(asked, "asked"), probes=16)
+
+
 @register("r05_rrf", with_(LV, Q_SCOPED, CHUNKS_SCOPED, BM25.strip(), DENSE, rrf_sql(["bm25", "dense"]), body="SELECT * FROM fused"))
 def rrf(spark, sf):
     chunks, asked = scoped_chunks(spark, sf), questions(spark, sf)

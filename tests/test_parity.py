@@ -29,7 +29,7 @@ def plain(v):
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"i13_vector_cells", "r04_dense_ann_recall"}
+    assert set(QUERIES) - set(ORACLES) == {"r04_dense_ann_recall"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
