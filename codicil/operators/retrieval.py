@@ -181,7 +181,15 @@ class _Shortlist:
         )
 
 
-RANKED = "query_id bigint, chunk_id bigint, score double"
+
+def _ids(column: pd.Series) -> np.ndarray:
+    """Ids as a plain array, numbers or texts, so that they can be ordered."""
+    return np.asarray(column.tolist())
+
+
+def _ranked_type(corpus: DataFrame, asked: DataFrame) -> str:
+    query, chunk = (df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (corpus, "chunk_id")))
+    return f"query_id {query}, chunk_id {chunk}, score double"
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
@@ -197,32 +205,33 @@ def nearest(chunks: DataFrame, queries: DataFrame, key: str, k: int) -> DataFram
     asked = queries.select(F.col(key).cast("string").alias("key"), "query_id", "embedding")
     rows = asked.limit(MAX_SHIPPED + 1).collect()
     if len(rows) <= MAX_SHIPPED:
-        partial = _nearest_shipped(corpus, rows, k)
+        partial = _nearest_shipped(corpus, rows, k, _ranked_type(corpus, asked))
     else:
         partial = _nearest_blocks(corpus, asked, k)
     return top_k(partial, ["query_id"], best_first(), k)
 
 
-def _nearest_shipped(corpus: DataFrame, rows: list, k: int) -> DataFrame:
+def _nearest_shipped(corpus: DataFrame, rows: list, k: int, shape: str) -> DataFrame:
     by_key: dict[str, tuple] = {}
     for name in {r["key"] for r in rows}:
         mine = [r for r in rows if r["key"] == name]
         by_key[name] = (np.array([r["query_id"] for r in mine]), _unit([r["embedding"] for r in mine]))
+    corpus = corpus.where(F.col("key").isin(*by_key))
     shipped = corpus.sparkSession.sparkContext.broadcast(by_key)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Shortlist(k)
         for pdf in batches:
             for name, part in pdf.groupby("key"):
-                if name in shipped.value:
-                    qids, qvecs = shipped.value[name]
-                    best.add(qids, qvecs, part["chunk_id"].to_numpy(), _unit(part["embedding"]))
+                qids, qvecs = shipped.value[name]
+                best.add(qids, qvecs, _ids(part["chunk_id"]), _unit(part["embedding"]))
         yield best.frame()
 
-    return corpus.mapInPandas(score, RANKED)
+    return corpus.mapInPandas(score, shape)
 
 
 def _nearest_blocks(corpus: DataFrame, asked: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    corpus = corpus.join(small_side(asked.select("key").distinct()), "key", "left_semi")
     per_key = asked.groupBy("key").count().agg(F.max("count")).first()[0]
     most = corpus.groupBy("key").count().agg(F.max("count")).first()[0] or 1
     n_q, n_c = -(-per_key // block), -(-most // (block * 8))
@@ -236,11 +245,11 @@ def _nearest_blocks(corpus: DataFrame, asked: DataFrame, k: int, block: int = 20
     def score(_, part: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         best = _Shortlist(k)
         if len(part) and len(qs):
-            best.add(qs["query_id"].to_numpy(), _unit(qs["embedding"]), part["chunk_id"].to_numpy(), _unit(part["embedding"]))
+            best.add(_ids(qs["query_id"]), _unit(qs["embedding"]), _ids(part["chunk_id"]), _unit(part["embedding"]))
         return best.frame()
 
     keys = ["key", "q", "c"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, RANKED)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _ranked_type(corpus, asked))
 
 
 def dense_exact(chunks: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:

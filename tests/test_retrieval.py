@@ -89,6 +89,9 @@ def test_dense_exact_against_brute_force(spark, monkeypatch):
     want = brute(chunks, queries, 5)
     got = {(r.query_id, r.chunk_id, r["rank"]) for r in rt.dense_exact(chunks, queries, 5).collect()}
     assert got == want
+    named = chunks.withColumn("chunk_id", F.format_string("c%03d", "chunk_id"))
+    texts = {(r.query_id, int(r.chunk_id[1:]), r["rank"]) for r in rt.dense_exact(named, queries, 5).collect()}
+    assert texts == want
     monkeypatch.setattr(rt, "MAX_SHIPPED", 2)
     monkeypatch.setattr(rt._nearest_blocks, "__defaults__", (4,))
     blocked = {(r.query_id, r.chunk_id, r["rank"]) for r in rt.dense_exact(chunks, queries, 5).collect()}
