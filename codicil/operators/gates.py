@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions.relational import small_side
-from codicil.functions.text import squash
 from codicil.operators.ingest import parent_context
 
 
@@ -113,7 +112,3 @@ def ingest_timings(log: DataFrame) -> DataFrame:
         F.max("ts").alias("ended"),
         (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("micros"),
     )
-
-
-def content_hash():
-    return F.md5(squash("text"))
