@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.words import WORD, text_of
+from codicil.llm.words import raw_texts, text_of
 
 _ENTRIES = 200_000
 _LONGEST_KEPT = 64
@@ -66,13 +66,13 @@ class Recent:
     def __init__(self, entries: int) -> None:
         self.entries, self.young, self.old = entries, {}, {}
 
-    def get(self, key: str):
+    def get(self, key):
         found = self.young.get(key)
         if found is None and (found := self.old.get(key)) is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: str, value) -> None:
+    def put(self, key, value) -> None:
         if len(key) > _LONGEST_KEPT:
             return
         if len(self.young) >= self.entries:
@@ -153,20 +153,20 @@ class Vocabulary:
         """Vocabulary strings put together, one space between them as the file names no decoder."""
         return " ".join([self.strings[i] for i in ids])
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and the decoded text in UTF-8.
+    def encode(self, text: bytes) -> tuple[bytes, bytes]:
+        """Ids as little-endian 32-bit integers, and the decoded text, both texts in UTF-8.
 
         The text rules never join across ASCII blanks, so the chunks between them
         are encoded one by one and those seen lately are kept.
         """
         kept, ids, decoded = self._chunks, [], []
         young = kept.young
-        for chunk in WORD.findall(text):
+        for chunk in text.split():
             found = young.get(chunk)
             if found is None:
                 found = kept.get(chunk)
                 if found is None:
-                    found = self._encoded(chunk)
+                    found = self._encoded(chunk.decode())
                     kept.put(chunk, found)
                 young = kept.young
             if found[0]:
@@ -204,8 +204,8 @@ def bpe(
         vocab = vocabulary(path)
         for batch in batches:
             n_tokens, left, right = [], [], []
-            for text in batch.column(1):
-                ids, decoded = vocab.encode(text.as_py())
+            for text in raw_texts(batch.column(1)):
+                ids, decoded = vocab.encode(text)
                 n_tokens.append(len(ids) // 4)
                 left.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<u4").astype(np.int32))
                 right.append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())

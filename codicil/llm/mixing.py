@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.relational import stage
-from codicil.llm.words import text_of, word_count
+from codicil.llm.words import text_of, word_array, word_count
 
 #: Fixed values of the mix: weights by order of the source, share of all words, most repeats of a document.
 WEIGHTS = (5, 2, 1)
@@ -239,23 +239,26 @@ def mix(
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of ``docs``: each as often as it is taken, a part taken as that many first words.
 
-    Ids that several rows share are told apart by their text and source.
+    Rows are told apart by id, text and source; rows equal in all three share out
+    what the mix takes of them.
     """
-    extra = F.xxhash64(text_of(F.col(text_col)), _named(F.col(source_col)))
-    numbered = stage(docs.withColumn("__row", F.struct(F.col(id_col).alias("i"), extra.alias("x"))), "mix-input")
-    number = Window.partitionBy("__row").orderBy(F.lit(1))
-    taken = mix(numbered.withColumn("__i", F.col("__row")), "__i", text_col, source_col)
-    taken = taken.groupBy("__i").agg(F.sort_array(F.collect_list("taken"), False).alias("__taken"))
-    rows = numbered.withColumn("__n", F.row_number().over(number))
-    rows = rows.join(taken, rows["__row"].eqNullSafe(taken["__i"]))
-    words = word_count(F.col(text_col))
-    rows = rows.withColumn("__words", words).withColumn("__take", F.get("__taken", F.col("__n") - 1))
-    rows = rows.where("__take > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__take") / F.col("__words")).cast("int")))
+    key = F.concat_ws(
+        ":",
+        F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
+        F.xxhash64(text_of(F.col(text_col)), _named(F.col(source_col))).cast("string"),
     )
+    keyed = docs.withColumn("__row", key)
+    taken = mix(keyed, "__row", text_col, source_col)
+    taken = taken.groupBy(F.col("__row").alias("__key")).agg(F.sort_array(F.collect_list("taken"), False).alias("__taken"))
+    taken = stage(taken.where(F.get("__taken", F.lit(0)) > 0), "mix-taken")
+    rows = keyed.join(taken, F.col("__row") == F.col("__key"))
+    alone = rows.where(F.size("__taken") == 1).withColumn("__take", F.get("__taken", F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
+    several = rows.where(F.size("__taken") > 1).withColumn("__take", F.get("__taken", number - 1))
+    rows = alone.unionByName(several).where("__take > 0").withColumn("__words", word_count(F.col(text_col)))
+    copies = F.sequence(F.lit(1), F.ceil(F.col("__take") / F.col("__words")).cast("int"))
+    rows = rows.withColumn("__copy", F.explode(copies))
     last = F.col("__take") - (F.col("__copy") - 1) * F.col("__words")
-    first = F.array_join(
-        F.slice(F.array_remove(F.split(text_col, r"[\x20\x09-\x0D]+"), ""), 1, F.greatest(last, F.lit(1)).cast("int")), " "
-    )
+    first = F.array_join(F.slice(word_array(F.col(text_col)), 1, F.greatest(last, F.lit(1)).cast("int")), " ")
     text = F.when(last >= F.col("__words"), F.col(text_col)).otherwise(first)
     return rows.withColumn(text_col, text).select(*docs.columns)

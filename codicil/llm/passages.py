@@ -4,43 +4,48 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.llm.words import WORD, Rolling, WordCodes, as_long, mixed, text_of
+from codicil.llm.words import Rolling, Words, as_long, leftmost_least, mixed, raw_texts, text_of
 
 #: Words of the sampled phrase inside each window. A window names the least-hashed such phrase it holds.
 PHRASE = 12
 
 
 class Windows:
-    """Hashes of a text's windows and the phrase each window names, a function of the window's words alone."""
-
-    def __init__(self, width: int) -> None:
-        self.width = width
-        self.codes = WordCodes()
-        self.rolling = Rolling(0), Rolling(1)
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(phrase start of each window, phrase hash at each word, running sums), or None if there is no window."""
-        if len(words) < self.width:
-            return None
-        codes = self.codes.array(words)
-        phrases = self.rolling[0].windows(self.rolling[0].sums(codes), PHRASE)
-        reach = self.width - PHRASE + 1
-        at = np.lib.stride_tricks.sliding_window_view(phrases, reach).argmin(axis=1)
-        return at + np.arange(len(at)), phrases, self.rolling[1].sums(codes)
-
-    def runs(self, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per run of windows with one phrase: its start, and a hash of all its words with the phrase's place."""
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        last = np.concatenate((first[1:], [len(at)])) - 1
-        context = self.rolling[1].spans(sums, first, last + self.width)
-        shape = (at[first] - first) * 4096 + (last - first)
-        return first, mixed(context ^ (shape.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    """Windows of a column of texts, each with the phrase it names, a function of the window's words alone."""
+
+    def __init__(self, column: pa.Array, width: int, rolling: tuple[Rolling, Rolling]) -> None:
+        self.words, self.width, self.rolling = Words(column, rolling[0]), width, rolling
+        codes, text = self.words.codes, self.words.text
+        phrases = rolling[0].windows(rolling[0].sums(codes), PHRASE)
+        least = leftmost_least(phrases, width - PHRASE + 1)
+        self.sums = rolling[1].sums(codes)
+        self.start = np.flatnonzero(text[: len(least)] == text[width - 1 :][: len(least)])
+        self.at = least[self.start]
+        self.phrase = as_long(phrases[self.at])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per run of windows with one phrase: the phrase, and a hash of all its words with the phrase's place."""
+        if not len(self.start):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        new = np.concatenate(([True], self.at[1:] != self.at[:-1]))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(new)])) - 1
+        begin, end = self.start[first], self.start[last]
+        context = self.rolling[1].spans(self.sums, begin, end + self.width)
+        shape = ((self.at[first] - begin) * 4096 + (end - begin)).astype(np.uint64)
+        return self.phrase[first], as_long(mixed(context ^ (shape * np.uint64(0x9E3779B97F4A7C15))))
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        begin = self.start[which]
+        return as_long(self.rolling[1].spans(self.sums, begin, begin + self.width))
 
 
 def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,50 +58,36 @@ def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _portions(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[list[tuple[int, str]]]:
-    held, total = [], 0
-    for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        held.append((bucket, text.as_py()))
-        total += len(held[-1][1])
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+def _portions(column: pa.ChunkedArray, size: int = 2_000_000) -> Iterator[pa.Array]:
+    """Texts of about ``size`` bytes at a time."""
+    for chunk in column.chunks:
+        upto = np.cumsum(pc.binary_length(chunk).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(chunk):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")))
+            yield chunk.slice(lo, hi - lo)
+            lo = hi
 
 
 def _phrases(width: int):
-    """Task: (phrase, bucket, number of runs, least and greatest context) of the texts of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(width)
-        for batch in batches:
-            for portion in _portions(batch):
-                phrase, context, bucket = [], [], []
-                for b, text in portion:
-                    found = windows.of(WORD.findall(text))
-                    if found is None:
-                        continue
-                    at, phrases, sums = found
-                    first, contexts = windows.runs(at, sums)
-                    phrase.append(as_long(phrases[at[first]]))
-                    context.append(as_long(contexts))
-                    bucket.append(np.full(len(first), b, np.int32))
-                if not phrase:
-                    continue
-                phrase, context, bucket = map(np.concatenate, (phrase, context, bucket))
-                order, start = grouped([phrase, bucket])
-                held = context[order]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(phrase[order][start]),
-                        pa.array(bucket[order][start]),
-                        pa.array(np.diff(np.append(start, len(order))).astype(np.int32)),
-                        pa.array(np.minimum.reduceat(held, start)),
-                        pa.array(np.maximum.reduceat(held, start)),
-                    ],
-                    names=["phrase", "bucket", "n", "low", "high"],
-                )
+    """Task on a bucket: its phrases, their number of runs, and their least and greatest context."""
+
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        rolling = Rolling(0), Rolling(1)
+        found = [Windows(texts, width, rolling).runs() for texts in _portions(docs.column("text"))]
+        phrase = np.concatenate([p for p, _ in found]) if found else np.empty(0, np.int64)
+        context = np.concatenate([c for _, c in found]) if found else np.empty(0, np.int64)
+        order, start = grouped([phrase])
+        held = context[order]
+        return pa.table(
+            {
+                "phrase": phrase[order][start],
+                "bucket": np.full(len(start), key[0].as_py(), np.int32),
+                "n": np.diff(np.append(start, len(order))).astype(np.int32),
+                "low": np.minimum.reduceat(held, start) if len(start) else held,
+                "high": np.maximum.reduceat(held, start) if len(start) else held,
+            }
+        )
 
     return run
 
@@ -105,36 +96,25 @@ def _long_column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def _texts(table: pa.Table) -> Iterator[list[str]]:
-    for text in table.column("text"):
-        yield WORD.findall(text.as_py())
-
-
 def _open_windows(width: int):
     """Task on a bucket: its windows whose phrase stands in several contexts, with their counts."""
 
-    def run(key, docs: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, asked: pa.Table) -> pa.Table:
         opened = np.sort(_long_column(asked, "phrase")[_long_column(asked, "whole") == 0])
-        windows, phrase, window = Windows(width), [], []
-        if len(opened):
-            for words in _texts(docs):
-                found = windows.of(words)
-                if found is None:
-                    continue
-                at, phrases, sums = found
-                named = as_long(phrases)[at]
-                asked_for = np.flatnonzero(is_in(named, opened))
-                phrase.append(named[asked_for])
-                window.append(as_long(windows.rolling[1].windows(sums, width))[asked_for])
-        phrase = np.concatenate(phrase) if phrase else np.empty(0, np.int64)
-        window = np.concatenate(window) if window else np.empty(0, np.int64)
+        phrase, window = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rolling = Rolling(0), Rolling(1)
+        for texts in _portions(docs.column("text")) if len(opened) else ():
+            windows = Windows(texts, width, rolling)
+            which = np.flatnonzero(is_in(windows.phrase, opened))
+            phrase.append(windows.phrase[which])
+            window.append(windows.hashes(which))
+        phrase, window = np.concatenate(phrase), np.concatenate(window)
         order, start = grouped([phrase, window])
-        bucket = key[0].as_py()
         return pa.table(
             {
                 "phrase": phrase[order][start],
                 "window": window[order][start],
-                "bucket": np.full(len(start), bucket, np.int32),
+                "bucket": np.full(len(start), key[0].as_py(), np.int32),
                 "n": np.diff(np.append(start, len(order))).astype(np.int32),
             }
         )
@@ -148,15 +128,18 @@ def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def located(texts: list[np.ndarray], passages: set[tuple[int, ...]]) -> list[np.ndarray]:
-    """Mark the words of each text that any passage covers: one automaton over word numbers, each text streamed once."""
+def located(texts: list[np.ndarray], passages: set[bytes]) -> list[np.ndarray]:
+    """Mark the words of each text that any passage covers: one automaton over word numbers, each text streamed once.
+
+    Texts and passages are word numbers below 2**32, passages as their bytes.
+    """
     marks = [np.zeros(len(t) + 1, np.int32) for t in texts]
     if passages:
         import ahocorasick
 
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for p in passages:
-            automaton.add_word(p, len(p))
+            automaton.add_word(tuple(np.frombuffer(p, np.int64).tolist()), len(p) // 8)
         automaton.make_automaton()
         for text, mark in zip(texts, marks, strict=True):
             for last, size in automaton.iter(tuple(text.tolist())):
@@ -168,36 +151,43 @@ def located(texts: list[np.ndarray], passages: set[tuple[int, ...]]) -> list[np.
 def _removed(width: int, out_id: str, whole_text: bool):
     """Task on a bucket: compile its confirmed passages, locate every occurrence, and cut them out."""
 
-    def run(key, docs: pa.Table, known: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, known: pa.Table) -> pa.Table:
         kind = _long_column(known, "whole")
         phrase, window = _long_column(known, "phrase"), _long_column(known, "window")
         whole = np.sort(phrase[kind == 1])
         order = np.argsort(window[kind == 2], kind="stable")
         again, again_phrase = window[kind == 2][order], phrase[kind == 2][order]
-        windows, numbers = Windows(width), {}
-        words_of, texts, passages = [], [], set()
-        for words in _texts(docs):
-            text = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-            words_of.append(words)
-            texts.append(text)
-            if not len(phrase) or (found := windows.of(words)) is None:
-                continue
-            at, phrases, sums = found
-            named = as_long(phrases)[at]
-            recurs = is_in(named, whole)
+        rolling, codes, counts, runs = (Rolling(0), Rolling(1)), [], [], []
+        base = 0
+        for texts in _portions(docs.column("text")):
+            windows = Windows(texts, width, rolling)
+            codes.append(windows.words.codes)
+            counts.append(windows.words.counts)
+            recurs = is_in(windows.phrase, whole)
             if len(again):
-                own = as_long(windows.rolling[1].windows(sums, width))
+                own = windows.hashes(np.arange(len(recurs)))
                 place = np.minimum(np.searchsorted(again, own), len(again) - 1)
-                recurs |= (again[place] == own) & (again_phrase[place] == named)
-            edge = np.diff(np.concatenate(([0], recurs.astype(np.int8), [0])))
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                passages.add(tuple(text[a : b - 1 + width].tolist()))
-        total, gone, kept = [], [], []
-        for words, covered in zip(words_of, located(texts, passages), strict=True):
-            total.append(len(words))
-            gone.append(int(covered.sum()))
-            left = " ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
-            kept.append(left if whole_text else hashlib.sha256(left.encode()).hexdigest())
+                recurs |= (again[place] == own) & (again_phrase[place] == windows.phrase)
+            begin = windows.start[recurs]
+            if len(begin):
+                text = windows.words.text[begin]
+                new = np.concatenate(([True], (begin[1:] != begin[:-1] + 1) | (text[1:] != text[:-1])))
+                first = np.flatnonzero(new)
+                last = np.concatenate((first[1:], [len(begin)])) - 1
+                runs += zip((begin[first] + base).tolist(), (begin[last] + width + base).tolist(), strict=True)
+            base += len(windows.words.codes)
+        codes = np.concatenate(codes) if codes else np.empty(0, np.uint64)
+        total = np.concatenate(counts) if counts else np.empty(0, np.int64)
+        numbers = np.unique(codes, return_inverse=True)[1].astype(np.int64) if runs else np.zeros(len(codes), np.int64)
+        texts = np.split(numbers, np.cumsum(total)[:-1]) if len(total) else []
+        covered = located(texts, {numbers[a:b].tobytes() for a, b in runs})
+        gone, kept = [], []
+        for raw, cover in zip((r for c in docs.column("text").chunks for r in raw_texts(c)), covered, strict=True):
+            n = int(cover.sum())
+            words = raw.split()
+            left = b" ".join(compress(words, (~cover).tolist()) if n else words)
+            gone.append(n)
+            kept.append(left.decode() if whole_text else hashlib.sha256(left).hexdigest())
         return pa.table(
             [docs.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
             names=[out_id, "n_words", "n_removed", "kept_text" if whole_text else "kept_sha256"],
@@ -239,22 +229,30 @@ def cut_repeats(
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    phrases = rows.select("bucket", "text").mapInArrow(
-        _phrases(width), "phrase bigint, bucket int, n int, low bigint, high bigint"
+    phrases = (
+        rows.groupBy("bucket")
+        .applyInArrow(_phrases(width), "phrase bigint, bucket int, n int, low bigint, high bigint")
+        .repartition(parts, "phrase")
+    )
+    same = Window.partitionBy("phrase")
+    asked = (
+        phrases.select(
+            "bucket",
+            "phrase",
+            (F.min("low").over(same) == F.max("high").over(same)).cast("bigint").alias("whole"),
+            F.sum("n").over(same).alias("total"),
+        )
+        .where("total > 1")
+        .drop("total")
     )
-    phrases = phrases.repartition(parts, "phrase")
-    counted = phrases.groupBy("phrase").agg(F.sum("n").alias("total"), F.min("low").alias("l"), F.max("high").alias("h"))
-    counted = counted.where("total > 1").select("phrase", (F.col("l") == F.col("h")).cast("bigint").alias("whole"))
-    asked = phrases.select("phrase", "bucket").join(counted, "phrase").select("bucket", "phrase", "whole")
-
     windows = (
         rows.groupBy("bucket")
         .cogroup(asked.groupBy("bucket"))
         .applyInArrow(_open_windows(width), "phrase bigint, window bigint, bucket int, n int")
         .repartition(parts, "phrase", "window")
     )
-    again = windows.groupBy("phrase", "window").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    recurring = windows.select("phrase", "window", "bucket").join(again, ["phrase", "window"])
+    same = Window.partitionBy("phrase", "window")
+    recurring = windows.select("bucket", "phrase", "window", F.sum("n").over(same).alias("total")).where("total > 1")
     known = asked.where("whole = 1").select("bucket", "phrase", F.lit(0).cast("bigint").alias("window"), "whole")
     known = known.unionByName(
         recurring.select("bucket", "phrase", "window", F.lit(2).cast("bigint").alias("whole"))

@@ -3,23 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from codicil.llm.bpe import bpe_digests
+from codicil.llm.chat import chat_format
 from codicil.llm.exact_dedup import exact_dedup
+from codicil.llm.mixing import mix
+from codicil.llm.passages import cut_repeats
 from codicil.llm.pii import pii_report
-from codicil.functions.relational import stage
 from codicil.llm.quality import quality_rules
+from codicil.llm.tokencount import token_counts
+from codicil.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op2_cut_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -29,11 +57,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_cut_repeats": op2_cut_repeats,
     "op3_quality_rules": op3_quality_rules,
+    "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
+    "op7_mix": op7_mix,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+OP4_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), convs AS (
+  SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY place) AS turns,
+    string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+  FROM turns GROUP BY conv_id
+), firsts AS (
+  SELECT turns, n_turns, rendered, min(conv_id) AS conv_id, count(*) AS copies FROM convs GROUP BY turns, n_turns, rendered
+), inner_prefixes AS (
+  SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM convs)
+)
+SELECT conv_id, 0 AS part, n_turns, copies, rendered FROM firsts ANTI JOIN inner_prefixes USING (turns)
+"""
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents
@@ -44,4 +95,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS
 FROM n JOIN g USING (content)
 """
 
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+ORACLES = {"op4_chat_format": OP4_SQL, "op10_exact_dedup": OP10_SQL}

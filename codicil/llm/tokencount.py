@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.words import WORD, text_of
+from codicil.llm.words import raw_texts, text_of
 
 _ENTRIES = 400_000
 _LONGEST_KEPT = 64
@@ -36,7 +36,7 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self._kept: dict[str, int] = {}
+        self._kept: dict[bytes, int] = {}
 
     def word(self, word: str) -> int:
         n = len(word)
@@ -60,14 +60,14 @@ class UnigramCounter:
             best[end], count[end], open_run[end] = top, tokens, run
         return count[n]
 
-    def text(self, text: str) -> tuple[int, int]:
-        """Tokens and words of a text."""
+    def text(self, text: bytes) -> tuple[int, int]:
+        """Tokens and words of a text in UTF-8."""
         kept, total = self._kept, 0
-        words = WORD.findall(text)
+        words = text.split()
         for w in words:
             n = kept.get(w)
             if n is None:
-                n = self.word(MARK + w)
+                n = self.word(MARK + w.decode())
                 if len(w) <= _LONGEST_KEPT:
                     if len(kept) >= _ENTRIES:
                         kept.clear()
@@ -112,7 +112,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            found = [count.text(t.as_py()) for t in batch.column(1)]
+            found = [count.text(t) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.relational import small_side, stage
-from codicil.llm.words import WORD, Rolling, WordCodes, text_of
+from codicil.llm.words import Rolling, Words, raw_texts, text_of
 
 #: Subsequences of four characters within a span of seven, each gap of one character weighing DECAY.
 ORDER, SPAN, DECAY = 4, 7, 0.6
@@ -189,12 +189,12 @@ def fit_words(insults: list[str], plain: list[str], n_landmarks: int = 256) -> W
     return WordModel(kernel.keys, kernel.rows @ (root @ w), bias, np.zeros(4))
 
 
-def portions(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[list[int], list[str]]]:
-    """Rows and texts of about ``size`` characters at a time."""
+def portions(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Rows and UTF-8 texts of about ``size`` bytes at a time."""
     rows, held, total = [], [], 0
-    for row, text in enumerate(texts):
+    for row, text in enumerate(raw_texts(texts)):
         rows.append(row)
-        held.append(text.as_py())
+        held.append(text)
         total += len(held[-1])
         if total >= size:
             yield rows, held
@@ -227,19 +227,20 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def _plain(word: str) -> str:
+def _plain(word: bytes) -> str:
     """Lower case without the symbols around the word."""
-    return word.lower().strip("#*$%&|<>.,;:!?\"'()[]-_")
+    return word.decode("utf-8", "replace").lower().strip("#*$%&|<>.,;:!?\"'()[]-_")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Id, label, text digest and four least hashes of three-word spans, equal for most near copies."""
-    codes, rolling = WordCodes(), Rolling()
+    rolling = Rolling()
     for batch in batches:
         found = []
         for text in batch.column(1):
-            spans = rolling.windows(rolling.sums(codes.array(WORD.findall(text.as_py()))), 3)
-            spans = spans if len(spans) else np.array([codes[text.as_py()]], np.uint64)
+            codes = Words(pa.array([text.as_py()], pa.string()), rolling).codes
+            spans = rolling.windows(rolling.sums(codes), 3)
+            spans = spans if len(spans) else np.append(codes, np.uint64(0))[:1]
             found.append([int((spans * np.uint64(m)).min() >> np.uint64(1)) for m in (3, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), *[pa.array([f[k] for f in found], pa.int64()) for k in range(4)]],
@@ -251,8 +252,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, label, neighbours) of each distinct word in its neighbourhood, per text."""
     for batch in batches:
         words, labels, around = [], [], []
-        for text, label in zip(batch.column(0), batch.column(1), strict=True):
-            ws = [_plain(w) for w in WORD.findall(text.as_py())]
+        for text, label in zip(map(bytes.split, raw_texts(batch.column(0))), batch.column(1), strict=True):
+            ws = [_plain(w) for w in text]
             seen = set(zip(ws, ["", *ws[:-1]], [*ws[1:], ""], strict=True))
             for w, left, right in seen:
                 if 3 <= len(w) <= _LONGEST:
@@ -333,47 +334,67 @@ def fit(
     model = fit_words(bad, [r["word"] for r in plain.select("word").collect() if r["word"] not in known])
     if not len(model.keys):
         return model
-    tops = sample.mapInArrow(_texts(docs.sparkSession.sparkContext.broadcast(model), False), _TOPS.format("int"))
-    found = tops.collect()
-    label = np.array([r["id"] for r in found], float)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = sample.mapInArrow(_tops(shared), "label int, top1 double, top2 double, top3 double").collect()
+    label = np.array([r["label"] for r in found], float)
     top = np.array([[r["top1"], r["top2"], r["top3"]] for r in found])
     weight = np.where(label > 0, sizes.get(1, 0) / max(1, label.sum()), sizes.get(0, 0) / max(1, (1 - label).sum()))
     model.text_weights = fit_texts(top, label, weight)
     return model
 
 
-_TOPS = "id {}, top1 double, top2 double, top3 double"
+def _reader(model: WordModel):
+    """Function from a column of texts to the three highest word decisions of each."""
+    kept: dict[bytes, float] = {}
+
+    def read(column: pa.Array) -> np.ndarray:
+        nonlocal kept
+        tops = np.full((len(column), 3), _LEAST)
+        for rows, texts in portions(column):
+            words = [t.split() for t in texts]
+            new = {w for ws in words for w in ws if w not in kept}
+            if len(kept) + len(new) > _ENTRIES:
+                kept, new = {}, {w for ws in words for w in ws}
+            kept.update(decided(model, sorted(new)))
+            for row, ws in zip(rows, words, strict=True):
+                found = np.fromiter(map(kept.__getitem__, ws), np.float64, len(ws))
+                found = np.sort(found if len(found) < 4 else np.partition(found, -3)[-3:])[::-1]
+                tops[row, : len(found)] = found
+        return tops
+
+    return read
+
+
+def _scorer(model: WordModel):
+    """Function from a column of texts to their scores."""
+    read = _reader(model)
 
+    def score(column: pa.Array) -> np.ndarray:
+        if not len(model.keys):
+            return np.zeros(len(column))
+        z = np.clip(read(column), -2, 2) @ model.text_weights[:-1] + model.text_weights[-1]
+        return np.round(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))), 9)
 
-def _texts(shared, first_is_id: bool):
-    """Task that gives the three highest word decisions of each text beside its id or label."""
-    at_text = 1 if first_is_id else 0
+    return score
+
+
+def _tops(shared):
+    """Task that gives the three highest word decisions of each text beside its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kept = shared.value, {}
+        read = _reader(shared.value)
         for batch in batches:
-            tops = np.full((batch.num_rows, 3), _LEAST)
-            for rows, texts in portions(batch.column(at_text)):
-                words = [WORD.findall(t) for t in texts]
-                new = {w for ws in words for w in ws if w not in kept}
-                if len(kept) + len(new) > _ENTRIES:
-                    kept, new = {}, {w for ws in words for w in ws}
-                kept.update(decided(model, sorted(new)))
-                for row, ws in zip(rows, words, strict=True):
-                    found = np.fromiter(map(kept.__getitem__, ws), np.float64, len(ws))
-                    found = np.sort(found if len(found) < 4 else np.partition(found, -3)[-3:])[::-1]
-                    tops[row, : len(found)] = found
+            tops = read(batch.column(0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1 - at_text), *[pa.array(tops[:, k]) for k in range(3)]],
-                names=["id", "top1", "top2", "top3"],
+                [batch.column(1), *[pa.array(tops[:, k]) for k in range(3)]], names=["label", "top1", "top2", "top3"]
             )
 
     return run
 
 
-def decided(model: WordModel, words: list[str]) -> dict[str, float]:
+def decided(model: WordModel, words: list[bytes]) -> dict[bytes, float]:
     """Decision per word; a word of more than 40 characters has that of its worst piece."""
-    parts: dict[str, list[str]] = {}
+    parts: dict[bytes, list[str]] = {}
     for w in words:
         p = _plain(w)
         if len(p) >= 3:
@@ -399,16 +420,14 @@ def score(
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    tops = rows.mapInArrow(_texts(shared, True), _TOPS.format(kind))
-    if len(model.keys):
-        w = model.text_weights.tolist()
-        clipped = [F.greatest(F.least(F.col(f"top{k}"), F.lit(2.0)), F.lit(-2.0)) for k in (1, 2, 3)]
-        z = clipped[0] * w[0] + clipped[1] * w[1] + clipped[2] * w[2] + w[3]
-        found = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    else:
-        found = F.lit(0.0)
-    tops = tops.withColumn("score", F.round(found, 9))
-    return tops.select(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], names=["id", "score"])
+
+    scored = rows.mapInArrow(run, f"id {kind}, score double")
+    return scored.select(
         F.col("id").alias(id_col),
         F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"),
         "score",
@@ -419,3 +438,20 @@ def score(
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit on the labelled rows that are not held out and score every row; without toxic labels all score 0."""
     return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+
+
+def kept_by_score(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3
+) -> DataFrame:
+    """Rows of ``docs`` whose text scores below ``cut``; equal texts fare alike."""
+    model = fit(docs, labels, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.schema
+    at = schema.fieldNames().index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at)) < cut))
+
+    return docs.mapInArrow(run, schema)

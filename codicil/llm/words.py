@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = r"[\x20\x09-\x0D]+"
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_ENTRIES = 400_000
 
 
 def text_of(text: Column) -> Column:
@@ -28,20 +28,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-class WordCodes(dict):
-    """64-bit code per word, kept for the words seen lately."""
-
-    def __missing__(self, word: str) -> int:
-        code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= _ENTRIES:
-            self.clear()
-        self[word] = code
-        return code
-
-    def array(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 class Rolling:
     """Hashes of word spans by differences of a running polynomial sum modulo 2**64.
 
@@ -74,11 +60,71 @@ class Rolling:
         return mixed((sums[width:] - sums[:-width]) * self._down[:n]) if n > 0 else np.empty(0, np.uint64)
 
 
+def raw_texts(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 bytes of each text; ``bytes.split()`` then gives exactly the words."""
+    for text in column.cast(pa.binary()):
+        yield text.as_py()
+
+
+def _byte_codes(fold: bool) -> np.ndarray:
+    table = np.random.default_rng(20_11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if fold:
+        table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
+    return table
+
+
+_CODES = {fold: _byte_codes(fold) for fold in (False, True)}
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_SLICE = 1 << 20
+
+
+class Words:
+    """Words of a column of texts without Python strings: a 64-bit code, and the text each stands in.
+
+    ``fold`` reads A-Z as a-z. Equal words have equal codes.
+    """
+
+    def __init__(self, column: pa.Array, rolling: Rolling, fold: bool = False) -> None:
+        column = column.cast(pa.binary())
+        size = len(column)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + size + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        solid = _SOLID[data]
+        inner = np.zeros(len(data) + 1, bool)
+        inner[1:-1] = solid[1:] & solid[:-1]
+        inner[offsets] = False
+        starts = np.flatnonzero(solid & ~inner[:-1])
+        ends = np.flatnonzero(solid & ~inner[1:]) + 1
+        self.text = np.searchsorted(offsets, starts, side="right") - 1
+        self.codes = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _SLICE)))
+            base = starts[lo]
+            sums = rolling.sums(_CODES[fold][data[base : ends[hi - 1]]])
+            self.codes[lo:hi] = rolling.spans(sums, starts[lo:hi] - base, ends[lo:hi] - base)
+            lo = hi
+        self.counts = np.bincount(self.text, minlength=size)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least value, the leftmost among equals, in each run of ``width`` values."""
+    best, done = np.arange(len(values)), 1
+    while done < width and len(values) >= width:
+        step = min(done, width - done)
+        left, right = best[: len(best) - step], best[step:]
+        best = np.where(values[right] < values[left], right, left)
+        done += step
+    return best if len(values) >= width else best[:0]
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
