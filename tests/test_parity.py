@@ -6,9 +6,10 @@ import decimal
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from codicil.plans import PLANS as QUERIES
+from codicil.plans import SQL as ORACLES
 from tests.conftest import SMALL
 
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 def plain(v):
@@ -28,7 +29,8 @@ def plain(v):
 
 
 def test_registry():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(queries())
+    assert set(ORACLES) <= set(oracle_sql()) <= set(queries())
     assert set(QUERIES) - set(ORACLES) == {"r04_dense_ann_recall"}
 
 
