@@ -8,6 +8,7 @@ from codicil.llm.bpe import bpe_digests
 from codicil.llm.chat import chat_format
 from codicil.llm.exact_dedup import exact_dedup
 from codicil.llm.mixing import mix
+from codicil.llm.near_dedup import near_dedup
 from codicil.llm.passages import cut_repeats
 from codicil.llm.pii import pii_report
 from codicil.llm.quality import quality_rules
@@ -48,6 +49,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_mix": op7_mix,
+    "op8_near_dedup": op8_near_dedup,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }

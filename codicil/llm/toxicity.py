@@ -452,6 +452,6 @@ def kept_by_score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(at)) < cut))
+            yield batch.filter(pa.array(score(batch.column(at).fill_null("")) < cut))
 
     return docs.mapInArrow(run, schema)
