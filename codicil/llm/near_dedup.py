@@ -17,6 +17,7 @@ from codicil.llm.words import Rolling, Words, as_long, mixed, text_of
 #: Fixed values of the join: words of a shingle, and the bound 100 * intersection >= 75 * union.
 WIDTH, BOUND = 5, 75
 SLOT_BITS = 19
+RANGES = 512
 STAR_ROUNDS = 3
 SIZES = (2, 4, 6, 8, 12, 16, 24)
 
@@ -171,6 +172,33 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
 
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Member counts per range of the hash space, at most 255 each, as bytes."""
+    rolling = Rolling()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = Shingles(part.column(1), rolling)
+            at = sets.row * RANGES + (sets.hash // np.uint64((1 << 64) // RANGES)).astype(np.int64)
+            counts = np.minimum(np.bincount(at, minlength=part.num_rows * RANGES), 255).astype(np.uint8)
+            found = [counts[k * RANGES : (k + 1) * RANGES].tobytes() for k in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["v", "profile"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles differ by no more than sets within the bound can: 7 * difference <= sum of sizes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            one, two = (
+                np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+                for k in (3, 4)
+            )
+            apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
+            good = pa.array((100 + BOUND) * apart <= (100 - BOUND) * part.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
+
+
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
     for batch in batches:
@@ -216,6 +244,8 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     first a star: its members are checked against one of them. Lists whose members
     are then in several components are starred again, and at last all their pairs
     across components are checked, so no component lacks a link that some pair has.
+    A check compares counts per hash range first, which bound the difference of two
+    sets from below, and then the sets of the texts themselves.
     """
     classes = sets.where("n > 1").groupBy("v", "w", "n").agg(F.any_value("prefix").alias("prefix"))
     classes = stage(classes.drop("w"), "near-classes")
@@ -229,13 +259,21 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     texts = docs.select(text_of(F.col(text_col)).alias("text")).mapInArrow(_texts_of, "v bigint, text string")
     texts = stage(texts.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("text").alias("text")), "near-texts")
 
+    profiles = stage(texts.select("v", "text").mapInArrow(_profile, "v bigint, profile binary"), "near-profiles")
+
     def checked(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(profiles.select(F.col("v").alias("a"), F.col("profile").alias("left")), "a")
+        both = left.join(profiles.select(F.col("v").alias("b"), F.col("profile").alias("right")), "b")
+        pairs = both.select("a", "b", "sizes", "left", "right").mapInArrow(_possible, "a bigint, b bigint")
+        pairs = stage(pairs, "near-possible")
         left = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a")
         both = left.join(texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b")
         return both.select("a", "b", "left", "right").mapInArrow(_linked, "a bigint, b bigint")
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b")).distinct()
+        return pairs.select(
+            F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b"), (F.col("n") + F.col("m")).alias("sizes")
+        ).distinct()
 
     links = tried = None
     for turn in range(STAR_ROUNDS + 1):
@@ -265,7 +303,7 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
         pairs = stage(pairs, "near-pairs")
         found = stage(checked(pairs), "near-links")
         links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
     return links
 
 
