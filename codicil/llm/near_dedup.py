@@ -17,6 +17,7 @@ from codicil.llm.words import Rolling, Words, as_long, mixed, text_of
 #: Fixed values of the join: words of a shingle, and the bound 100 * intersection >= 75 * union.
 WIDTH, BOUND = 5, 75
 SLOT_BITS = 19
+DEBUG = False
 RANGES = 512
 STAR_ROUNDS = 3
 SIZES = (2, 4, 6, 8, 12, 16, 24)
@@ -56,6 +57,16 @@ class Shingles:
         return out[0], out[1]
 
 
+def profiles(sets: Shingles) -> list[bytes]:
+    """Members of each set per range of the hash space, at most 255 each, as bytes."""
+    width = np.uint64((1 << 64) // RANGES)
+    out, ends = [], np.cumsum(sets.size)
+    for k, n in enumerate(sets.size.tolist()):
+        at = (sets.hash[ends[k] - n : ends[k]] // width).astype(np.int64)
+        out.append(np.minimum(np.bincount(at, minlength=RANGES), 255).astype(np.uint8).tobytes())
+    return out
+
+
 def slot(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -101,8 +112,9 @@ def _sets(hot) -> Callable:
                         pa.array(one),
                         pa.array(two),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(members)),
+                        pa.array(profiles(sets), pa.binary()),
                     ],
-                    names=["id", "n", "v", "w", "prefix"],
+                    names=["id", "n", "v", "w", "prefix", "profile"],
                 )
                 at += len(texts)
 
@@ -110,8 +122,9 @@ def _sets(hot) -> Callable:
 
 
 def _postings(boundary: int) -> Callable:
-    """Task: (key, v, n, kind) of each set. Kind 0: member of a heavy set, 1: of a light set that a heavy one may
-    match, 2: subset of two members of a light set."""
+    """Task: (key, v, n, kind, ahead) of each set. Kind 0: member of a heavy set, 1: of a light set that a heavy one
+    may match, 2: subset of two members of a light set. ``ahead`` counts the members before the key's last one, its
+    own not among them: where two sets meet in their first common key, none of these is common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,16 +138,23 @@ def _postings(boundary: int) -> Callable:
             row = np.repeat(np.arange(len(v)), held)
             place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], held)
             chosen = place < single[row]
-            out = [(members[offsets[0] : offsets[-1]][chosen], row[chosen], (n[row[chosen]] < boundary).astype(np.int32))]
+            out = [
+                (
+                    members[offsets[0] : offsets[-1]][chosen],
+                    row[chosen],
+                    (n[row[chosen]] < boundary).astype(np.int32),
+                    place[chosen].astype(np.int32),
+                )
+            ]
             for i in np.flatnonzero((n < boundary) & (n > 1)).tolist():
                 own = members[offsets[i] : offsets[i + 1]].view(np.uint64)
                 a, b = np.triu_indices(len(own), 1)
                 keys = as_long(mixed(mixed(own[a]) + own[b]))
-                out.append((keys, np.full(len(keys), i), np.full(len(keys), 2, np.int32)))
-            key, row, kind = (np.concatenate([o[k] for o in out]) for k in range(3))
+                out.append((keys, np.full(len(keys), i), np.full(len(keys), 2, np.int32), (b - 1).astype(np.int32)))
+            key, row, kind, ahead = (np.concatenate([o[k] for o in out]) for k in range(4))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(v[row]), pa.array(n[row]), pa.array(kind.astype(np.int32))],
-                names=["key", "v", "n", "kind"],
+                [pa.array(key), pa.array(v[row]), pa.array(n[row]), pa.array(kind.astype(np.int32)), pa.array(ahead)],
+                names=["key", "v", "n", "kind", "ahead"],
             )
 
     return run
@@ -172,19 +192,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Member counts per range of the hash space, at most 255 each, as bytes."""
-    rolling = Rolling()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            sets = Shingles(part.column(1), rolling)
-            at = sets.row * RANGES + (sets.hash // np.uint64((1 << 64) // RANGES)).astype(np.int64)
-            counts = np.minimum(np.bincount(at, minlength=part.num_rows * RANGES), 255).astype(np.uint8)
-            found = [counts[k * RANGES : (k + 1) * RANGES].tobytes() for k in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["v", "profile"])
-
-
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose profiles differ by no more than sets within the bound can: 7 * difference <= sum of sizes."""
     for batch in batches:
@@ -230,19 +237,26 @@ def boundary_by_cost(sets: DataFrame) -> int:
     return min(SIZES, key=lambda x: (cost(x), x))
 
 
-def _may_match(n: str, m: str, kind: str, other: str):
-    """Sizes within the bound, and not two light sets in a one-member list."""
+def _may_match():
+    """Sizes within the bound, not two light sets in a one-member list, and few enough members before the key.
+
+    Members before the first common key belong to one set only, so there are at
+    most as many as similar sets may differ by; a pair passes at that key at least.
+    """
+    n, m = F.col("n"), F.col("m")
     near = 100 * F.least(n, m) >= BOUND * F.greatest(n, m)
-    return near & ~((F.col(kind) == 1) & (F.col(other) == 1))
+    alike = (100 + BOUND) * (F.col("ahead") + F.col("before")) <= (100 - BOUND) * (n + m)
+    return near & alike & ~((F.col("kind") == 1) & (F.col("other") == 1))
 
 
-def near_links(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
+def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between distinct sets ``v``, enough of them to join all that any links join.
 
     Sets below the boundary meet in lists of two-member subsets, the others in
     lists of single members, light ones of nearly that size included. A list is
-    first a star: its members are checked against one of them. Lists whose members
-    are then in several components are starred again, and at last all their pairs
+    first a star: its members are checked against one of them, the same one in all
+    lists that hold it. Lists whose members are then in several components are
+    starred again, each around a member of its own, and at last all their pairs
     across components are checked, so no component lacks a link that some pair has.
     A check compares counts per hash range first, which bound the difference of two
     sets from below, and then the sets of the texts themselves.
@@ -251,21 +265,33 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     classes = stage(classes.drop("w"), "near-classes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = classes.select("v", "n", "prefix").mapInArrow(
-        _postings(boundary_by_cost(classes)), "key bigint, v bigint, n bigint, kind int"
+        _postings(boundary_by_cost(classes)), "key bigint, v bigint, n bigint, kind int, ahead int"
     )
     lists = postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_keys, postings.schema)
     lists = stage(lists, "near-lists")
-    wanted = small_side(stage(lists.select("v").distinct(), "near-members"))
-    texts = docs.select(text_of(F.col(text_col)).alias("text")).mapInArrow(_texts_of, "v bigint, text string")
-    texts = stage(texts.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("text").alias("text")), "near-texts")
-
-    profiles = stage(texts.select("v", "text").mapInArrow(_profile, "v bigint, profile binary"), "near-profiles")
+    members = lists.select("v").distinct()
+    shapes = sets.where("n > 1").select("v", "profile", "id").join(members, "v", "left_semi").groupBy("v")
+    shapes = stage(shapes.agg(F.any_value("profile").alias("profile"), F.min("id").alias("id")), "near-shapes")
+    texts = None
+
+    def texts_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+        if known is not None:
+            wanted = wanted.join(known, "v", "left_anti")
+        wanted = stage(wanted.join(shapes, "v").select("v", "id"), "near-wanted")
+        ids = small_side(wanted.select(F.col("id").alias("want")).distinct())
+        read = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
+        read = read.join(ids, read["id"].eqNullSafe(F.col("want")), "left_semi").select("text")
+        read = read.mapInArrow(_texts_of, "v bigint, text string").join(wanted.select("v"), "v", "left_semi")
+        found = stage(read.groupBy("v").agg(F.min("text").alias("text")), "near-texts")
+        return found if known is None else known.unionByName(found)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(shapes.select(F.col("v").alias("a"), F.col("profile").alias("left")), "a")
+        both = left.join(shapes.select(F.col("v").alias("b"), F.col("profile").alias("right")), "b")
+        return both.select("a", "b", "sizes", "left", "right").mapInArrow(_possible, "a bigint, b bigint")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(profiles.select(F.col("v").alias("a"), F.col("profile").alias("left")), "a")
-        both = left.join(profiles.select(F.col("v").alias("b"), F.col("profile").alias("right")), "b")
-        pairs = both.select("a", "b", "sizes", "left", "right").mapInArrow(_possible, "a bigint, b bigint")
-        pairs = stage(pairs, "near-possible")
         left = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a")
         both = left.join(texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b")
         return both.select("a", "b", "left", "right").mapInArrow(_linked, "a bigint, b bigint")
@@ -285,23 +311,28 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
             spread = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
             open_lists = stage(named.join(spread.select("key"), "key"), "near-open")
         if turn < STAR_ROUNDS:
-            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "comp"), F.xxhash64(F.lit(turn), "v"), "v", "n", "kind", "comp"))
+            draw = [F.xxhash64("v")] if turn == 0 else [F.xxhash64(F.lit(turn), "key", "v")]
+            centre = F.min(F.struct(*draw, "v", "n", "kind", "ahead", "comp"))
             centres = open_lists.groupBy("key").agg(centre.alias("s")).select(
                 "key", F.col("s.v").alias("c"), F.col("s.n").alias("m"), F.col("s.kind").alias("other"),
-                F.col("s.comp").alias("apart"),
+                F.col("s.ahead").alias("before"), F.col("s.comp").alias("apart"),
             )
         else:
             centres = open_lists.select(
-                "key", F.col("v").alias("c"), F.col("n").alias("m"), F.col("kind").alias("other"), F.col("comp").alias("apart")
+                "key", F.col("v").alias("c"), F.col("n").alias("m"), F.col("kind").alias("other"),
+                F.col("ahead").alias("before"), F.col("comp").alias("apart"),
             )
-        met = open_lists.join(centres, "key").where((F.col("comp") != F.col("apart")) & _may_match("n", "m", "kind", "other"))
+        met = open_lists.join(centres, "key").where((F.col("comp") != F.col("apart")) & _may_match())
         if turn == STAR_ROUNDS:
             met = met.where("v < c")
         pairs = ordered(met)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
-        found = stage(checked(pairs), "near-links")
+        close = stage(possible(pairs), "near-possible")
+        texts = texts_of(close, texts)
+        found = stage(checked(close), "near-links")
+        if DEBUG: print("turn", turn, "open", open_lists.count(), "pairs", pairs.count(), "close", close.count(), "links", found.count(), "lists", open_lists.groupBy("key").count().agg(F.max("count"),F.count("*")).collect(), flush=True)
         links = found if links is None else links.unionByName(found)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
     return links
@@ -329,15 +360,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mean = (slots.agg(F.sum("n")).first()[0] or 0) / (1 << SLOT_BITS)
     crowded = slots.where(F.col("n") > mean + 6 * mean**0.5 + 32).select("slot")
     hot = spark.sparkContext.broadcast(np.array([r["slot"] for r in crowded.collect()], np.int64))
-    sets = rows.mapInArrow(_sets(hot), f"id {kind}, n bigint, v bigint, w bigint, prefix array<bigint>")
+    sets = rows.mapInArrow(_sets(hot), f"id {kind}, n bigint, v bigint, w bigint, prefix array<bigint>, profile binary")
     sets = stage(sets, "near-sets")
-    comps = components(near_links(docs, sets, text_col))
+    comps = components(near_links(docs, sets, id_col, text_col))
     classes = sets.where("n > 0").groupBy("v").agg(F.min("id").alias("least"))
     classes = classes.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     classes = stage(classes, "near-components")
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = stage(classes.join(least, "comp").select("v", "component_id"), "near-named")
-    return sets.drop("prefix").join(named, "v", "left").select(
+    return sets.select("id", "n", "v").join(named, "v", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
