@@ -14,11 +14,15 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(text_of(text), BLANKS, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, lead_chars: int = 32
+) -> DataFrame:
     """Group of equal normalised texts per row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    Sampled splitters deal the normalised texts out by range; each task sorts its
-    range externally, so equal texts are neighbours and are compared in full.
+    Sampled splitters deal the normalised texts out by range of their first
+    ``lead_chars`` characters and a fingerprint, so the samples stay small however
+    long the texts are; each task sorts its range externally by these and the whole
+    text, so equal texts are neighbours and are compared in full.
     A text's copies are dealt over ``salts`` sub-ranges, so a text that a third
     of all rows hold is sorted by many tasks; only a digest per row then meets
     across sub-ranges, with partial counts before the shuffle.
@@ -32,10 +36,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         normalized(F.col(text_col)).alias("content"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
     )
-    ranged = rows.repartitionByRange("content", "salt").sortWithinPartitions(
-        "content", "salt", F.col("id").asc_nulls_last()
+    rows = rows.withColumns({"lead": F.left("content", F.lit(lead_chars)), "print": F.xxhash64("content")})
+    ranged = rows.repartitionByRange("lead", "print", "salt").sortWithinPartitions(
+        "lead", "print", "salt", "content", F.col("id").asc_nulls_last()
     )
-    run = Window.partitionBy("content", "salt").orderBy(F.col("id").asc_nulls_last())
+    run = Window.partitionBy("lead", "print", "salt", "content").orderBy(F.col("id").asc_nulls_last())
     placed = ranged.select(
         "id",
         F.row_number().over(run).alias("turn"),

@@ -17,9 +17,10 @@ from codicil.llm.words import Rolling, Words, as_long, mixed, text_of
 #: Fixed values of the join: words of a shingle, and the bound 100 * intersection >= 75 * union.
 WIDTH, BOUND = 5, 75
 SLOT_BITS = 19
-DEBUG = False
 RANGES = 512
 STAR_ROUNDS = 3
+#: Lists of more members are compared block by block in tasks, of so many members a block.
+LONG_LIST, BLOCK = 64, 1024
 SIZES = (2, 4, 6, 8, 12, 16, 24)
 
 
@@ -206,6 +207,33 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
 
+def _block_pairs(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Close pairs across components between two blocks of one list, or within one; the other pairs leave no row."""
+    same = key[1].as_py() == key[2].as_py()
+    v, n, kind, ahead, comp, block = (
+        rows.column(c).to_numpy() for c in ("v", "n", "kind", "ahead", "comp", "block")
+    )
+    shape = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(v)):
+        other = slice(i + 1, None)
+        sizes = n[i] + n[other]
+        may = (
+            (comp[other] != comp[i])
+            & (same | (block[other] != block[i]))
+            & (100 * np.minimum(n[i], n[other]) >= BOUND * np.maximum(n[i], n[other]))
+            & ((100 + BOUND) * (ahead[i] + ahead[other]).astype(np.int64) <= (100 - BOUND) * sizes)
+            & ~((kind[i] == 1) & (kind[other] == 1))
+        )
+        at = np.flatnonzero(may)
+        if len(at):
+            apart = np.abs(shape[i + 1 + at] - shape[i]).sum(axis=1, dtype=np.int64)
+            at = at[(100 + BOUND) * apart <= (100 - BOUND) * sizes[at]] + i + 1
+            one.append(np.minimum(v[at], v[i]))
+            two.append(np.maximum(v[at], v[i]))
+    return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)})
+
+
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling()
     for batch in batches:
@@ -258,6 +286,8 @@ def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) ->
     lists that hold it. Lists whose members are then in several components are
     starred again, each around a member of its own, and at last all their pairs
     across components are checked, so no component lacks a link that some pair has.
+    Lists of more than 64 members are then compared in blocks inside tasks, which
+    give out close pairs only.
     A check compares counts per hash range first, which bound the difference of two
     sets from below, and then the sets of the texts themselves.
     """
@@ -291,6 +321,15 @@ def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) ->
         both = left.join(shapes.select(F.col("v").alias("b"), F.col("profile").alias("right")), "b")
         return both.select("a", "b", "sizes", "left", "right").mapInArrow(_possible, "a bigint, b bigint")
 
+    def blocked(rows: DataFrame) -> DataFrame:
+        count = F.ceil(F.col("length") / BLOCK).cast("int")
+        rows = rows.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("v"), F.col("count")).cast("int"))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+        rows = rows.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+        rows = rows.join(shapes.select("v", "profile"), "v")
+        columns = ["key", "low", "high", "v", "n", "kind", "ahead", "comp", "block", "profile"]
+        return rows.select(columns).groupBy("key", "low", "high").applyInArrow(_block_pairs, "a bigint, b bigint")
+
     def checked(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("left")), "a")
         both = left.join(texts.select(F.col("v").alias("b"), F.col("text").alias("right")), "b")
@@ -318,6 +357,10 @@ def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) ->
                 F.col("s.ahead").alias("before"), F.col("s.comp").alias("apart"),
             )
         else:
+            lengths = open_lists.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > LONG_LIST)
+            lengths = stage(lengths, "near-lengths")
+            blocks = blocked(open_lists.join(lengths, "key"))
+            open_lists = open_lists.join(lengths, "key", "left_anti")
             centres = open_lists.select(
                 "key", F.col("v").alias("c"), F.col("n").alias("m"), F.col("kind").alias("other"),
                 F.col("ahead").alias("before"), F.col("comp").alias("apart"),
@@ -329,10 +372,10 @@ def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) ->
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
-        close = stage(possible(pairs), "near-possible")
+        close = possible(pairs)
+        close = stage(close if turn < STAR_ROUNDS else close.union(blocks).distinct(), "near-possible")
         texts = texts_of(close, texts)
         found = stage(checked(close), "near-links")
-        if DEBUG: print("turn", turn, "open", open_lists.count(), "pairs", pairs.count(), "close", close.count(), "links", found.count(), "lists", open_lists.groupBy("key").count().agg(F.max("count"),F.count("*")).collect(), flush=True)
         links = found if links is None else links.unionByName(found)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
     return links

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions.relational import small_side, stage
@@ -296,9 +296,9 @@ def fit(
     chosen = stage(sketched, "train-sketches")
     for k in range(4):
         chosen = chosen.groupBy(f"s{k}", "label").agg(F.min_by(F.struct(*chosen.columns), "id").alias("r")).select("r.*")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("s0", "id"))
     sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = stage(chosen.withColumn("rank", rank).where(F.col("rank") <= per_class).select("id", "label"), "train-ids")
+    first = [chosen.where(F.col("label") == k).orderBy("s0", "id").limit(per_class) for k in (0, 1)]
+    chosen = stage(first[0].unionByName(first[1]).select("id", "label"), "train-ids")
     sample = stage(rows.join(F.broadcast(chosen), "id").select("text", "label"), "train-texts")
     found = sample.mapInArrow(_contexts, "word string, label int, around string").distinct()
     words = stage(found.groupBy("word").agg(
