@@ -254,7 +254,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, labels, around = [], [], []
         for text, label in zip(map(bytes.split, raw_texts(batch.column(0))), batch.column(1), strict=True):
             ws = [_plain(w) for w in text]
-            seen = set(zip(ws, ["", *ws[:-1]], [*ws[1:], ""], strict=True))
+            seen = set(zip(ws, ["", *ws], [*ws[1:], ""], strict=False))
             for w, left, right in seen:
                 if 3 <= len(w) <= _LONGEST:
                     words.append(w)
