@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 _own_dirs: dict[str, str | None] = {}
 
 
@@ -19,7 +20,7 @@ def work_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
         root = _own_dirs.setdefault(app, None) or tempfile.mkdtemp(prefix="codicil-")
@@ -44,13 +45,14 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if the table is counted to be within ``max_rows``.
+    """Broadcast hint only if the table is measured to be within ``max_rows`` and 64 MB.
 
-    Beyond the bound the plain table comes back and the join shuffles, with
-    adaptive skew handling.
+    Beyond either bound the plain table comes back and the join shuffles, with
+    adaptive skew handling. A row is measured by its JSON form.
     """
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
+    size = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)).cast("bigint")
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and total <= BROADCAST_BYTES else df
 
 
 def join_hot(

@@ -148,9 +148,9 @@ def compare_modes(single: DataFrame, looped: DataFrame) -> DataFrame:
     )
 
 
-def answer_context(excerpts: DataFrame) -> DataFrame:
-    """G-08. Writer input per question: at most twelve numbered, wrapped excerpts."""
-    kept = top_k(excerpts, ["query_id"], [F.col("excerpt_no").asc()], MAX_EXCERPTS, "__n").drop("__n")
+def answer_context(excerpts: DataFrame, max_excerpts: int = MAX_EXCERPTS) -> DataFrame:
+    """G-08. Writer input per question: at most ``max_excerpts`` numbered, wrapped excerpts."""
+    kept = top_k(excerpts, ["query_id"], [F.col("excerpt_no").asc()], max_excerpts, "__n").drop("__n")
     piece = F.concat(F.lit("["), F.col("excerpt_no"), F.lit("] "), wrap_untrusted("text"))
     return kept.groupBy("query_id").agg(
         F.count("*").alias("excerpts"),

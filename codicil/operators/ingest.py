@@ -199,13 +199,17 @@ def chunk_cases(pages: DataFrame) -> DataFrame:
 def version_diff(prev: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """I-08. Change per key between two snapshots, with its note.
 
-    Texts are hashed before the join, so the shuffle carries keys and digests.
+    Texts are hashed before the join, so the shuffle carries keys and digests. Null
+    keys are equal to each other, and a null text is a text like any other.
     """
     def digest(df: DataFrame, side: str) -> DataFrame:
         extra = [F.col("effective_from"), F.col("as_at")] if side == "new" else []
-        return df.select(*key, F.md5(squash("text")).alias(f"{side}_hash"), *extra)
+        keys = [F.col(k).alias(f"{side}_{k}") for k in key]
+        return df.select(*keys, F.coalesce(F.md5(squash("text")), F.lit("")).alias(f"{side}_hash"), *extra)
 
-    both = digest(prev, "prev").join(digest(new, "new"), key, "full_outer")
+    same = [F.col(f"prev_{k}").eqNullSafe(F.col(f"new_{k}")) for k in key]
+    both = digest(prev, "prev").join(digest(new, "new"), same, "full_outer")
+    both = both.withColumns({k: F.coalesce(f"prev_{k}", f"new_{k}") for k in key})
     change = (
         F.when(F.col("prev_hash").isNull(), "added")
         .when(F.col("new_hash").isNull(), "removed")
@@ -254,11 +258,12 @@ def stamp(versions: DataFrame, as_at: dt.date) -> DataFrame:
 def as_of(versions: DataFrame, d: dt.date) -> DataFrame:
     """I-10. The version of each section that is valid on ``d``.
 
-    Predicates reach the scan, then the latest started version is kept with a
-    partial aggregate; rows of one section never gather.
+    Predicates reach the scan, a given ``effective_to`` included; then the latest
+    started version is kept with a partial aggregate, so a section never gathers.
     """
     facts = [c for c in versions.columns if c not in (*SECTION_KEY, "version", "effective_from")]
-    started = versions.where(F.col("effective_from") <= F.lit(d))
+    valid = in_force_at(d) if "effective_to" in versions.columns else F.col("effective_from") <= F.lit(d)
+    started = versions.where(valid)
     latest = started.groupBy(*SECTION_KEY).agg(
         F.max(F.struct("effective_from", "version", *facts)).alias("v")
     )

@@ -281,24 +281,24 @@ def overlap_recall(exact: DataFrame, found: DataFrame) -> DataFrame:
 
 # --- fusion, boosts, rerank -----------------------------------------------
 
-def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """R-05. Reciprocal rank fusion of any number of ranked lists."""
+def rrf(lists: list[DataFrame], k: int = RRF_K, pool: int = POOL) -> DataFrame:
+    """R-05. Reciprocal rank fusion of any number of ranked lists; the best ``pool`` per question."""
     pooled = lists[0].select("query_id", "chunk_id", "rank")
     for other in lists[1:]:
         pooled = pooled.unionByName(other.select("query_id", "chunk_id", "rank"))
     fused = pooled.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score")
     )
-    return top_k(fused, ["query_id"], best_first(), POOL)
+    return top_k(fused, ["query_id"], best_first(), pool)
 
 
-def boost(cands: DataFrame, weights: dict[str, tuple[Column, float]]) -> DataFrame:
-    """R-06. Soft boosts after fusion: multiply by (1 + weight) per rule that holds."""
+def boost(cands: DataFrame, weights: dict[str, tuple[Column, float]], pool: int = POOL) -> DataFrame:
+    """R-06. Soft boosts after fusion: multiply by (1 + weight) per rule that holds; the best ``pool`` stay."""
     factor = F.lit(1.0)
     for cond, weight in weights.values():
         factor = factor * F.when(cond, F.lit(1.0 + weight)).otherwise(F.lit(1.0))
     boosted = cands.drop("rank").withColumn("score", F.round(F.col("score") * factor, 6))
-    return top_k(boosted, ["query_id"], best_first(), POOL)
+    return top_k(boosted, ["query_id"], best_first(), pool)
 
 
 def lexical_relevance() -> Column:
@@ -345,9 +345,9 @@ def rerank(
     return top_k(scored.select("query_id", "chunk_id", "fused_rank", "score"), ["query_id"], order, keep, "excerpt_no")
 
 
-def number_excerpts(cands: DataFrame) -> DataFrame:
-    """R-13. Excerpt numbers [n] per query, by final rank."""
-    return top_k(cands, ["query_id"], [F.col("rank").asc(), F.col("chunk_id").asc()], 12, "excerpt_no")
+def number_excerpts(cands: DataFrame, max_excerpts: int = 12) -> DataFrame:
+    """R-13. Excerpt numbers [n] per query, by final rank, up to the excerpt budget."""
+    return top_k(cands, ["query_id"], [F.col("rank").asc(), F.col("chunk_id").asc()], max_excerpts, "excerpt_no")
 
 
 def calibrate(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -410,12 +410,12 @@ def retrieve(
     dense = stage(dense_exact(vectors, embed(queries), k), "dense")
     if modes:
         dense = lexical_only(dense, queries, modes)
-    fused = rrf([sparse, dense])
+    fused = rrf([sparse, dense], pool=k)
     if boosts:
         facts = chunks.select("chunk_id", "act", "section_no", "authority_level", "doc_type")
-        fused = boost(facts.join(small_side(fused), "chunk_id"), boosts)
+        fused = boost(facts.join(small_side(fused), "chunk_id"), boosts, pool=k)
     fused = stage(fused.select("query_id", "chunk_id", "score", "rank"), "fused")
-    return rerank(fused, chunks, queries, keep=keep)
+    return rerank(fused, chunks, queries, take=k, keep=keep)
 
 
 def section_history(versions: DataFrame) -> DataFrame:

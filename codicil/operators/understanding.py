@@ -89,25 +89,32 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, max_n: int = 5) -> D
     return first.unionByName(extra)
 
 
-ACT_NUMBER = r"(Act [0-9]+ of [0-9]{4})"
+ACT_NUMBER = r"\b(?i:act)(?: (?i:no|number)\.?)? ?([0-9]+ of [0-9]{4})"
 
 
-def named_acts(queries: DataFrame, acts: DataFrame, max_words: int = 4) -> DataFrame:
+def named_acts(queries: DataFrame, acts: DataFrame) -> DataFrame:
     """Q-04. Acts a question names, by number or by alias.
 
-    ``acts`` is (alias, act). The question's word runs meet the aliases in an
-    equi-join, so no alias is tried against every question.
+    ``acts`` is (alias, act); an alias may be a number (``Act 71 of 2008``). The
+    question's word runs, up to the longest alias, meet the aliases in an
+    equi-join, so no alias is tried against every question. A number that no alias
+    resolves stays as an Act of its own.
     """
-    cited = queries.select(
-        "query_id", F.explode_outer(F.regexp_extract_all("text", F.lit(ACT_NUMBER), F.lit(1))).alias("act")
-    ).where(F.col("act").isNotNull())
+    known = acts.select(F.array_join(tokens("alias"), " ").alias("alias"), "act").distinct()
+    max_words = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    numbers = queries.select(
+        "query_id", F.explode_outer(F.regexp_extract_all("text", F.lit(ACT_NUMBER), F.lit(1))).alias("number")
+    ).where(F.col("number").isNotNull())
+    numbers = numbers.select("query_id", F.concat(F.lit("act "), F.lower("number")).alias("alias"), "number")
+    by_number = numbers.join(small_side(known), "alias", "left").select(
+        "query_id", F.coalesce("act", F.concat(F.lit("Act "), F.col("number"))).alias("act")
+    )
     runs = queries.select("query_id", tokens("text").alias("toks")).withColumn(
         "alias",
         F.explode_outer(F.array_distinct(F.flatten(F.array(*[shingles(F.col("toks"), w) for w in range(1, max_words + 1)])))),
     )
-    known = acts.select(F.array_join(tokens("alias"), " ").alias("alias"), "act").distinct()
     by_alias = runs.join(small_side(known), "alias").select("query_id", "act")
-    return cited.unionByName(by_alias).distinct()
+    return by_number.unionByName(by_alias).distinct()
 
 
 def jurisdiction_gate(named: DataFrame, acts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,36 +57,44 @@ def snapshot(df: DataFrame, path: str, snapshot_id: str, by: str = "jurisdiction
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """S-05. Rows of ``new`` replace those of ``old`` by key; twice equals once.
 
+    Null keys are equal to each other. A key that ``new`` holds twice is refused.
     Only the keys of ``new`` meet ``old``, so a small delta is broadcast by its
     real size and the old texts are not moved.
     """
-    kept = old.join(new.select(*key), key, "left_anti")
+    if not new.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"repeated keys in the new rows: {key}")
+    named = new.select(*[F.col(k).alias(f"__new_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"__new_{k}")) for k in key]
+    kept = old.join(named, same, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
 def publish(snapshot_df: DataFrame, gate: DataFrame, root: str, snapshot_id: str) -> DataFrame:
     """S-06. Stage a snapshot, then point readers to it for the corpora that pass.
 
-    ``gate`` is (corpus_id, passed, reasons). The pointer table is append-only;
-    a blocked corpus keeps its former pointer. Returns the decisions.
+    ``gate`` is (corpus_id, passed, reasons). The pointer table is append-only and
+    numbered, so the last published snapshot counts, whatever its name; a blocked
+    corpus keeps its former pointer. A failed run can be repeated: staging is
+    written anew. Returns the decisions.
     """
     staged = f"{root}/staging/snapshot_id={snapshot_id}"
-    snapshot_df.hint("rebalance", "corpus_id").write.mode("errorifexists").partitionBy("corpus_id").parquet(staged)
+    snapshot_df.hint("rebalance", "corpus_id").write.mode("overwrite").partitionBy("corpus_id").parquet(staged)
     spark = snapshot_df.sparkSession
     decided = gate.withColumn("snapshot_id", F.lit(snapshot_id))
     decided.write.mode("append").parquet(f"{root}/decisions")
     done = spark.read.schema(decided.schema).parquet(f"{root}/decisions").where(F.col("snapshot_id") == snapshot_id)
-    done.where("passed").select("corpus_id", "snapshot_id").write.mode("append").parquet(f"{root}/published")
+    turn = F.lit(time.time_ns() // 1000).alias("published_us")
+    done.where("passed").select("corpus_id", "snapshot_id", turn).distinct().write.mode("append").parquet(f"{root}/published")
     return done
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    """The newest published snapshot of each corpus; snapshot ids sort by age."""
+    """The snapshot of each corpus that was published last."""
     pointers = (
-        spark.read.schema("corpus_id string, snapshot_id string")
+        spark.read.schema("corpus_id string, snapshot_id string, published_us bigint")
         .parquet(f"{root}/published")
         .groupBy("corpus_id")
-        .agg(F.max("snapshot_id").alias("snapshot_id"))
+        .agg(F.max_by("snapshot_id", F.struct("published_us", "snapshot_id")).alias("snapshot_id"))
     )
     found = spark.read.parquet(f"{root}/staging").schema
     names = T.StructType([T.StructField(f.name, T.StringType() if f.name in pointers.columns else f.dataType) for f in found])

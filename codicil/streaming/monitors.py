@@ -26,10 +26,16 @@ def event_time(stream: DataFrame, column: str = "ts") -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", by: list[str] | None = None) -> DataFrame:
-    """Process all available input once, exactly once per checkpoint, and read the sink."""
+def run_available(
+    stream: DataFrame, name: str, mode: str = "append", by: list[str] | None = None, path: str | None = None
+) -> DataFrame:
+    """Process all available input once, exactly once per checkpoint, and read the sink.
+
+    With ``path``, sink and checkpoint stay there, so a later call takes only what
+    is new; without, each call starts afresh.
+    """
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-checkpoint")
     if by:
         writer = writer.partitionBy(*by)
