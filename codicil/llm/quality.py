@@ -9,6 +9,8 @@ from codicil.functions.relational import small_side, stage
 from codicil.llm.words import BLANKS, text_of, word_array
 
 BUCKETS = 1 << 14
+#: Grams of prior mass that draw the trusted multinomial towards the raw one, so that little evidence weighs little.
+PRIOR = 1000.0
 
 
 def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,7 +32,7 @@ def with_grams(df: DataFrame, buckets: int) -> DataFrame:
 def likelihood_weights(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS
 ) -> DataFrame:
-    """One row: ``weights``, the log ratio per bucket of the trusted over the raw multinomial, each add-one smoothed.
+    """One row: ``weights``, the log ratio per bucket of the trusted multinomial, smoothed by the raw one, over the raw.
 
     With no trusted row every weight is 0, so nothing is rejected by the ratio.
     """
@@ -46,6 +48,7 @@ def likelihood_weights(
     counts = grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("__target").alias("target"))
     counts = stage(counts, "gram-counts")
     totals = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    share = F.col("raw") / F.col("n_raw")
     grid = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     weighed = (
         grid.join(counts, "bucket", "left")
@@ -54,9 +57,8 @@ def likelihood_weights(
         .select(
             "bucket",
             F.when(
-                F.col("n_target") > 0,
-                F.log((F.coalesce("target", F.lit(0)) + 1) / (F.col("n_target") + buckets))
-                - F.log((F.coalesce("raw", F.lit(0)) + 1) / (F.col("n_raw") + buckets)),
+                (F.col("n_target") > 0) & (F.col("raw") > 0),
+                F.log((F.col("target") + PRIOR * share) / (F.col("n_target") + PRIOR)) - F.log(share),
             )
             .otherwise(F.lit(0.0))
             .alias("weight"),
