@@ -22,6 +22,8 @@ _OFFSETS = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
 _WEIGHTS = np.array([DECAY ** (o[-1] - ORDER + 1) for o in _OFFSETS])
 _ENTRIES = 400_000
 _LONGEST = 40
+#: Words of a text, and rows of a batch, that the gathering of neighbourhoods holds at a time.
+_SPAN_WORDS = 50_000
 STEMS = (4, 5, 6)
 
 
@@ -248,22 +250,46 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _neighbourhoods(text: bytes) -> Iterator[set[tuple[str, str, str]]]:
+    """Distinct (left, word, right) of a text, a span of its words at a time."""
+    words = text.split()
+    for lo in range(0, len(words), _SPAN_WORDS):
+        part = [_plain(w) for w in words[max(lo - 1, 0) : lo + _SPAN_WORDS + 1]]
+        part = part if lo else ["", *part]
+        part = part if lo + _SPAN_WORDS < len(words) else [*part, ""]
+        yield set(zip(part, part[1:], part[2:], strict=False))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, label, neighbours) of each distinct word in its neighbourhood, per text."""
-    for batch in batches:
-        words, labels, around = [], [], []
-        for text, label in zip(map(bytes.split, raw_texts(batch.column(0))), batch.column(1), strict=True):
-            ws = [_plain(w) for w in text]
-            seen = set(zip(ws, ["", *ws], [*ws[1:], ""], strict=False))
-            for w, left, right in seen:
-                if 3 <= len(w) <= _LONGEST:
-                    words.append(w)
-                    labels.append(label.as_py())
-                    around.append(f"{left} {right}")
-        yield pa.RecordBatch.from_arrays(
+    """(word, label, neighbours) of each distinct word in its neighbourhood, per span of a text.
+
+    Rows leave in batches of bounded size, however many texts a task gets and however long they are.
+    """
+    words: list[str] = []
+    labels: list[int] = []
+    around: list[str] = []
+
+    def held() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.string())],
             names=["word", "label", "around"],
         )
+        words.clear()
+        labels.clear()
+        around.clear()
+        return out
+
+    for batch in batches:
+        for text, label in zip(raw_texts(batch.column(0)), batch.column(1), strict=True):
+            for seen in _neighbourhoods(text):
+                for left, w, right in seen:
+                    if 3 <= len(w) <= _LONGEST:
+                        words.append(w)
+                        labels.append(label.as_py())
+                        around.append(f"{left} {right}")
+                if len(words) >= _SPAN_WORDS:
+                    yield held()
+    yield held()
 
 
 def fit(

@@ -265,3 +265,21 @@ def test_pipeline_stages_take_effect(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert out.count() == sizes[-1] and sizes[0] > sizes[1] > sizes[2] >= sizes[3]
 
+
+
+@pytest.mark.parametrize("span", [1, 2, 7, 50_000])
+def test_neighbourhoods_do_not_depend_on_the_span(monkeypatch, span):
+    import pyarrow as pa
+
+    from codicil.llm import toxicity as tox
+
+    monkeypatch.setattr(tox, "_SPAN_WORDS", span)
+    draw = random.Random(span)
+    for n in (0, 1, 2, 3, 6, 7, 8, 15, 40):
+        words = [draw.choice(["abc", "defg", "xy", "hijkl"]) for _ in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words)]), pa.array([1], pa.int32())], names=["text", "label"])
+        out = list(tox._contexts(iter([batch, batch])))
+        got = {x for o in out for x in zip(o.column(0).to_pylist(), o.column(2).to_pylist(), strict=True)}
+        around = zip(["", *words], words, [*words[1:], ""], strict=False)
+        assert got == {(w, f"{left} {right}") for left, w, right in around if len(w) >= 3}
+        assert sum(o.column(1).to_pylist().count(1) for o in out) == sum(o.num_rows for o in out)
