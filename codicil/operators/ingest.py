@@ -27,6 +27,29 @@ ENTITIES = (
     ("&#39;", "'"),
     ("&copy;", "©"),
     ("&middot;", "·"),
+    ("&apos;", "'"),
+    ("&sect;", "§"),
+    ("&#167;", "§"),
+    ("&para;", "¶"),
+    ("&auml;", "ä"),
+    ("&ouml;", "ö"),
+    ("&uuml;", "ü"),
+    ("&Auml;", "Ä"),
+    ("&Ouml;", "Ö"),
+    ("&Uuml;", "Ü"),
+    ("&szlig;", "ß"),
+    ("&agrave;", "à"),
+    ("&ccedil;", "ç"),
+    ("&eacute;", "é"),
+    ("&egrave;", "è"),
+    ("&ntilde;", "ñ"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&lsquo;", "‘"),
+    ("&rsquo;", "’"),
+    ("&ldquo;", "“"),
+    ("&rdquo;", "”"),
+    ("&euro;", "€"),
     ("&amp;", "&"),
 )
 

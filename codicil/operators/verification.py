@@ -14,7 +14,16 @@ from codicil.functions.relational import join_hot, small_side
 from codicil.functions.text import squash, tokens
 
 CITE = r"\[([0-9]+)\]"
-REF = r"(?:^|[^\p{L}\p{N}])(?i:s|ss|sec|section|art|article|§) ?([0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*)"
+NUMBER = r"[0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*"
+# Heads of a section reference. One number follows a singular head, a list of them a plural one.
+ONE = r"s|sec|section|art|article|reg|regulation|§"
+MANY = r"ss|secs|sections|arts|articles|regs|regulations|§§"
+JOIN = r"(?: ?, ?(?:(?:and|or|und|et|y) )?| (?:and|or|to|und|oder|bis|et|ou|y|&) )"
+REF = rf"(?:^|[^\p{{L}}\p{{N}}])(?i:{ONE})\.? ?({NUMBER})"
+REF_LIST = rf"(?:^|[^\p{{L}}\p{{N}}])(?i:{MANY})\.? ?({NUMBER}(?:{JOIN}{NUMBER})*)"
+# Abbreviations whose dot before a number does not end a sentence.
+SHORT = r"(^|[^\p{L}\p{N}])((?i:s|ss|sec|secs|art|arts|reg|regs|no|nos|nr|abs|para|paras|cl|ch))\.[ \t]+([0-9(])"
+HELD = "\ue000"
 NUMBERED = r"(?:^|[^\p{L}\p{N}])([0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*)"
 
 # Words that negate a statement.
@@ -34,13 +43,17 @@ def cites_of(text: Column) -> Column:
 
 
 def refs_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(REF), F.lit(1)))
+    """Section numbers referred to, alone or in a list after a plural head; of a range, both ends."""
+    lists = F.regexp_extract_all(text, F.lit(REF_LIST), F.lit(1))
+    listed = F.flatten(F.transform(lists, lambda l: F.regexp_extract_all(l, F.lit(NUMBER), F.lit(0))))
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(REF), F.lit(1)), listed))
 
 
 def split_claims(answers: DataFrame) -> DataFrame:
-    """V-03. Sentences with the excerpts they cite; cut at sentence and line ends."""
-    cut = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
-    parts = F.filter(F.transform(cut, lambda p: squash(p)), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    """V-03. Sentences with the excerpts they cite; cut at sentence and line ends, not after "s." or "No." before a number."""
+    joined = F.regexp_replace("text", SHORT, f"$1$2.{HELD}$3")
+    cut = F.split(F.regexp_replace(joined, r"([.!?])\s+", "$1\n"), "\n")
+    parts = F.filter(F.transform(cut, lambda p: squash(F.replace(p, F.lit(HELD), F.lit(" ")))), lambda p: p.rlike(r"[\p{L}\p{N}]"))
     return (
         answers.select("query_id", "attempt", F.posexplode_outer(parts).alias("claim_no", "claim"))
         .where(F.col("claim").isNotNull())
@@ -96,7 +109,7 @@ def section_realism(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
 
 def claim_body(claim: Column) -> Column:
     """Claim words without citations and section references."""
-    return F.regexp_replace(F.regexp_replace(claim, CITE, " "), REF, " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(claim, CITE, " "), REF_LIST, " "), REF, " ")
 
 
 def lexical_support(share: float = 0.5) -> Column:

@@ -358,9 +358,11 @@ def answer_parse(spark, sf):
 # Verification --------------------------------------------------------------
 
 CITES = r"list_sort(list_distinct(list_transform(regexp_extract_all({t}, '\[([0-9]+)\]', 1), lambda n: TRY_CAST(n AS BIGINT))))"
-REFS = "list_distinct(regexp_extract_all({t}, '" + vf.REF + "', 1))"
-CLAIMS = rf"""claims0 AS (SELECT query_id, attempt, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)),
-     lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]')) AS ps FROM ans),
+LISTED = f"flatten(list_transform(regexp_extract_all({{t}}, '{vf.REF_LIST}', 1), lambda l: regexp_extract_all(l, '{vf.NUMBER}')))"
+REFS = "list_distinct(list_concat(regexp_extract_all({t}, '" + vf.REF + "', 1), " + LISTED + "))"
+CLAIMS = rf"""claims0 AS (SELECT query_id, attempt, list_filter(list_transform(string_split(regexp_replace(
+     regexp_replace(text, '{vf.SHORT}', '\1\2.{vf.HELD}\3', 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)),
+     lambda p: trim(regexp_replace(replace(p, '{vf.HELD}', ' '), '\s+', ' ', 'g'))), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]')) AS ps FROM ans),
 claims1 AS (SELECT query_id, attempt, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS claim_no, unnest(ps) AS claim FROM claims0),
 claims AS (SELECT *, {CITES.format(t='claim')} AS cited FROM claims1),
 pairs AS (SELECT c.*, e.act, e.section_no, e.text AS etext, e.as_at, e.status FROM (SELECT *, unnest(CASE WHEN len(cited) = 0 THEN [NULL] ELSE cited END) AS n FROM claims) c
@@ -375,7 +377,7 @@ reftest AS (SELECT r.*, bool_or(coalesce(ref = section_no
    FROM refs r JOIN pairs p USING (query_id, attempt, claim_no) GROUP BY ALL),
 invented AS (SELECT query_id, attempt, claim_no, ref FROM reftest WHERE NOT ok)"""
 NEG = "[" + ", ".join(f"'{w}'" for w in vf.NEGATIONS) + "]"
-BODY = rf"regexp_replace(regexp_replace(claim, '\[([0-9]+)\]', ' ', 'g'), '{vf.REF}', ' ', 'g')"
+BODY = rf"regexp_replace(regexp_replace(regexp_replace(claim, '\[([0-9]+)\]', ' ', 'g'), '{vf.REF_LIST}', ' ', 'g'), '{vf.REF}', ' ', 'g')"
 VERDICTS = rf"""vt AS (SELECT query_id, attempt, claim_no, claim, cited, list_distinct({tok(BODY)}) AS ct, CASE WHEN etext IS NOT NULL THEN {tok('etext')} END AS et FROM pairs),
 vv AS (SELECT *, CASE WHEN et IS NULL OR (CASE WHEN len(ct) > 0 THEN len(list_intersect(ct, et)) / len(ct) ELSE 0.0 END) < 0.5 THEN 0
    WHEN len(list_filter(ct, lambda t: regexp_matches(t, '^[0-9]+$') AND NOT list_contains(et, t))) > 0 OR list_has_any(ct, {NEG}) <> list_has_any(et, {NEG}) THEN 1 ELSE 2 END AS o FROM vt),

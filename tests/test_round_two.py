@@ -9,6 +9,7 @@ from codicil.functions import relational
 from codicil.operators import ingest as ig
 from codicil.operators import retrieval as rt
 from codicil.operators import understanding as un
+from codicil.operators import verification as vf
 from codicil.sources import corpus as src
 from codicil.streaming import monitors as mo
 
@@ -80,3 +81,30 @@ def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
     assert relational.small_side(df) is not df
     monkeypatch.setattr(relational, "BROADCAST_BYTES", 5000)
     assert relational.small_side(df) is df
+
+
+def test_references_as_they_are_written(spark):
+    forms = [
+        ("under sections 9145 and 9146", ["9145", "9146"]),
+        ("s. 9145 and Sec. 12(1)", ["9145", "12(1)"]),
+        ("arts 5, 6 or 7 and reg 9145", ["5", "6", "7", "9145"]),
+        ("§§ 5, 9146", ["5", "9146"]),
+        ("ss 5 to 9", ["5", "9"]),
+        ("s 5 and 10 days", ["5"]),
+        ("s 9 and s 37", ["9", "37"]),
+        ("classes 5 and items 6", []),
+    ]
+    df = spark.createDataFrame(forms, "text string, want array<string>").select("text", "want", vf.refs_of(F.col("text")).alias("got"))
+    assert {r.text: set(r.got) for r in df.collect()} == {t: set(w) for t, w in forms}
+
+
+def test_abbreviations_do_not_end_a_claim(spark):
+    text = "Under s. 9145 of Act No. 66 the employer must pay [1]. No. It ends in s.\nNew line."
+    got = vf.split_claims(spark.createDataFrame([(1, 1, text)], "query_id bigint, attempt int, text string")).orderBy("claim_no").collect()
+    assert [r.claim for r in got] == ["Under s. 9145 of Act No. 66 the employer must pay [1].", "No.", "It ends in s.", "New line."]
+    assert got[0].cited == [1]
+
+
+def test_named_entities(spark):
+    df = spark.createDataFrame([("<p>&sect; 5 Bu&szlig;geld &#167; 6 &amp;lt;</p>",)], "html string")
+    assert ig.normalize_html(df).first().text == "§ 5 Bußgeld § 6 &lt;"
