@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codicil.llm.words import raw_texts, text_of
 
-_ENTRIES = 200_000
+_ENTRIES = 100_000
 _LONGEST_KEPT = 64
 #: Chunks of these characters are in composed form, lower-case one to one, and need no library call.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
@@ -79,6 +79,9 @@ class Recent:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -174,6 +177,11 @@ class Vocabulary:
                 decoded.append(found[1])
         return b"".join(ids), b" ".join(decoded)
 
+    def forget(self) -> None:
+        """Drop the computed values; a Python worker outlives its task and serves later stages."""
+        self._chunks.clear()
+        self._words.clear()
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -202,22 +210,25 @@ def bpe(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
-            n_tokens, left, right = [], [], []
-            for text in raw_texts(batch.column(1)):
-                ids, decoded = vocab.encode(text)
-                n_tokens.append(len(ids) // 4)
-                left.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<u4").astype(np.int32))
-                right.append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(left, pa.string() if digests else pa.list_(pa.int32())),
-                    pa.array(right, pa.string()),
-                ],
-                names=[id_col, "n_tokens", *[c.split()[0] for c in tail.split(", ")]],
-            )
+        try:
+            for batch in batches:
+                n_tokens, left, right = [], [], []
+                for text in raw_texts(batch.column(1)):
+                    ids, decoded = vocab.encode(text)
+                    n_tokens.append(len(ids) // 4)
+                    left.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<u4").astype(np.int32))
+                    right.append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(n_tokens, pa.int64()),
+                        pa.array(left, pa.string() if digests else pa.list_(pa.int32())),
+                        pa.array(right, pa.string()),
+                    ],
+                    names=[id_col, "n_tokens", *[c.split()[0] for c in tail.split(", ")]],
+                )
+        finally:
+            vocab.forget()
 
     rows = docs.select(F.col(id_col), text_of(F.col(text_col)).alias("text"))
     kind = rows.schema[0].dataType.simpleString()

@@ -20,7 +20,7 @@ _CLASSES = 64
 _LEAST = -2.0
 _OFFSETS = [(0, *rest) for rest in combinations(range(1, SPAN), ORDER - 1)]
 _WEIGHTS = np.array([DECAY ** (o[-1] - ORDER + 1) for o in _OFFSETS])
-_ENTRIES = 400_000
+_ENTRIES = 200_000
 _LONGEST = 40
 #: Words of a text, and rows of a batch, that the gathering of neighbourhoods holds at a time.
 _SPAN_WORDS = 50_000
