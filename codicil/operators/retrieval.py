@@ -67,6 +67,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _bm25_score(
     hits: DataFrame, wanted: DataFrame, df: DataFrame, stats: DataFrame, k: int, k1: float, b: float
 ) -> DataFrame:
+    """Best ``k`` chunks per question.
+
+    Weights of checked size meet the postings dealt by chunk, so a chunk's score is
+    whole in its task and each task sends on at most ``k`` chunks a question.
+    """
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damp = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     weighted = (
@@ -74,8 +79,14 @@ def _bm25_score(
         .join(stats, "jurisdiction")
         .select("query_id", "jurisdiction", "term", "avgdl", idf.alias("idf"))
     )
+    weights = stage(weighted, "weights")
+    shipped, on = small_side(weights), ["jurisdiction", "term"]
+    if shipped is not weights:
+        met = hits.repartition("chunk_id").join(shipped, on)
+    else:
+        met = join_hot(hits, weights, on, "chunk_id")
     scored = (
-        join_hot(hits, stage(weighted, "weights"), ["jurisdiction", "term"], "chunk_id")
+        met
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / damp), 6).alias("score"))
     )

@@ -520,13 +520,14 @@ def v13(spark, sf):
     return out.select("query_id", "refused", "answer", "match_count", "confidence", F.col("results.chunk_id").alias("chunks"))
 
 
-@register("v14_review_documents", with_(DRAFTS, rf"""dr AS (SELECT query_id AS doc_id, source AS act, unnest({REFS.replace('{t}', 'a.text')}) AS ref FROM ans a JOIN documents d ON d.doc_id = a.query_id WHERE attempt = 1),
+@register("v14_review_documents", with_(DRAFTS, rf"""dr AS (SELECT query_id * 10 + attempt AS doc_id, source AS act, unnest({REFS.replace('{t}', 'a.text')}) AS ref FROM ans a JOIN documents d ON d.doc_id = a.query_id),
    live AS (SELECT act, section_no, bool_or(status = 'in_force') AS live FROM exc GROUP BY ALL)""",
    body="""SELECT doc_id, d.act, ref, CASE WHEN live IS NULL THEN 'not_held' ELSE 'not_in_force' END AS finding FROM dr d LEFT JOIN live l
    ON l.act = d.act AND l.section_no = regexp_extract(ref, '^([0-9]+[A-Za-z]?)', 1) WHERE live IS NULL OR NOT live"""))
 def v14(spark, sf):
     home = table(spark, sf, "documents").select("doc_id", F.col("source").alias("act"))
-    mine = drafts.answers(spark, sf).where("attempt = 1").select(F.col("query_id").alias("doc_id"), "text").join(home, "doc_id")
+    drafted = drafts.answers(spark, sf).join(home, F.col("query_id") == F.col("doc_id"))
+    mine = drafted.select((F.col("query_id") * 10 + F.col("attempt")).alias("doc_id"), "act", "text")
     return vf.review_documents(mine, drafts.excerpts(spark, sf))
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -48,6 +49,11 @@ def test_bm25_by_hand(chunks, asked):
     assert (12, 4) not in got and all(c in (3, 4) for q, c in got if q == 11)
 
 
+def test_scores_are_cut_before_they_are_shuffled(chunks, asked):
+    plan = rt.bm25(chunks, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", plan)
+
+
 def test_adding_a_corpus_changes_no_other_ranks(spark, chunks, asked):
     more = chunks.where("jurisdiction = 'gb'").withColumn("jurisdiction", F.lit("nz")).withColumn("chunk_id", F.col("chunk_id") + 100)
     assert rows(rt.bm25(chunks, asked)) == rows(rt.bm25(chunks.unionByName(more), asked))
