@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,11 +127,127 @@ def route(cells: dict[tuple[str, str], tuple[int, int]], quotas: dict[str, int],
     return {key: net.room[e ^ 1] for key, e in arcs.items()}
 
 
+class CellFlow:
+    """The flow of ``route`` on arrays, for any number of patterns: one entry per cell, sorted by pattern.
+
+    Augmenting paths run from source to source: ``a`` gives way to ``b`` in every
+    pattern where ``a`` holds flow and ``b`` has room, all patterns at once. Paths are
+    shortest, so a price takes at most about sources ** 3 of them, whatever the patterns.
+    """
+
+    def __init__(self, pattern: np.ndarray, source: np.ndarray, room: np.ndarray, quotas: np.ndarray) -> None:
+        self.pattern, self.room, self.quota = pattern, room.copy(), quotas.copy()
+        self.flow = np.zeros(len(pattern), np.int64)
+        order = np.argsort(source, kind="stable")
+        ends = np.searchsorted(source[order], np.arange(len(quotas) + 1))
+        #: Cells of each source, by pattern; no pattern twice.
+        self.cells = [order[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+        self.spare = np.zeros(int(pattern.max(initial=-1)) + 1, np.int64)
+
+    def _give(self, a: int) -> np.ndarray:
+        """Words per pattern that may leave source ``a``, or be taken anew for -1."""
+        if a < 0:
+            return self.spare
+        out = np.zeros(len(self.spare), np.int64)
+        out[self.pattern[self.cells[a]]] = self.flow[self.cells[a]]
+        return out
+
+    def _path(self) -> list[int]:
+        """Fewest sources from the spare words to a source below its quota."""
+        before: dict[int, int] = {}
+        queue = deque([-1])
+        while queue:
+            a = queue.popleft()
+            give = self._give(a)
+            for b, cells in enumerate(self.cells):
+                if b not in before and b != a and ((give[self.pattern[cells]] > 0) & (self.room[cells] > 0)).any():
+                    before[b] = a
+                    if self.quota[b]:
+                        path = [b]
+                        while path[-1] >= 0:
+                            path.append(before[path[-1]])
+                        return path[::-1]
+                    queue.append(b)
+        return []
+
+    def push(self) -> None:
+        """Route as much of ``spare`` as fits."""
+        while path := self._path():
+            moves = []
+            for a, b in zip(path, path[1:], strict=False):
+                cells = self.cells[b]
+                moves.append(np.minimum(self._give(a)[self.pattern[cells]], self.room[cells]))
+            words = min(int(self.quota[path[-1]]), *(int(m.sum()) for m in moves))
+            for a, b, move in zip(path, path[1:], moves, strict=False):
+                cells = self.cells[b]
+                move = np.clip(words - (np.cumsum(move) - move), 0, move)
+                self.room[cells] -= move
+                self.flow[cells] += move
+                gone = np.zeros(len(self.spare), np.int64)
+                gone[self.pattern[cells]] = move
+                if a < 0:
+                    self.spare -= gone
+                else:
+                    self.room[self.cells[a]] += gone[self.pattern[self.cells[a]]]
+                    self.flow[self.cells[a]] -= gone[self.pattern[self.cells[a]]]
+            self.quota[path[-1]] -= words
+
+
+def route_cells(
+    pattern: np.ndarray, source: np.ndarray, size: np.ndarray, unique: np.ndarray, quotas: np.ndarray, repeats: int = REPEATS
+) -> np.ndarray:
+    """Words taken per cell, at the cost of ``route``; ``pattern`` and ``source`` are numbers from 0."""
+    net = CellFlow(pattern, source, repeats * size, quotas)
+    once = np.ones(len(net.spare), np.int64)
+    np.maximum.at(once, pattern, unique)
+    left = np.zeros(len(once), np.int64)
+    np.add.at(left, pattern, repeats * size)
+    while left.any() and net.quota.any():
+        step = np.minimum(once, left)
+        left -= step
+        net.spare += step
+        net.push()
+    return net.flow
+
+
 def _named(source: Column) -> Column:
     """Sortable name of a source, null last."""
     return F.when(source.isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), source.cast("string")))
 
 
+def _flow_of_few(in_cell: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """Words taken per pattern and source, by ``route``."""
+    flow = route({(r["pattern"], r["source"]): (r["size"], r["unique"]) for r in in_cell.collect()}, quotas)
+    rows = [(p, s, n) for (p, s), n in flow.items()]
+    return in_cell.sparkSession.createDataFrame(rows, "pattern string, source string, flow bigint")
+
+
+def _flow_of_many(in_cell: DataFrame, names: list[str], quotas: dict[str, int], portion: int = 500_000) -> DataFrame:
+    """Words taken per pattern and source, by ``route_cells``; patterns travel as 128-bit hashes."""
+    spark = in_cell.sparkSession
+    number = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, place int")
+    hashes = [F.xxhash64("pattern").alias("p1"), F.xxhash64(F.lit(1), "pattern").alias("p2")]
+    cells = in_cell.join(F.broadcast(number), "source").select(*hashes, "place", "size", "unique")
+    found = {c: np.asarray(v) for c, v in zip(cells.columns, cells.toArrow().columns, strict=True)}
+    order = np.lexsort((found["place"], found["p2"], found["p1"]))
+    found = {c: v[order] for c, v in found.items()}
+    p1, p2 = found["p1"], found["p2"]
+    new = np.concatenate([[True], (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])])
+    taken = route_cells(
+        np.cumsum(new) - 1, found["place"], found["size"], found["unique"], np.array([quotas[s] for s in names], np.int64)
+    )
+    parts = []
+    for lo in range(0, len(taken), portion):
+        at = slice(lo, lo + portion)
+        part = pa.table({"p1": p1[at], "p2": p2[at], "place": found["place"][at], "flow": taken[at]})
+        parts.append(stage(spark.createDataFrame(part), "mix-flow"))
+    flow = parts[0]
+    for part in parts[1:]:
+        flow = flow.unionByName(part)
+    keyed = in_cell.select("pattern", "source", *hashes).join(F.broadcast(number), "source")
+    return keyed.join(flow, ["p1", "p2", "place"]).select("pattern", "source", "flow")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -143,9 +261,9 @@ def mix(
 
     Sources overlap where they hold the same text; a text's membership pattern is
     the set of sources that hold it. Rows are aggregated by pattern and source;
-    that small table (one row per pattern and source, of at most ``most_patterns``
-    patterns; texts of rarer patterns count as held by their own source alone)
-    goes to the driver, where ``route`` fixes the words of each cell. Within a cell
+    that table (one row per pattern and source) goes to the driver, where ``route``
+    fixes the words of each cell, or beyond ``most_patterns`` shared patterns
+    ``route_cells``, which takes a few numbers a cell. Within a cell
     every row is taken whole as often as the cell allows, and the rows taken once
     more are the first by a seeded hash. That cut needs no global order: word sums
     per hash bucket find the bucket where it falls, and only that bucket's rows are
@@ -169,44 +287,39 @@ def mix(
     )
     cells = rows.groupBy("t1", "t2", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     shared = stage(cells.join(held, ["t1", "t2"]), "mix-texts")
-    per = shared.groupBy("pattern").agg(F.sum("size").alias("size"))
-    keep = per.where(F.col("pattern").contains("\n")).orderBy(F.desc("size"), "pattern").limit(most_patterns)
-    keep = stage(keep.select("pattern", F.lit(True).alias("known")), "mix-patterns")
-    shared = shared.join(F.broadcast(keep), "pattern", "left").withColumn(
-        "pattern", F.when(F.col("known"), F.col("pattern")).otherwise(F.col("source"))
-    )
-    in_cell = shared.groupBy("pattern", "source").agg(
-        F.sum("size").alias("size"), F.sum("once").alias("unique"), F.sum("n").alias("n")
+    in_cell = stage(
+        shared.groupBy("pattern", "source").agg(
+            F.sum("size").alias("size"), F.sum("once").alias("unique"), F.sum("n").alias("n")
+        ),
+        "mix-cells",
     )
-    found = in_cell.collect()
-    sizes: dict[str, int] = defaultdict(int)
-    for r in found:
-        sizes[r["source"]] += r["size"]
+    per = in_cell.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    sizes: dict[str, int] = {r["source"]: r["size"] for r in per}
     names = sorted(sizes, key=lambda s: s.encode("utf-8", "surrogatepass"))
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))]
     goal = dict(zip(names, targets([sizes[s] for s in names], weights, SHARE * sum(sizes.values())), strict=True))
-    flow = route(
-        {(r["pattern"], r["source"]): (r["size"], r["unique"]) for r in found},
-        {s: min(round(t), REPEATS * sizes[s]) for s, t in goal.items()},
+    quotas = {s: min(round(t), REPEATS * sizes[s]) for s, t in goal.items()}
+    several = in_cell.where(F.col("pattern").contains("\n")).select("pattern").distinct().limit(most_patterns + 1).count()
+    many = several > most_patterns
+    flow = _flow_of_many(in_cell, names, quotas) if many else _flow_of_few(in_cell, quotas)
+    size = F.greatest(F.col("size"), F.lit(1))
+    small = spark.createDataFrame(
+        [(s, sizes[s], goal[s]) for s in names], "source string, source_size bigint, target double"
     )
-    plan = spark.createDataFrame(
-        [
-            (
-                r["pattern"],
-                r["source"],
-                flow[r["pattern"], r["source"]] // max(1, r["size"]),
-                flow[r["pattern"], r["source"]] % max(1, r["size"]),
-                max(1, -(-r["n"] // bucket_rows)),
-                sizes[r["source"]],
-                goal[r["source"]],
-            )
-            for r in found
-        ],
-        "pattern string, source string, times bigint, rest bigint, buckets bigint, source_size bigint, target double",
+    plan = in_cell.join(flow if many else F.broadcast(flow), ["pattern", "source"]).join(F.broadcast(small), "source")
+    plan = plan.select(
+        "pattern",
+        "source",
+        F.expr("flow div greatest(size, 1)").alias("times"),
+        (F.col("flow") % size).alias("rest"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("bigint").alias("buckets"),
+        "source_size",
+        "target",
     )
     plan = stage(plan, "mix-plan")
+    near = (lambda df: df) if many else F.broadcast
     own = stage(shared.select("t1", "t2", "source", "pattern"), "mix-membership")
-    placed = rows.join(own, ["t1", "t2", "source"]).join(F.broadcast(plan), ["pattern", "source"])
+    placed = rows.join(own, ["t1", "t2", "source"]).join(near(plan), ["pattern", "source"])
     dealt = F.xxhash64(F.lit(seed), "id", "t1")
     placed = placed.select(
         "id", "source", "pattern", "size", "times", "rest", "source_size", "target", dealt.alias("draw"),
@@ -221,7 +334,7 @@ def mix(
         sums.where("before < rest AND upto >= rest").select("pattern", "source", F.col("bucket").alias("cut"), "before"),
         "mix-cuts",
     )
-    placed = placed.join(F.broadcast(cut), ["pattern", "source"], "left")
+    placed = placed.join(near(cut), ["pattern", "source"], "left")
     in_cut = F.col("bucket").eqNullSafe(F.col("cut"))
     order = Window.partitionBy("pattern", "source").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where(in_cut).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from codicil.llm.chat import chat_format
 from codicil.llm.components import components
-from codicil.llm.mixing import REPEATS, SHARE, mix, mixed_rows, route, targets
+from codicil.llm.mixing import REPEATS, SHARE, mix, mixed_rows, route, route_cells, targets
 from codicil.llm.queries import ORACLES, QUERIES
 from codicil.llm.toxicity import LandmarkKernel, fit_words, held_out, kept_by_score, toxicity
 from tests.conftest import SMALL
@@ -148,6 +148,63 @@ def test_route_is_a_least_cost_flow():
         assert cost(got) == min(map(cost, fits))
 
 
+def flow_cost(used, unique):
+    """Words times price, by pattern."""
+    cost = 0
+    for p, n in used.items():
+        full, rest = divmod(n, max(1, unique[p]))
+        cost += max(1, unique[p]) * full * (full - 1) // 2 + full * rest
+    return cost
+
+
+def test_flow_on_arrays_costs_what_route_costs():
+    draw = random.Random(5)
+    for _ in range(150):
+        names = "abcde"[: draw.randint(1, 5)]
+        cells, unique = {}, {}
+        for p in {"".join(sorted(draw.sample(names, draw.randint(1, len(names))))) for _ in range(draw.randint(1, 12))}:
+            unique[p] = draw.randint(0, 9)
+            cells |= {(p, s): (unique[p] * draw.randint(1, 3), unique[p]) for s in p}
+        quotas = {s: draw.randint(0, 2 * sum(n for (_, t), (n, _) in cells.items() if t == s)) for s in names}
+        keys, patterns = sorted(cells), sorted(unique)
+        got = route_cells(
+            np.array([patterns.index(p) for p, _ in keys]), np.array([names.index(s) for _, s in keys]),
+            np.array([cells[k][0] for k in keys]), np.array([cells[k][1] for k in keys]), np.array([quotas[s] for s in names]),
+        )
+        assert all(0 <= n <= REPEATS * cells[k][0] for k, n in zip(keys, got, strict=True))
+        costs = []
+        for flow in (route(cells, quotas), dict(zip(keys, got.tolist(), strict=True))):
+            used, filled = collections.Counter(), collections.Counter()
+            for (p, s), n in flow.items():
+                used[p] += n
+                filled[s] += n
+            costs.append((flow_cost(used, unique), sum(filled.values())))
+        assert costs[0] == costs[1]
+
+
+def test_rare_patterns_are_priced_as_shared(spark):
+    """More shared patterns than the network takes: texts still count once over all their sources."""
+    draw = random.Random(8)
+    rows, held = [], {}
+    for t in range(60):
+        text = " ".join(f"t{t}w{i}" for i in range(draw.randint(5, 40)))
+        held[text] = draw.sample("abcdef", draw.randint(1, 5))
+        rows += [(len(rows) + i, text, s) for i, s in enumerate(held[text])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    unique = collections.Counter()
+    for text, sources in held.items():
+        unique["".join(sorted(sources))] += len(text.split())
+    costs = []
+    for most in (20_000, 2):
+        used = collections.Counter()
+        taken = {r.doc_id: r.taken for r in mix(df, most_patterns=most).collect()}
+        assert len(taken) == len(rows)
+        for d, text, _ in rows:
+            used["".join(sorted(held[text]))] += taken[d]
+        costs.append((flow_cost(used, unique), sum(used.values())))
+    assert costs[0] == costs[1]
+
+
 def test_mix_meets_its_targets(spark):
     for df in (spark.read.parquet(f"{SMALL}/documents.parquet"), frame(spark), frame(spark, [(1, "x")]).limit(0)):
         rows = df.select("doc_id", "text", "source").collect()
