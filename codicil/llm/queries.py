@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(table(spark, sf_dir, "documents"), whole_text=True)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +25,11 @@ class UnigramCounter:
     An automaton lists the vocabulary pieces that end at each position. Ties follow
     the public tokenizer: a candidate must be strictly better than the one found
     from an earlier start, so the longer last piece wins. A character that no
-    one-character piece covers costs the least score less 10, and a run of them
-    counts as one token.
+    one-character piece covers costs the least score less 10; it counts as its
+    UTF-8 bytes if the vocabulary has ``byte_pieces``, else a run of them as one token.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], byte_pieces: bool = False) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -36,7 +37,14 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
+        self.byte_pieces = byte_pieces
         self._kept: dict[bytes, int] = {}
+        solid = rb"[^ \n]" if byte_pieces and not any("\n" in piece for piece, _ in pieces) else rb"[^ ]"
+        #: Parts that no piece reaches across: blanks with what follows them, up to a line break that is always bytes.
+        self._parts = None
+        if not any(MARK in piece.lstrip(MARK) for piece, _ in pieces):
+            self._parts = re.compile(rb" *" + solid + rb"+| +")
+        self._breaks = self._parts is not None and solid == rb"[^ \n]"
 
     def word(self, word: str) -> int:
         n = len(word)
@@ -56,7 +64,8 @@ class UnigramCounter:
             if not found or found[-1][0] > 1:
                 total = self.unknown + best[end - 1]
                 if top is None or total > top:
-                    top, tokens, run = total, count[end - 1] + (not open_run[end - 1]), True
+                    more = len(word[end - 1].encode()) if self.byte_pieces else not open_run[end - 1]
+                    top, tokens, run = total, count[end - 1] + more, True
             best[end], count[end], open_run[end] = top, tokens, run
         return count[n]
 
@@ -75,6 +84,25 @@ class UnigramCounter:
             total += n
         return total, len(words)
 
+    def whole(self, text: bytes) -> tuple[int, int]:
+        """Tokens of a text in UTF-8 as one string, blanks as marks and a mark before it, and its words."""
+        if not text:
+            return 0, 0
+        kept, total = self._kept, 0
+        read = b" " + text.replace(MARK.encode(), b" ")
+        if self._breaks:
+            total += read.count(b"\n")
+        for w in self._parts.findall(read) if self._parts else [read]:
+            n = kept.get(w)
+            if n is None:
+                n = self.word(w.decode().replace(" ", MARK))
+                if len(w) <= _LONGEST_KEPT:
+                    if len(kept) >= _ENTRIES:
+                        kept.clear()
+                    kept[w] = n
+            total += n
+        return total, len(text.split())
+
 
 def pieces_of(path: str) -> list[tuple[str, float]]:
     """Normal pieces and scores of a sentencepiece file, byte and control pieces left out."""
@@ -88,9 +116,30 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
     ]
 
 
+def has_byte_pieces(path: str) -> bool:
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=path)
+    return any(sp.is_byte(i) for i in range(sp.get_piece_size()))
+
+
+def check_text_rules(path: str) -> None:
+    """Whole texts are read by the rules of the public file; a file with others is refused."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    rules = model.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix:
+        raise ValueError(f"{path} normalizes texts; only files that keep every character and add a start mark are read")
+
+
 @lru_cache(maxsize=2)
-def counter(path: str) -> UnigramCounter:
-    return UnigramCounter(pieces_of(path))
+def counter(path: str, whole_text: bool = False) -> UnigramCounter:
+    if whole_text:
+        check_text_rules(path)
+    return UnigramCounter(pieces_of(path), whole_text and has_byte_pieces(path))
 
 
 def default_path() -> str:
@@ -99,10 +148,19 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_words`` and ``n_tokens`` of the whole text under the unigram rule.
+def token_counts(
+    docs: DataFrame,
+    path: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    whole_text: bool = False,
+) -> DataFrame:
+    """Per row: id, ``n_words`` and ``n_tokens`` under the unigram rule.
 
-    Words are the runs between ASCII blanks; each takes a start mark. ``path``
+    Words are the runs between ASCII blanks. With ``whole_text`` every character
+    counts: the text is one string with a start mark and blanks as marks, and
+    characters without a piece are bytes. Without it each word takes a start mark,
+    blanks count nothing and a run of unknown characters is one token. ``path``
     names a sentencepiece file that every executor has; its pieces and scores are
     the vocabulary. Null and empty texts count 0. Equal rows give equal counts. A
     map over Arrow batches: no shuffle.
@@ -110,9 +168,10 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(path, whole_text)
+        read = count.whole if whole_text else count.text
         for batch in batches:
-            found = [count.text(t) for t in raw_texts(batch.column(1))]
+            found = [read(t) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -150,6 +150,58 @@ def test_token_counts_equal_the_library(spark):
         assert rows_of(token_counts(df), "doc_id", "n_words", "n_tokens") == sorted(want, key=repr)
 
 
+def whole_library():
+    """A unigram library with byte fallback over the vocabulary file."""
+    from tokenizers import Tokenizer, models
+
+    from codicil.llm.tokencount import default_path as pieces_path
+
+    pieces = [("<unk>", 0.0), *pieces_of(pieces_path()), *[(f"<0x{b:02X}>", 0.0) for b in range(256)]]
+    library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    return lambda t: len(library.encode("▁" + t.replace(" ", "▁")).ids) if t else 0
+
+
+def test_whole_texts_count_as_in_the_library(spark):
+    count = whole_library()
+    for rows, df in inputs(spark):
+        want = [(d, len(brute.words(t)), count(t or "")) for d, t in rows]
+        assert rows_of(token_counts(df, whole_text=True), "doc_id", "n_words", "n_tokens") == sorted(want, key=repr)
+
+
+def test_query_counts_blanks_line_breaks_and_bytes(spark):
+    from codicil.llm.queries import QUERIES
+
+    count = whole_library()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.n_tokens for r in QUERIES["op6_token_counts"](spark, SMALL).collect()}
+    assert got == {r.doc_id: count(r.text or "") for r in docs}
+
+
+def test_random_whole_texts_against_both_libraries():
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    from codicil.llm.tokencount import counter
+    from codicil.llm.tokencount import default_path as pieces_path
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(pieces_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    sp = SentencePieceProcessor(model_proto=model.SerializeToString())
+    read, count, draw = counter(pieces_path(), True), whole_library(), random.Random(4)
+    for text, tokens in [("龘龘龘", 10), ("a\nb", 3), ("a\n\nb", 4), ("", 0)]:
+        assert read.whole(text.encode())[0] == len(sp.encode(text)) == count(text) == tokens, text
+    units = ["the", " ", "  ", "\n", "\t", "\r\n", "龘", "é", "▁", "();", "{", "}", "ing", "Q", "0", "🙂"]
+    for _ in range(3000):
+        text = "".join(draw.choice(units) for _ in range(draw.randint(0, 25)))
+        assert read.whole(text.encode())[0] == count(text), text
+
+
+def test_pieces_across_blanks_are_read_whole():
+    pieces = [("a", -1.0), ("b", -1.0), ("▁", -1.0), ("a▁b", -0.5)]
+    assert UnigramCounter(pieces).whole(b"a b") == (2, 2)
+
+
 def test_viterbi_ties_and_unknown_runs():
     count = UnigramCounter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abc", -9.0)])
     assert count.word("ab") == 1  # equal scores: the longer last piece, found from the earlier start
