@@ -419,11 +419,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stand for their component: the one with the least id, and all rows without words.
+    """Rows of ``docs`` that stand for their component: one with the least id, and all rows without words.
 
-    Rows with a null id stay unless their component has an id.
+    A null id stands only for a component without ids. Rows that share that id are
+    told apart by hashes of their texts; of equal rows one stays.
     """
-    found = stage(near_dedup(docs, id_col, text_col), "near-groups")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    text = text_of(F.col(text_col))
+    row = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    keyed = docs.select(
+        F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), *row).alias("__row"),
+        F.col(text_col).alias("__text"),
+    )
+    found = stage(near_dedup(keyed, "__row", "__text"), "near-groups")
+    kept = found.where(F.col("__row") == F.col("component_id")).groupBy("__row").agg(
+        F.count(F.lit(1)).alias("__copies"), F.max("n_shingles").alias("__shingles")
+    )
+    kept = kept.select(
+        F.col("__row.id").alias("__id"), F.col("__row.t1").alias("__t1"), F.col("__row.t2").alias("__t2"),
+        ((F.col("__copies") > 1) & (F.col("__shingles") > 0)).alias("__several"),
+    )
+    kept = stage(kept, "near-kept")
+    rows = docs.withColumns({"__h1": row[0], "__h2": row[1]})
+    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__h1"] == kept["__t1"]) & (rows["__h2"] == kept["__t2"])
+    rows = rows.join(kept, same)
+    several = rows.where("__several").dropDuplicates([id_col, "__h1", "__h2"])
+    return rows.where("NOT __several").unionByName(several).select(*docs.columns)

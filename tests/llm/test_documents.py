@@ -249,6 +249,21 @@ def test_representatives_have_all_columns(spark):
     assert {1, 2, 3, 4, 5, 8, 11, 17} <= set(ids) and not {6, 7, 12, 18} & set(ids)
 
 
+def test_one_row_stands_for_a_component(spark):
+    """Null and repeated ids: equal rows, an id in two components, and null ids beside a wordless row without id."""
+    base = [f"b{i}" for i in range(60)]
+    near = " ".join([*base[:59], "other"])
+    far = " ".join(f"f{i}" for i in range(60))
+    alone = " ".join(f"a{i}" for i in range(60))
+    base = " ".join(base)
+    rows = [(1, base), (1, base), (2, near), (3, far), (2, far), (3, alone), (None, near), (None, None), (None, " "), (None, None)]
+    rows += [(2, alone + " more"), (None, "without any id here"), (None, "without any id here")]
+    got = collections.Counter((r.doc_id, r.text) for r in keep_representatives(frame(spark, rows)).collect())
+    assert got == {
+        (1, base): 1, (2, far): 1, (2, alone + " more"): 1, (None, None): 2, (None, " "): 1, (None, "without any id here"): 1,
+    }
+
+
 # --- op9 ------------------------------------------------------------------
 
 TRICKY = [
