@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.relational import stage
-from codicil.llm.words import text_of, word_array, word_count
+from codicil.llm.words import text_of, word_count
 
 #: Fixed values of the mix: weights by order of the source, share of all words, most repeats of a document.
 WEIGHTS = (5, 2, 1)
@@ -350,7 +350,7 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as rows of ``docs``: each as often as it is taken, a part taken as that many first words.
+    """The mix as rows of ``docs``: each as often as it is taken, a part taken as the text up to that many words.
 
     Rows are told apart by id, text and source; rows equal in all three share out
     what the mix takes of them.
@@ -372,6 +372,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = F.sequence(F.lit(1), F.ceil(F.col("__take") / F.col("__words")).cast("int"))
     rows = rows.withColumn("__copy", F.explode(copies))
     last = F.col("__take") - (F.col("__copy") - 1) * F.col("__words")
-    first = F.array_join(F.slice(word_array(F.col(text_col)), 1, F.greatest(last, F.lit(1)).cast("int")), " ")
+    parts = F.regexp_extract_all(text_of(F.col(text_col)), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(parts, 1, F.greatest(last, F.lit(1)).cast("int")), "")
     text = F.when(last >= F.col("__words"), F.col(text_col)).otherwise(first)
     return rows.withColumn(text_col, text).select(*docs.columns)

@@ -238,6 +238,16 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert sum(r.text not in whole for r in out.collect()) <= 8
 
 
+def test_a_part_taken_keeps_its_line_breaks(spark):
+    rows = [(d, "".join(f"{' ' * (i % 3)}d{d}w{i}\n\t" for i in range(30 + d)), f"s{d % 3}") for d in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    whole = {d: t for d, t, _ in rows}
+    out = mixed_rows(df).collect()
+    parts = [r for r in out if r.text != whole[r.doc_id]]
+    assert parts and all(whole[r.doc_id].startswith(r.text) for r in parts)
+    assert sum(len(brute.words(r.text)) for r in out) == sum(r.taken for r in mix(df).collect())
+
+
 # --- op4 ------------------------------------------------------------------
 
 def chat_rows(spark, rows):
