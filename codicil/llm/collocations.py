@@ -25,7 +25,7 @@ _FOLD = bytes.maketrans(
 _BORDER, _NEXT = re.compile(rb"[ .]"), re.compile(rb"(?: *[^ ]+){0,%d}" % (DEPTH - 1))
 _SLICE = 4 << 20
 _SPLITTER_TEXTS = 4000
-SUFFIXES = "range int, lang string, suffix string, n bigint"
+BLOCKS = "range int, lang string, suffixes binary, size bigint, counts binary"
 PHRASES = "lang string, phrase string, n_words int, f bigint"
 
 
@@ -116,8 +116,24 @@ def _drawn(batches: Iterator[pa.RecordBatch], every: int = 64) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), texts], ["lang", "suffix"])
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(table: pa.Table) -> tuple[list[str], np.ndarray, pa.Array, np.ndarray]:
+    """Blocks of one range: languages, and language, suffix and count of each row."""
+    langs = sorted(set(table["lang"].to_pylist()))
+    owners, texts, counts = [], [], []
+    for lang, text, size, n in zip(*(table[c].to_pylist() for c in ("lang", "suffixes", "size", "counts"))):
+        lines = pa.array([pa.decompress(text, size, "zstd", asbytes=True)], pa.binary()).cast(pa.string())
+        texts.append(pc.split_pattern(lines, "\n").flatten())
+        owners.append(np.full(len(texts[-1]), langs.index(lang) + 1, np.int32))
+        counts.append(np.frombuffer(pa.decompress(n, 8 * len(texts[-1]), "zstd", asbytes=True), "<i8"))
+    return langs, np.concatenate(owners), pa.concat_arrays(texts), np.concatenate(counts)
+
+
 def _routing(splitters: list[tuple[str, tuple[bytes, ...]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task that sends each suffix with its count to the range of words it lies in."""
+    """Task that sends the suffixes of a slice, in one packed block a range of words, to that range."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,14 +141,15 @@ def _routing(splitters: list[tuple[str, tuple[bytes, ...]]]) -> Callable[[Iterat
                 lo = bisect_left(splitters, lang, key=lambda s: s[0])
                 own = list(itertools.takewhile(lambda s: s[0] == lang, itertools.islice(splitters, lo, None)))
                 cuts = [0, *found.places([s[1] for s in own]), len(found.rows)]
-                ranges = np.repeat(np.arange(lo, lo + len(own) + 1, dtype=np.int32), np.diff(cuts))
-                for at in range(0, len(ranges), 100_000):
-                    part = slice(at, at + 100_000)
-                    texts = found.texts(found.rows[part]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ranges[part]), pa.array([lang] * len(texts), pa.string()), texts, pa.array(found.counts[part])],
-                        ["range", "lang", "suffix", "n"],
-                    )
+                texts = found.texts(found.rows)
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), texts)
+                blocks = [
+                    (lo + i, lang, pa.compress(text, "zstd", asbytes=True), len(text), _packed(found.counts[cuts[i] : cuts[i + 1]]))
+                    for i, text in enumerate(pc.binary_join(lists, b"\n").to_pylist())
+                    if cuts[i] < cuts[i + 1]
+                ]
+                columns = [pa.array(c, t) for c, t in zip(zip(*blocks), (pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "lang", "suffixes", "size", "counts"])
 
     return route
 
@@ -178,22 +195,20 @@ def _counting(least: int) -> Callable[[pa.Table], pa.Table]:
     """Task that sorts the suffixes of one range; a row without phrase holds the words of a language."""
 
     def count(table: pa.Table) -> pa.Table:
-        langs = pc.dictionary_encode(table["lang"].combine_chunks())
-        lists = pc.split_pattern(table["suffix"].combine_chunks(), " ")
-        weights = table["n"].to_numpy()
+        names, owners, suffixes, weights = _unpacked(table)
+        lists = pc.split_pattern(suffixes, " ")
         codes = pc.dictionary_encode(lists.flatten())
         order = pc.sort_indices(codes.dictionary).to_numpy()
-        words, rank = codes.dictionary.take(pa.array(order)).to_pylist(), np.empty(len(order), np.int64)
+        words, rank = codes.dictionary.take(pa.array(order)).to_pylist(), np.empty(len(order), np.int32)
         rank[order] = np.arange(1, len(order) + 1)
-        flat, offsets = rank[codes.indices.to_numpy()], lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        lang_order = np.argsort(np.argsort(np.array(langs.dictionary.to_pylist(), dtype=object)))
+        flat, offsets = rank[codes.indices.to_numpy()], lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
         lengths = np.diff(offsets)
-        columns = [lang_order[langs.indices.to_numpy()].astype(np.int64) + 1]
+        columns = [owners]
         for k in range(DEPTH):
-            column = np.zeros(len(lengths), np.int64)
+            column = np.zeros(len(lengths), np.int32)
             column[lengths > k] = flat[offsets[:-1][lengths > k] + k]
             columns.append(column)
-        names = sorted(langs.dictionary.to_pylist())
         out: list[tuple] = []
         for path, weight in frequent_prefixes(columns, weights, least):
             phrase = " ".join(words[p - 1] for p in path[1:]) if len(path) > 1 else None
@@ -230,7 +245,7 @@ def phrase_counts(
     sample = texts.sample(min(1.0, _SPLITTER_TEXTS / max(rows, 1)), seed=12) if ranges > 1 else texts.limit(0)
     drawn = sorted((r.lang, tuple(r.suffix.encode().split(b" "))) for r in sample.mapInArrow(_drawn, "lang string, suffix string").collect())
     splitters = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
-    routed = texts.mapInArrow(_routing(splitters), SUFFIXES)
+    routed = texts.mapInArrow(_routing(splitters), BLOCKS)
     counted = routed.groupBy("range").applyInArrow(_counting(least), PHRASES)
     found = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").cast("bigint").alias("f"))
     return stage(found.where((F.col("f") >= least) | F.col("phrase").isNull()), "phrase-counts")
