@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 _own_dirs: dict[str, str | None] = {}
+_scopes: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,6 +35,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """List of the folders that ``stage`` writes inside the block, for ``drop_staged`` once nothing reads them."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        own = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(own)
+
+
+def drop_staged(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Delete staged folders, but for those that ``keep`` still reads."""
+    read = "\n".join(keep.inputFiles()) if keep is not None and paths else ""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] not in read]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        paths.remove(path)
+
+
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, in directories of ``by`` if given.
 
@@ -41,6 +66,8 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     writer = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
     writer.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
