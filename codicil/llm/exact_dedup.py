@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import stage
+from codicil.functions.relational import drop_staged, stage, staged_paths
 from codicil.llm.words import BLANKS, text_of
 
 
@@ -61,7 +61,10 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    found = stage(exact_dedup(docs, id_col, text_col), "exact-groups")
+    with staged_paths() as made:
+        grouped = exact_dedup(docs, id_col, text_col)
+    found = stage(grouped, "exact-groups")
+    drop_staged(docs.sparkSession, made)
     kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
     twice = (
         found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))

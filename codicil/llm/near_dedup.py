@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import small_side, stage
+from codicil.functions.relational import drop_staged, small_side, stage, staged_paths
 from codicil.llm.components import components
 from codicil.llm.passages import _portions
 from codicil.llm.words import Rolling, Words, as_long, mixed, text_of
@@ -342,13 +342,17 @@ def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) ->
 
     links = tried = None
     for turn in range(STAR_ROUNDS + 1):
+        opened: list[str] = []
         if links is None:
             open_lists = lists.withColumn("comp", F.col("v"))
         else:
-            labels = components(links)
+            with staged_paths() as named_by:
+                labels = components(links)
             named = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
             spread = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            open_lists = stage(named.join(spread.select("key"), "key"), "near-open")
+            with staged_paths() as opened:
+                open_lists = stage(named.join(spread.select("key"), "key"), "near-open")
+            drop_staged(docs.sparkSession, named_by)
         if turn < STAR_ROUNDS:
             draw = [F.xxhash64("v")] if turn == 0 else [F.xxhash64(F.lit(turn), "key", "v")]
             centre = F.min(F.struct(*draw, "v", "n", "kind", "ahead", "comp"))
@@ -372,10 +376,12 @@ def near_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) ->
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
-        close = possible(pairs)
-        close = stage(close if turn < STAR_ROUNDS else close.union(blocks).distinct(), "near-possible")
+        with staged_paths() as made:
+            close = possible(pairs)
+            close = stage(close if turn < STAR_ROUNDS else close.union(blocks).distinct(), "near-possible")
         texts = texts_of(close, texts)
         found = stage(checked(close), "near-links")
+        drop_staged(docs.sparkSession, made + opened)
         links = found if links is None else links.unionByName(found)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
     return links
@@ -430,7 +436,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), *row).alias("__row"),
         F.col(text_col).alias("__text"),
     )
-    found = stage(near_dedup(keyed, "__row", "__text"), "near-groups")
+    with staged_paths() as made:
+        found = stage(near_dedup(keyed, "__row", "__text"), "near-groups")
     kept = found.where(F.col("__row") == F.col("component_id")).groupBy("__row").agg(
         F.count(F.lit(1)).alias("__copies"), F.max("n_shingles").alias("__shingles")
     )
@@ -439,6 +446,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
         ((F.col("__copies") > 1) & (F.col("__shingles") > 0)).alias("__several"),
     )
     kept = stage(kept, "near-kept")
+    drop_staged(docs.sparkSession, made)
     rows = docs.withColumns({"__h1": row[0], "__h2": row[1]})
     same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__h1"] == kept["__t1"]) & (rows["__h2"] == kept["__t2"])
     rows = rows.join(kept, same)
