@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -48,13 +49,18 @@ def staged_paths() -> Iterator[list[str]]:
 
 
 def drop_staged(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
-    """Delete staged folders, but for those that ``keep`` still reads."""
+    """Delete staged folders, but for those that ``keep`` still reads.
+
+    Plans over them are garbage then; collecting it lets Spark delete their shuffle files.
+    """
     read = "\n".join(keep.inputFiles()) if keep is not None and paths else ""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in [p for p in paths if p.rsplit("/", 1)[-1] not in read]:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
         paths.remove(path)
+    gc.collect()
+    jvm.System.gc()
 
 
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
