@@ -224,7 +224,7 @@ def _counting(least: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def phrase_counts(
-    docs: DataFrame, least: int = 100, text_col: str = "text", lang_col: str = "lang", range_rows: int = 1_500_000
+    docs: DataFrame, least: int = 100, text_col: str = "text", lang_col: str = "lang", range_rows: int = 600_000
 ) -> DataFrame:
     """Runs of one to five words that occur ``least`` times or more in a language: lang, phrase, ``n_words``, f.
 
@@ -258,7 +258,7 @@ def collocations(
     covered: int = 100,
     text_col: str = "text",
     lang_col: str = "lang",
-    range_rows: int = 1_500_000,
+    range_rows: int = 600_000,
 ) -> DataFrame:
     """Best phrases of two to five words per language: lang, rank, phrase, a, l, r, n, score.
 
