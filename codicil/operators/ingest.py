@@ -7,6 +7,7 @@ array expressions inside the row: these steps are maps and move no data.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,91 +86,171 @@ def normalize_html(df: DataFrame, rules: Rules | None = None, column: str = "htm
 
 # --- section tree ---------------------------------------------------------
 
-# Header patterns per jurisdiction ("*" is the default), each with
-# the number in group 1. Explicit classes only.
-SECTION = {"*": r"^(?:Section|Sec\.|s) ([0-9]+[A-Z]?)\b", "de": r"^§ ([0-9]+[a-z]?)\b"}
-SUBSECTION = {"*": r"^\(([0-9]+[a-z]?)\)"}
+# Headers per jurisdiction ("*" is the default), outermost first,
+# each with the number in a group. Divisions stand above the section, parts below.
+Levels = list[tuple[str, str]]
+_PART = ("part", r"^(?i:part) ([0-9]+[A-Z]?|[IVXLC]+|[A-Z])\b")
+_CHAPTER = ("chapter", r"^(?i:chapter) ([0-9]+[A-Z]?|[IVXLC]+)\b")
+_HEADED = r"(?:Section|Sec\.|Article|Art\.|s) ([0-9]+[A-Z]{0,2})\b"
+_NUMBERED = r"([0-9]+[A-Z]{0,2})\.? (?=\p{Lu})"
+_DIGIT, _LETTER, _ROMAN, _CAPITAL = (
+    r"^\(([0-9]+[A-Za-z]{0,2})\)", r"^\(([a-z]{1,2})\)", r"^\(([ivx]+)\)", r"^\(([A-Z]{1,2})\)"
+)
+DIVISIONS: dict[str, Levels] = {
+    "*": [_PART, _CHAPTER],
+    "za": [_CHAPTER, _PART],
+    "de": [("book", r"^(?i:buch) ([0-9]+)\b"), ("division", r"^(?i:abschnitt) ([0-9]+)\b"), ("title", r"^(?i:titel) ([0-9]+)\b")],
+}
+SECTION = {
+    "*": rf"^(?:{_HEADED}|{_NUMBERED})",
+    "us": rf"^(?:{_HEADED}|§ ?([0-9]+[A-Za-z]?)\b|{_NUMBERED})",
+    "de": r"^(?:§|Artikel|Art\.) ?([0-9]+[a-z]?)\b",
+}
+PARTS: dict[str, Levels] = {
+    "*": [("subsection", _DIGIT), ("paragraph", _LETTER), ("subparagraph", _ROMAN), ("item", _CAPITAL)],
+    "us": [("subsection", _LETTER), ("paragraph", _DIGIT), ("subparagraph", _CAPITAL), ("clause", _ROMAN)],
+    "de": [("subsection", r"^\(([0-9]+[a-z]?)\)"), ("number", r"^([0-9]+[a-z]?)\. "), ("letter", r"^([a-z])\) "), ("double_letter", r"^([a-z]{2})\) ")],
+}
+# Roman numbers that are letters as well, with the letters around them and the Roman number that follows.
+BOTH_WAYS = {"i": ("h", "j", "ii"), "v": ("u", "w", "vi"), "x": ("w", "y", "xi")}
 PROVISO = r"^(Provided that|Provided, however|Except that)\b"
 DEFINITION = r'"([^"]+)" (?:means|bedeutet|includes)\b'
 
 
-def by_place(patterns: dict[str, str], use: Callable[[str], Column]) -> Column:
+def levels_of(place: str) -> tuple[Levels, int]:
+    """All levels of a jurisdiction, outermost first, and the place of its section."""
+    above = DIVISIONS.get(place, DIVISIONS["*"])
+    below = PARTS.get(place, PARTS["*"])
+    return [*above, ("section", SECTION.get(place, SECTION["*"])), *below], len(above)
+
+
+def _slots() -> tuple[int, int]:
+    """Division slots and slots in all, so that the sections of all jurisdictions share one slot."""
+    above = max(len(v) for v in DIVISIONS.values())
+    return above, above + 1 + max(len(v) for v in PARTS.values())
+
+
+def _mark(line: Column, place: str) -> Column:
+    """(slot, kind, no) of a header line, null for any other; the outermost level that matches counts."""
+    levels, section = levels_of(place)
+    shift = _slots()[0] - section
+    found = F.lit(None).cast("struct<slot:int,kind:string,no:string>")
+    for k, (kind, pattern) in reversed(list(enumerate(levels))):
+        groups = range(1, re.compile(pattern.replace(r"\p{Lu}", "[A-Z]")).groups + 1)
+        no = F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, g), F.lit("")) for g in groups])
+        found = F.when(line.rlike(pattern), F.struct(F.lit(k + shift).alias("slot"), F.lit(kind).alias("kind"), no.alias("no"))).otherwise(found)
+    return found
+
+
+def _roman_or_letter(place: str, mark: Column, before: Column, after: Column) -> Column:
+    """A mark such as ``(i)`` read by its neighbours: after ``(h)`` or before ``(j)`` it is a letter, else a number."""
+    levels, section = levels_of(place)
+    slot_of = {pattern: (k + _slots()[0] - section, kind) for k, (kind, pattern) in enumerate(levels)}
+    if _LETTER not in slot_of or _ROMAN not in slot_of:
+        return mark
+    is_letter = F.lit(False)
+    for no, (left, right, roman) in BOTH_WAYS.items():
+        fits = ((before["no"] == left) & ~F.coalesce(after["no"] == roman, F.lit(False))) | (after["no"] == right)
+        is_letter = F.when(mark["no"] == no, F.coalesce(fits, F.lit(False))).otherwise(is_letter)
+    as_ = lambda pattern: F.struct(
+        F.lit(slot_of[pattern][0]).alias("slot"), F.lit(slot_of[pattern][1]).alias("kind"), mark["no"].alias("no")
+    )
+    lettered = mark["no"].rlike("^[ivx]+$") & mark["slot"].isin(slot_of[_LETTER][0], slot_of[_ROMAN][0])
+    return F.when(lettered, F.when(is_letter, as_(_LETTER)).otherwise(as_(_ROMAN))).otherwise(mark)
+
+
+def _by_place(use: Callable[[str], Column]) -> Column:
     """The expression of the row's jurisdiction, else the default one."""
-    chosen = use(patterns["*"])
-    for place, pattern in patterns.items():
-        if place != "*":
-            chosen = F.when(F.col("jurisdiction") == place, use(pattern)).otherwise(chosen)
+    chosen = use("*")
+    for place in sorted({*DIVISIONS, *SECTION, *PARTS} - {"*"}):
+        chosen = F.when(F.col("jurisdiction") == place, use(place)).otherwise(chosen)
     return chosen
 
 
-def cut_lines(df: DataFrame, column: str, marks: dict[str, str], out: str) -> DataFrame:
-    """One row per block of lines; a block starts at a marked line or at the top.
-
-    Adds ``out`` (array of lines) and ``<out>_pos`` (line the block starts at).
-    """
-    lines, at = F.col(column), F.col("__at")
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda i: (i == 0) | by_place(marks, lambda p: F.get(lines, i).rlike(p)),
+def _nodes(docs: DataFrame, key: str) -> DataFrame:
+    """Documents with ``__nodes``: one (pos, slot, kind, no, lines) per header, and one for text before the first."""
+    lines, marks, heads = F.col("__lines"), F.col("__marks"), F.col("__heads")
+    found = F.filter(
+        F.transform(lines, lambda line, i: F.struct(i.alias("pos"), _by_place(lambda p: _mark(line, p)).alias("mark"))),
+        lambda x: (x["pos"] == 0) | x["mark"].isNotNull(),
     )
-    blocks = F.transform(
-        at,
-        lambda s, k: F.struct(
-            s.alias("pos"),
-            F.slice(lines, s + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - s).alias("block"),
+    read = F.transform(
+        marks,
+        lambda x, k: F.struct(
+            x["pos"].alias("pos"),
+            _by_place(
+                lambda p: _roman_or_letter(p, x["mark"], F.get(marks, k - 1)["mark"], F.get(marks, k + 1)["mark"])
+            ).alias("mark"),
         ),
     )
-    return (
-        df.withColumn("__at", starts)
-        .withColumn("__blocks", blocks)
-        .drop("__at")
-        .withColumn("__b", F.explode_outer("__blocks"))
-        .withColumn(out, F.col("__b.block"))
-        .withColumn(f"{out}_pos", F.col("__b.pos"))
-        .drop("__b", "__blocks")
+    node = F.transform(
+        heads,
+        lambda x, k: F.struct(
+            x["pos"].alias("pos"), x["mark"]["slot"].alias("slot"), x["mark"]["kind"].alias("kind"), x["mark"]["no"].alias("no"),
+            F.slice(lines, x["pos"] + 1, F.coalesce(F.get(heads, k + 1)["pos"], F.size(lines)) - x["pos"]).alias("lines"),
+        ),
     )
+    base = docs.select(key, "jurisdiction", "act", lines_of("text").alias("__lines"))
+    base = base.withColumn("__marks", found).withColumn("__heads", read).withColumn("__nodes", node)
+    return base.drop("__lines", "__marks", "__heads")
+
+
+def _cut(df: DataFrame, slot: int) -> DataFrame:
+    """One row per run of nodes that a header of this slot begins, with its number and title; deeper runs stay inside."""
+    nodes, at = F.col("__nodes"), F.col("__at")
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(nodes) - 1), lambda i: (i == 0) | F.coalesce(F.get(nodes, i)["slot"] == slot, F.lit(False))
+    )
+    runs = F.transform(at, lambda s, k: F.slice(nodes, s + 1, F.coalesce(F.get(at, k + 1), F.size(nodes)) - s))
+    df = df.withColumn("__at", starts).withColumn("__runs", runs).drop("__at", "__nodes")
+    df = df.withColumn("__nodes", F.explode_outer("__runs")).drop("__runs")
+    head = F.get("__nodes", F.lit(0))
+    return df.withColumn(f"__s{slot}", F.when(head["slot"] == slot, F.struct(head["kind"].alias("kind"), head["no"].alias("no"), F.get(head["lines"], F.lit(0)).alias("line"))))
 
 
 def detect_sections(docs: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """I-02. Section tree of each document, top to bottom, heading carried to its subsections.
+    """I-02. Statute tree of each document at any depth, top to bottom, heading carried to all below a section.
 
-    Rows: key, jurisdiction, act, section_no, sub_no, section_path, parent_no,
-    level, kind, heading, text, first_line. Text before the first header has
-    level 0.
+    Headers follow the rule table of the jurisdiction: divisions (part, chapter,
+    book), the section in its forms (``Section 5``, ``145. Review``, ``Article 5``,
+    ``§ 5``), then its parts such as ``(1)``, ``(a)``, ``(i)``. A header closes all
+    levels below its own, and levels may be skipped. The document is cut level by
+    level inside its row, so nothing is shuffled and each level reads a line once.
+
+    Rows: key, jurisdiction, act, division (``["Part 2", "Chapter 1"]``), section_no, sub_no
+    (number of a node below its section), section_path, parent_no, level, kind, heading,
+    text, first_line. Text before the first section has level 0; a null text gives one row without text.
     """
-    base = docs.select(key, "jurisdiction", "act", lines_of("text").alias("__lines"))
-    whole = cut_lines(base, "__lines", SECTION, "sec").drop("__lines")
-    first = F.get("sec", F.lit(0))
-    whole = whole.withColumn("section_no", by_place(SECTION, lambda p: F.nullif(F.regexp_extract(first, p, 1), F.lit(""))))
-    whole = whole.withColumn("heading", F.when(F.col("section_no").isNotNull(), first))
-    parts = cut_lines(whole, "sec", SUBSECTION, "sub").drop("sec")
-    head = F.get("sub", F.lit(0))
-    parts = parts.withColumn("sub_no", F.nullif(F.regexp_extract(head, SUBSECTION["*"], 1), F.lit("")))
-    level = F.when(F.col("sub_no").isNotNull(), 2).when(F.col("section_no").isNotNull(), 1).otherwise(0)
+    above, slots = _slots()
+    tree = _nodes(docs, key)
+    for slot in range(slots):
+        tree = _cut(tree, slot)
+    node = F.get("__nodes", F.lit(0))
+    tree = tree.withColumn("__node", node).withColumn(
+        "section_path", F.array_compact(F.array(*[F.col(f"__s{k}")["no"] for k in range(above, slots)]))
+    )
+    section, depth, lines = F.col(f"__s{above}"), F.size("section_path"), F.col("__node")["lines"]
+    titled = [F.concat(F.initcap(F.replace(F.col(f"__s{k}")["kind"], F.lit("_"), F.lit(" "))), F.lit(" "), F.col(f"__s{k}")["no"]) for k in range(above)]
     kind = (
-        F.when(F.exists("sub", lambda x: x.rlike(PROVISO)), "proviso")
-        .when(F.exists("sub", lambda x: x.rlike(DEFINITION)), "definition")
-        .when(F.col("level") == 2, "subsection")
-        .when(F.col("level") == 1, "section")
-        .otherwise("preamble")
+        F.when(F.exists(lines, lambda x: x.rlike(PROVISO)), "proviso")
+        .when(F.exists(lines, lambda x: x.rlike(DEFINITION)), "definition")
+        .otherwise(F.coalesce(F.col("__node")["kind"], F.lit("preamble")))
     )
-    return (
-        parts.withColumn("level", level)
-        .withColumn("kind", kind)
-        .select(
-            key,
-            "jurisdiction",
-            "act",
-            "section_no",
-            "sub_no",
-            F.array_compact(F.array("section_no", "sub_no")).alias("section_path"),
-            F.when(F.col("level") == 2, F.col("section_no")).alias("parent_no"),
-            "level",
-            "kind",
-            "heading",
-            F.array_join("sub", "\n").alias("text"),
-            (F.col("sec_pos") + F.col("sub_pos")).alias("first_line"),
-        )
+    own = F.coalesce(F.col("__node")["slot"] > above, F.lit(False))
+    return tree.select(
+        key,
+        "jurisdiction",
+        "act",
+        F.array_compact(F.array(*titled)).alias("division"),
+        section["no"].alias("section_no"),
+        F.when(own, F.col("__node")["no"]).alias("sub_no"),
+        "section_path",
+        F.when(own, F.get("section_path", depth - 2)).alias("parent_no"),
+        F.when(section.isNull() & (depth > 0), depth + 1).otherwise(depth).alias("level"),
+        kind.alias("kind"),
+        section["line"].alias("heading"),
+        F.array_join(lines, "\n").alias("text"),
+        F.col("__node")["pos"].alias("first_line"),
     )
 
 

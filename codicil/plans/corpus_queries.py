@@ -197,20 +197,35 @@ def cases(spark, sf):
     return ig.chunk_cases(normal_pages(spark, sf))
 
 
-# Statutes: the legal view with numbered headers, subsections, provisos and definitions.
+# Statutes: the legal view with headers of every level planted by line number, in a period of twelve lines.
+# {k} counts the periods; an empty mark begins no node.
+MARKS = {
+    "*": ["Part {k}", "Chapter {k}", "{k}. Rule", "(1)", "(a)", "(i)", "(ii)", "", "(b)", "(2)", "", ""],
+    "ca": ["Part {k}", "Chapter {k}", "Article {k}", "(1)", "(a)", "(i)", "(ii)", "", "(b)", "(2)", "", ""],
+    "us": ["Part {k}", "Chapter {k}", "Sec. {k}", "(a)", "(1)", "(A)", "(i)", "", "(2)", "(b)", "", ""],
+    "de": ["Buch {k}", "Abschnitt {k}", "§ {k}", "(1)", "1.", "a)", "aa)", "", "2.", "(2)", "", ""],
+}
+# What the reference side knows of the same lines: depth, kind and number; the section has depth 3.
+KNOWN = {
+    "*": "0 part {k}|1 chapter {k}|3 section {k}|4 subsection 1|5 paragraph a|6 subparagraph i|6 subparagraph ii||5 paragraph b|4 subsection 2||",
+    "us": "0 part {k}|1 chapter {k}|3 section {k}|4 subsection a|5 paragraph 1|6 subparagraph A|7 clause i||5 paragraph 2|4 subsection b||",
+    "de": "0 book {k}|1 division {k}|3 section {k}|4 subsection 1|5 number 1|6 letter a|7 double_letter aa||5 number 2|4 subsection 2||",
+}
+
+
+def _planted(i: str, array: str, string: str, div: str) -> str:
+    """A line with its mark, over ``l`` and its number from 0."""
+    k = f"CAST({i} {div} 12 + 1 AS {string})"
+    lists = {p: array.format(", ".join("'" + m.replace("{k}", f"' || {k} || '") + "'" for m in marks)) for p, marks in MARKS.items()}
+    mark = "CASE jurisdiction " + " ".join(f"WHEN '{p}' THEN {v}" for p, v in lists.items() if p != "*") + f" ELSE {lists['*']} END"
+    mark = f"({mark})[{i} % 12" + (" + 1]" if string == "VARCHAR" else "]")
+    return f"""CASE {i} % 12 WHEN 7 THEN 'Provided that ' || l WHEN 10 THEN '"term' || CAST({i} AS {string}) || '" means ' || l
+        WHEN 11 THEN 'and ' || l ELSE {mark} || ' ' || l END"""
+
+
 STAT_LINE = {
-    "spark": """transform(split(text, '\n'), (l, i) -> CASE
-        WHEN i % 5 = 0 THEN (CASE WHEN jurisdiction = 'de' THEN '§ ' ELSE 'Section ' END) || CAST(i DIV 5 + 1 AS STRING) || ' ' || l
-        WHEN i % 5 = 2 THEN '(' || CAST(i % 7 + 1 AS STRING) || ') ' || l
-        WHEN i % 5 = 3 THEN 'Provided that ' || l
-        WHEN i % 5 = 4 THEN '"' || split(l, ' ')[0] || '" means ' || l
-        ELSE l END)""",
-    "duck": """list_transform(string_split(text, chr(10)), lambda l, j: CASE
-        WHEN (j - 1) % 5 = 0 THEN (CASE WHEN jurisdiction = 'de' THEN '§ ' ELSE 'Section ' END) || CAST((j - 1) // 5 + 1 AS VARCHAR) || ' ' || l
-        WHEN (j - 1) % 5 = 2 THEN '(' || CAST((j - 1) % 7 + 1 AS VARCHAR) || ') ' || l
-        WHEN (j - 1) % 5 = 3 THEN 'Provided that ' || l
-        WHEN (j - 1) % 5 = 4 THEN '"' || string_split(l, ' ')[1] || '" means ' || l
-        ELSE l END)""",
+    "spark": "transform(split(text, '\n'), (l, i) -> " + _planted("i", "array({})", "STRING", "DIV") + ")",
+    "duck": "list_transform(string_split(text, chr(10)), lambda l, j: " + _planted("(j - 1)", "[{}]", "VARCHAR", "//") + ")",
 }
 
 
@@ -219,23 +234,32 @@ def statutes(spark, sf):
 
 
 STAT = f"stat AS (SELECT * REPLACE (array_to_string({STAT_LINE['duck']}, chr(10)) AS text) FROM lv)"
-SECTIONS = r"""ln AS (SELECT chunk_id, jurisdiction, act, unnest(string_split(text, chr(10))) AS line,
+
+
+def _known(i: str, field: int) -> str:
+    """Depth, kind or number of the header on line ``i``; null where no header is planted."""
+    pick = lambda v: "[" + ", ".join("'" + x.replace("{k}", f"' || CAST({i} // 12 + 1 AS VARCHAR) || '") + "'" for x in v.split("|")) + "]"
+    lists = " ".join(f"WHEN '{p}' THEN {pick(v)}" for p, v in KNOWN.items() if p != "*")
+    return f"nullif(string_split((CASE jurisdiction {lists} ELSE {pick(KNOWN['*'])} END)[{i} % 12 + 1], ' ')[{field}], '')"
+
+
+_LIVE = {q: f"(l{q} IS NOT NULL" + "".join(f" AND l{q} > coalesce(l{p}, -1)" for p in range(q)) + ")" for q in range(8)}
+_NO = {q: f"CASE WHEN {_LIVE[q]} THEN {_known(f'l{q}', 3)} END" for q in range(8)}
+_TITLE = [f"CASE WHEN {_LIVE[q]} THEN upper(left({_known(f'l{q}', 2)}, 1)) || substr({_known(f'l{q}', 2)}, 2) || ' ' || {_known(f'l{q}', 3)} END" for q in range(3)]
+SECTIONS = f"""ln AS (SELECT chunk_id, jurisdiction, act, unnest(string_split(text, chr(10))) AS line,
     CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS i FROM stat),
-mark AS (SELECT *, nullif(CASE WHEN jurisdiction = 'de' THEN regexp_extract(line, '^§ ([0-9]+[a-z]?)\b', 1)
-      ELSE regexp_extract(line, '^(?:Section|Sec\.|s) ([0-9]+[A-Z]?)\b', 1) END, '') AS s_no,
-    nullif(regexp_extract(line, '^\(([0-9]+[a-z]?)\)', 1), '') AS b_no FROM ln),
-sec AS (SELECT *, sum(CASE WHEN s_no IS NOT NULL OR i = 0 THEN 1 ELSE 0 END) OVER w AS sid,
-    sum(CASE WHEN s_no IS NOT NULL OR b_no IS NOT NULL OR i = 0 THEN 1 ELSE 0 END) OVER w AS bid
+mark AS (SELECT *, CAST({_known('i', 1)} AS INT) AS depth FROM ln),
+seen AS (SELECT *, count(depth) OVER w AS node, {', '.join(f'max(CASE WHEN depth = {q} THEN i END) OVER w AS l{q}' for q in range(8))}
   FROM mark WINDOW w AS (PARTITION BY chunk_id ORDER BY i)),
-head AS (SELECT chunk_id, sid, any_value(s_no) AS section_no, max(CASE WHEN s_no IS NOT NULL THEN line END) AS heading FROM sec GROUP BY ALL),
-blocks AS (SELECT chunk_id, jurisdiction, act, sid, bid, max(b_no) AS sub_no, string_agg(line, chr(10) ORDER BY i) AS text, CAST(min(i) AS INT) AS first_line,
-    bool_or(regexp_matches(line, '^(Provided that|Provided, however|Except that)\b')) AS prov,
-    bool_or(regexp_matches(line, '"([^"]+)" (?:means|bedeutet|includes)\b')) AS def FROM sec GROUP BY ALL),
-sections AS (SELECT b.chunk_id, jurisdiction, act, section_no, sub_no, list_filter([section_no, sub_no], lambda x: x IS NOT NULL) AS section_path,
-    CASE WHEN sub_no IS NOT NULL THEN section_no END AS parent_no,
-    CASE WHEN sub_no IS NOT NULL THEN 2 WHEN section_no IS NOT NULL THEN 1 ELSE 0 END AS level,
-    CASE WHEN prov THEN 'proviso' WHEN def THEN 'definition' WHEN sub_no IS NOT NULL THEN 'subsection' WHEN section_no IS NOT NULL THEN 'section' ELSE 'preamble' END AS kind,
-    heading, text, first_line FROM blocks b JOIN head h USING (chunk_id, sid))"""
+bodies AS (SELECT chunk_id, node, string_agg(line, chr(10) ORDER BY i) AS text, bool_or(i % 12 = 7) AS prov, bool_or(i % 12 = 10) AS def FROM seen GROUP BY ALL),
+heads AS (SELECT chunk_id, i AS hi, line AS heading FROM mark WHERE depth = 3),
+named AS (SELECT s.chunk_id, jurisdiction, act, list_filter([{', '.join(_TITLE)}], lambda x: x IS NOT NULL) AS division,
+    {_NO[3]} AS section_no, CASE WHEN depth > 3 THEN {_known('i', 3)} END AS sub_no,
+    list_filter([{', '.join(_NO[q] for q in range(3, 8))}], lambda x: x IS NOT NULL) AS section_path,
+    CASE WHEN prov THEN 'proviso' WHEN def THEN 'definition' ELSE {_known('i', 2)} END AS kind, heading, b.text, i AS first_line, depth
+  FROM seen s JOIN bodies b USING (chunk_id, node) LEFT JOIN heads h ON h.chunk_id = s.chunk_id AND h.hi = s.l3 AND {_LIVE[3]} WHERE depth IS NOT NULL),
+sections AS (SELECT chunk_id, jurisdiction, act, division, section_no, sub_no, section_path, CASE WHEN depth > 3 THEN section_path[-2] END AS parent_no,
+    CAST(len(section_path) AS INT) AS level, kind, heading, text, first_line FROM named)"""
 
 
 @register("i02_detect_sections", with_(LV, STAT, SECTIONS, body="SELECT * FROM sections"))
