@@ -10,19 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import join_hot, small_side
+from codicil.functions.relational import join_hot, small_side, stage
 from codicil.functions.text import squash, tokens
 
 CITE = r"\[([0-9]+)\]"
-NUMBER = r"[0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*"
+NUMBER = r"[0-9]+(?:\.[0-9]+)*[A-Za-z]?(?:\([0-9a-z]+\))*"
 # Heads of a section reference. One number follows a singular head, a list of them a plural one.
 ONE = r"s|sec|section|art|article|reg|regulation|§"
 MANY = r"ss|secs|sections|arts|articles|regs|regulations|§§"
-JOIN = r"(?: ?, ?(?:(?:and|or|und|et|y) )?| (?:and|or|to|und|oder|bis|et|ou|y|&) )"
+TO = r"(?: (?:to|through|bis|à) | ?[–-] ?)"
+JOIN = rf"(?: ?, ?(?:(?:and|or|und|et|y) )?| (?:and|or|und|oder|et|ou|y|&) |{TO})"
 REF = rf"(?:^|[^\p{{L}}\p{{N}}])(?i:{ONE})\.? ?({NUMBER})"
 REF_LIST = rf"(?:^|[^\p{{L}}\p{{N}}])(?i:{MANY})\.? ?({NUMBER}(?:{JOIN}{NUMBER})*)"
+PAIR = rf"([0-9]+)[A-Za-z]?{TO}([0-9]+)"
+# Heads of a part of a section, alone or followed by its section.
+INNER = r"subsection|sub-section|subs|paragraph|para|subparagraph|absatz|abs"
+PLACE = r"(?:\([0-9a-zA-Z]{1,3}\)|[0-9]+[A-Za-z]?)(?![\p{L}\p{N}])"
+WITHIN = rf" (?i:of|des|der|von) (?i:{ONE})\.? ?([0-9]+[A-Za-z]?)"
+INNER_REF = rf"(?:^|[^\p{{L}}\p{{N}}])(?i:{INNER})\.? ?({PLACE})(?!{WITHIN})"
+INNER_OF = rf"(?:^|[^\p{{L}}\p{{N}}])(?i:{INNER})\.? ?({PLACE}){WITHIN}"
 # Abbreviations whose dot before a number does not end a sentence.
 SHORT = r"(^|[^\p{L}\p{N}])((?i:s|ss|sec|secs|art|arts|reg|regs|no|nos|nr|abs|para|paras|cl|ch))\.[ \t]+([0-9(])"
+# Abbreviations whose dot never ends a sentence, one that does before a capital only, and initials before a name.
+INSIDE = (
+    r"(^|[^\p{L}\p{N}])((?i:vs?|i\.e|e\.g|cf|resp|z\.B|d\.h))\.[ \t]+(\S)",
+    r"(^|[^\p{L}\p{N}])((?i:etc))\.[ \t]+(\p{Ll})",
+    r"(^|[^\p{L}\p{N}])(\p{Lu})\.[ \t]+(\p{Lu})",
+)
 HELD = "\ue000"
 NUMBERED = r"(?:^|[^\p{L}\p{N}])([0-9]+[A-Za-z]?(?:\([0-9a-z]+\))*)"
 
@@ -49,9 +63,61 @@ def refs_of(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(REF), F.lit(1)), listed))
 
 
+def ranges_of(text: Column) -> Column:
+    """Ranges of section numbers as (low, high), alone or inside a list: ``ss 5 to 9``, ``§§ 3, 5–9``."""
+    lists = F.regexp_extract_all(text, F.lit(REF_LIST), F.lit(1))
+    pairs = F.flatten(F.transform(lists, lambda l: F.regexp_extract_all(l, F.lit(PAIR), F.lit(0))))
+    end = lambda p, g: F.regexp_extract(p, PAIR, g).try_cast("bigint")
+    ends = F.transform(pairs, lambda p: F.struct(end(p, 1).alias("low"), end(p, 2).alias("high")))
+    return F.array_distinct(F.filter(ends, lambda r: r["low"] < r["high"]))
+
+
+def inner_refs_of(text: Column) -> Column:
+    """Parts of a section: ``5(3)`` where the section is named with it, else the part alone, ``(3)``."""
+    bare = lambda m, pattern: F.concat(
+        F.lit("("), F.regexp_replace(F.regexp_extract(m, pattern, 1), "[()]", ""), F.lit(")")
+    )
+    named = F.transform(
+        F.regexp_extract_all(text, F.lit(INNER_OF), F.lit(0)),
+        lambda m: F.concat(F.regexp_extract(m, INNER_OF, 2), bare(m, INNER_OF)),
+    )
+    alone = F.transform(F.regexp_extract_all(text, F.lit(INNER_REF), F.lit(0)), lambda m: bare(m, INNER_REF))
+    return F.array_distinct(F.concat(named, alone))
+
+
+def section_order(no: Column) -> Column:
+    """Sort key of a section number: 12 before 12A before 13."""
+    return F.struct(section_int(no).alias("number"), F.upper(F.regexp_extract(no, r"^[0-9]+([A-Za-z]*)", 1)).alias("suffix"))
+
+
+def section_int(no: Column) -> Column:
+    return F.regexp_extract(no, r"^([0-9]+)", 1).try_cast("bigint")
+
+
+def gaps_between(low: Column, high: Column, held: Column) -> Column:
+    """Runs strictly inside (low, high) without a held number, as ``6 to 8`` or ``7``; ``held`` is any array of numbers."""
+    inside = F.array_sort(F.array_distinct(F.filter(held, lambda h: (h > low) & (h < high))))
+    stops = F.concat(inside, F.array(high))
+    runs = F.transform(
+        stops,
+        lambda stop, k: F.struct(
+            (F.when(k == 0, low).otherwise(F.get(inside, k - 1)) + 1).alias("first"), (stop - 1).alias("last")
+        ),
+    )
+    name = lambda r: F.when(r["first"] == r["last"], r["first"].cast("string")).otherwise(
+        F.concat(r["first"].cast("string"), F.lit(" to "), r["last"].cast("string"))
+    )
+    return F.transform(F.filter(runs, lambda r: r["first"] <= r["last"]), name)
+
+
 def split_claims(answers: DataFrame) -> DataFrame:
-    """V-03. Sentences with the excerpts they cite; cut at sentence and line ends, not after "s." or "No." before a number."""
-    joined = F.regexp_replace("text", SHORT, f"$1$2.{HELD}$3")
+    """V-03. Sentences with the excerpts they cite; cut at sentence and line ends.
+
+    No cut follows "s." or "No." before a number, "v.", "i.e.", or an initial before a name.
+    """
+    joined = F.col("text")
+    for pattern in (SHORT, *INSIDE):
+        joined = F.regexp_replace(joined, pattern, f"$1$2.{HELD}$3")
     cut = F.split(F.regexp_replace(joined, r"([.!?])\s+", "$1\n"), "\n")
     parts = F.filter(F.transform(cut, lambda p: squash(F.replace(p, F.lit(HELD), F.lit(" ")))), lambda p: p.rlike(r"[\p{L}\p{N}]"))
     return (
@@ -81,30 +147,50 @@ def section_realism(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
     """V-02. Section references that no excerpt cited by the claim holds.
 
     A reference is held if it is the excerpt's section, if its stem is and the
-    text has the rest, or if it stands in the text as a whole number.
+    text has the rest, or if it stands in the text as a whole number. A part named
+    without its section (``subsection (3)``) is sought in the sections of the cited
+    excerpts. Of a range the ends are references, and the numbers between them
+    that no cited excerpt holds are given as runs, such as ``6 to 8``.
     """
-    refs = claims.withColumn("refs", refs_of(F.col("claim"))).where(F.size("refs") > 0)
+    refs = claims.withColumns(
+        {
+            "refs": F.array_union(refs_of(F.col("claim")), inner_refs_of(F.col("claim"))),
+            "ranges": ranges_of(F.col("claim")),
+        }
+    ).where(F.size("refs") > 0)
     paired = evidence(refs, excerpts.select("query_id", "n", "section_no", "text")).withColumn(
         "in_text", F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(1))
     )
 
     def held(r: Column) -> Column:
-        stem = F.regexp_extract(r, r"^([0-9]+[A-Za-z]?)", 1)
+        stem = F.regexp_extract(r, r"^([0-9]+(?:\.[0-9]+)*[A-Za-z]?)", 1)
         rest = F.substring(r, F.length(stem) + 1, F.length(r))
+        part = F.regexp_extract(r, r"^\(([0-9]+)", 1)
         return F.coalesce(
             (r == F.col("section_no"))
             | ((stem == F.col("section_no")) & (rest != "") & F.contains(F.col("text"), rest))
+            | ((stem == "") & (F.contains(F.col("text"), r) | ((part != "") & F.array_contains("in_text", part))))
             | F.array_contains("in_text", r),
             F.lit(False),
         )
 
-    ok = paired.select(*CLAIM, "refs", F.filter("refs", held).alias("ok"))
-    return (
-        ok.groupBy(*CLAIM, "refs")
-        .agg(F.array_distinct(F.flatten(F.collect_list("ok"))).alias("ok"))
-        .select(*CLAIM, F.explode_outer(F.array_except("refs", "ok")).alias("ref"))
-        .where(F.col("ref").isNotNull())
+    numbers = F.filter(
+        F.concat(
+            F.array(section_int(F.col("section_no"))),
+            F.transform("in_text", lambda t: F.regexp_extract(t, r"^([0-9]+)(?:\(|$)", 1).try_cast("bigint")),
+        ),
+        lambda n: n.isNotNull(),
     )
+    ok = paired.select(*CLAIM, "refs", "ranges", F.filter("refs", held).alias("ok"), numbers.alias("numbers"))
+    whole = ok.groupBy(*CLAIM, "refs").agg(
+        F.array_distinct(F.flatten(F.collect_list("ok"))).alias("ok"),
+        F.any_value("ranges").alias("ranges"),
+        F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"),
+    )
+    gaps = F.flatten(F.transform("ranges", lambda r: gaps_between(r["low"], r["high"], F.col("numbers"))))
+    return whole.select(
+        *CLAIM, F.explode_outer(F.array_union(F.array_except("refs", "ok"), gaps)).alias("ref")
+    ).where(F.col("ref").isNotNull())
 
 
 def claim_body(claim: Column) -> Column:
@@ -326,18 +412,53 @@ def respond(decisions: DataFrame, answers: DataFrame, excerpts: DataFrame) -> Da
     )
 
 
+def sections_in_ranges(ranges: DataFrame, held: DataFrame) -> DataFrame:
+    """Each range (act, low, high) with the held sections (act, section_no, live) whose number lies in it.
+
+    An interval join by equal keys: a range is laid over buckets of its own scale,
+    the largest power of two within its width, so it meets three buckets at most
+    however wide it is; a section stands in one bucket of each scale that occurs.
+    """
+    scale = F.floor(F.log2(F.col("high") - F.col("low") + 1)).cast("int")
+    laid = ranges.select("act", "low", "high").distinct().withColumn("scale", scale)
+    scales = [r["scale"] for r in laid.select("scale").distinct().collect()]  # 63 at most, as numbers are 64 bits
+    bucket = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("scale"))).cast("bigint")
+    laid = laid.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high"))))
+    numbered = held.withColumn("number", section_int(F.col("section_no"))).where("number IS NOT NULL")
+    numbered = numbered.withColumn("scale", F.explode(F.lit(scales or [0]))).withColumn("bucket", bucket("number"))
+    return laid.join(numbered, ["act", "scale", "bucket"]).where("number BETWEEN low AND high").drop("scale", "bucket")
+
+
+def range_findings(ranges: DataFrame, live: DataFrame) -> DataFrame:
+    """(act, low, high, ref, finding) strictly inside each range: sections out of force, and runs that are not held."""
+    asked = ranges.select("act", "low", "high").distinct()
+    found = stage(sections_in_ranges(asked, live).where("number > low AND number < high"), "range-sections")
+    dead = found.where(~F.col("live")).select("act", "low", "high", F.col("section_no").alias("ref"), F.lit("not_in_force").alias("finding"))
+    numbers = found.groupBy("act", "low", "high").agg(F.collect_set("number").alias("numbers"))
+    none = F.array().cast("array<bigint>")
+    gaps = asked.join(numbers, ["act", "low", "high"], "left").withColumn("numbers", F.coalesce("numbers", none))
+    runs = F.explode(gaps_between(F.col("low"), F.col("high"), F.col("numbers")))
+    return dead.unionByName(gaps.select("act", "low", "high", runs.alias("ref"), F.lit("not_held").alias("finding")))
+
+
 def review_documents(drafts: DataFrame, held: DataFrame) -> DataFrame:
     """V-14. Statutory references in client drafts that the corpus lacks or holds out of force.
 
     ``drafts`` (doc_id, act, text); ``held`` (act, section_no, status). The corpus
-    is folded to one row per section before the join.
+    is folded to one row per section before the join. Of a range (``ss 5 to 9``) the
+    ends are references; sections between them are found by an interval join, and
+    what is not held there is given as runs, such as ``6 to 8``.
     """
-    refs = drafts.select("doc_id", "act", F.explode_outer(refs_of(F.col("text"))).alias("ref")).where(F.col("ref").isNotNull())
-    refs = refs.withColumn("section_no", F.regexp_extract("ref", r"^([0-9]+[A-Za-z]?)", 1))
+    named = drafts.select("doc_id", "act", F.explode_outer(refs_of(F.col("text"))).alias("ref")).where(F.col("ref").isNotNull())
+    refs = named.withColumn("section_no", F.regexp_extract("ref", r"^([0-9]+(?:\.[0-9]+)*[A-Za-z]?)", 1))
     live = held.groupBy("act", "section_no").agg(F.bool_or(F.col("status") == "in_force").alias("live"))
-    return (
+    single = (
         join_hot(refs, live, ["act", "section_no"], "doc_id", "left")
         .withColumn("finding", F.when(F.col("live").isNull(), "not_held").when(~F.col("live"), "not_in_force"))
         .where(F.col("finding").isNotNull())
         .select("doc_id", "act", "ref", "finding")
     )
+    spans = drafts.select("doc_id", "act", F.explode(ranges_of(F.col("text"))).alias("r")).select("doc_id", "act", "r.low", "r.high")
+    spans = stage(spans.distinct(), "draft-ranges")
+    inside = join_hot(spans, range_findings(spans, live), ["act", "low", "high"], "doc_id")
+    return single.unionByName(inside.select("doc_id", "act", "ref", "finding")).distinct()

@@ -360,8 +360,11 @@ def answer_parse(spark, sf):
 CITES = r"list_sort(list_distinct(list_transform(regexp_extract_all({t}, '\[([0-9]+)\]', 1), lambda n: TRY_CAST(n AS BIGINT))))"
 LISTED = f"flatten(list_transform(regexp_extract_all({{t}}, '{vf.REF_LIST}', 1), lambda l: regexp_extract_all(l, '{vf.NUMBER}')))"
 REFS = "list_distinct(list_concat(regexp_extract_all({t}, '" + vf.REF + "', 1), " + LISTED + "))"
+JOINED = "text"
+for _pattern in (vf.SHORT, *vf.INSIDE):
+    JOINED = rf"regexp_replace({JOINED}, '{_pattern}', '\1\2.{vf.HELD}\3', 'g')"
 CLAIMS = rf"""claims0 AS (SELECT query_id, attempt, list_filter(list_transform(string_split(regexp_replace(
-     regexp_replace(text, '{vf.SHORT}', '\1\2.{vf.HELD}\3', 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)),
+     {JOINED}, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)),
      lambda p: trim(regexp_replace(replace(p, '{vf.HELD}', ' '), '\s+', ' ', 'g'))), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]')) AS ps FROM ans),
 claims1 AS (SELECT query_id, attempt, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS claim_no, unnest(ps) AS claim FROM claims0),
 claims AS (SELECT *, {CITES.format(t='claim')} AS cited FROM claims1),
@@ -407,6 +410,32 @@ def v02(spark, sf):
     return vf.section_realism(claims_of(spark, sf), drafts.excerpts(spark, sf))
 
 
+RANGED = {
+    s: "'Rules stand in ss ' || CAST(3 + doc_id % 4 AS {s}) || ' to ' || CAST(9 + doc_id % 4 AS {s}) || CASE WHEN doc_id % 2 = 0 THEN ' and 77777' ELSE '' END"
+       " || ', with subsection (1) of section ' || CAST(6 + doc_id % 4 AS {s}) || ' and paragraph 88888 [1][2][3].'".replace("{s}", s)
+    for s in ("STRING", "VARCHAR")
+}
+
+
+@register("v02_range_gaps", with_(DRAFTS, r"""d AS (SELECT doc_id, 3 + doc_id % 4 AS lo, 9 + doc_id % 4 AS hi FROM documents),
+  held AS (SELECT d.doc_id, e.n, e.section_no, e.text FROM d JOIN exc e ON e.query_id = d.doc_id AND e.n <= 3),
+  stands AS (SELECT doc_id, CAST(section_no AS BIGINT) AS num FROM held UNION
+    SELECT doc_id, TRY_CAST(t AS BIGINT) FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS t FROM held) WHERE regexp_full_match(t, '[0-9]+')),
+  singles AS (SELECT doc_id, CAST(lo AS VARCHAR) AS ref, lo AS num FROM d UNION ALL SELECT doc_id, CAST(hi AS VARCHAR), hi FROM d
+    UNION ALL SELECT doc_id, CAST(lo + 3 AS VARCHAR), lo + 3 FROM d UNION ALL SELECT doc_id, '77777', 77777 FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '(88888)', 88888 FROM d),
+  lost AS (SELECT doc_id, ref FROM singles s WHERE NOT EXISTS (SELECT 1 FROM stands x WHERE x.doc_id = s.doc_id AND x.num = s.num)),
+  part AS (SELECT doc_id, CAST(lo + 3 AS VARCHAR) || '(1)' AS ref FROM d WHERE NOT EXISTS (SELECT 1 FROM held h
+    WHERE h.doc_id = d.doc_id AND ((h.n = 2 AND contains(h.text, '(1)')) OR contains(h.text, ' ' || CAST(lo + 3 AS VARCHAR) || '(1)')))),
+  open_no AS (SELECT doc_id, num, num - row_number() OVER (PARTITION BY doc_id ORDER BY num) AS run FROM (SELECT doc_id, unnest(range(lo + 1, hi)) AS num FROM d) i
+    WHERE NOT EXISTS (SELECT 1 FROM stands x WHERE x.doc_id = i.doc_id AND x.num = i.num)),
+  runs AS (SELECT doc_id, CASE WHEN min(num) = max(num) THEN CAST(min(num) AS VARCHAR) ELSE CAST(min(num) AS VARCHAR) || ' to ' || CAST(max(num) AS VARCHAR) END AS ref
+    FROM open_no GROUP BY doc_id, run)""",
+    body="SELECT doc_id AS query_id, ref FROM lost UNION ALL SELECT doc_id, ref FROM part UNION ALL SELECT doc_id, ref FROM runs"))
+def v02_ranges(spark, sf):
+    drafted = table(spark, sf, "documents").selectExpr("doc_id AS query_id", "1 AS attempt", f"{RANGED['STRING']} AS text")
+    return vf.section_realism(vf.split_claims(drafted), drafts.excerpts(spark, sf)).select("query_id", "ref")
+
+
 @register("v03_split_claims", with_(DRAFTS, CLAIMS, body="SELECT * FROM claims"))
 def v03(spark, sf):
     return claims_of(spark, sf)
@@ -531,6 +560,28 @@ def v14(spark, sf):
     return vf.review_documents(mine, drafts.excerpts(spark, sf))
 
 
+REVIEWED = {
+    s: "'Sections ' || CAST(1 + doc_id % 7 AS {s}) || ' to ' || CAST(3 + doc_id % 7 + doc_id % 11 AS {s}) || ' and ' || CAST(1 + doc_id % 3 AS {s}) || ' apply.'".replace("{s}", s)
+    for s in ("STRING", "VARCHAR")
+}
+
+
+@register("v14_review_ranges", with_(LV, """live AS (SELECT act, CAST(section_no AS BIGINT) AS num, bool_or(status = 'in_force') AS live FROM lv
+    WHERE CAST(section_no AS BIGINT) % 4 <> 3 GROUP BY ALL),
+  d AS (SELECT doc_id, source AS act, 1 + doc_id % 7 AS lo, 3 + doc_id % 7 + doc_id % 11 AS hi, 1 + doc_id % 3 AS also FROM documents),
+  asked AS (SELECT doc_id, act, lo AS num, true AS single FROM d UNION SELECT doc_id, act, hi, true FROM d UNION SELECT doc_id, act, also, true FROM d
+    UNION ALL SELECT doc_id, act, unnest(range(lo + 1, hi)), false FROM d),
+  seen AS (SELECT a.*, l.live FROM asked a LEFT JOIN live l USING (act, num)),
+  gaps AS (SELECT doc_id, act, num, num - row_number() OVER (PARTITION BY doc_id ORDER BY num) AS run FROM seen WHERE NOT single AND live IS NULL)""",
+    body="""SELECT DISTINCT * FROM (SELECT doc_id, act, CAST(num AS VARCHAR) AS ref, CASE WHEN live IS NULL THEN 'not_held' ELSE 'not_in_force' END AS finding
+    FROM seen WHERE (single AND live IS NULL) OR NOT live
+  UNION ALL SELECT doc_id, act, CASE WHEN min(num) = max(num) THEN CAST(min(num) AS VARCHAR) ELSE CAST(min(num) AS VARCHAR) || ' to ' || CAST(max(num) AS VARCHAR) END, 'not_held'
+    FROM gaps GROUP BY doc_id, act, run)"""))
+def v14_ranges(spark, sf):
+    mine = table(spark, sf, "documents").selectExpr("doc_id", "source AS act", f"{REVIEWED['STRING']} AS text")
+    return vf.review_documents(mine, legal_view(spark, sf).where("CAST(section_no AS BIGINT) % 4 <> 3").select("act", "section_no", "status"))
+
+
 # Faithfulness metrics and gates ---------------------------------------------
 
 PLACE_DOC = "CASE lang WHEN 'en' THEN 'gb' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'ca' ELSE 'us' END"
