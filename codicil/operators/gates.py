@@ -83,8 +83,12 @@ def sign_manifest(chunks: DataFrame, key: bytes, parts: list[str]) -> DataFrame:
 
     Each row's SHA-256 is read as four integers and summed per lane in exact
     decimals, so the digest is a plain sum: combined map-side, any size, no list.
+    A field is signed with its length, and a null has a mark of its own, so no two
+    rows that differ are signed alike.
     """
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256)
+    texts = [F.col(p).cast("string") for p in parts]
+    fields = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    row = F.sha2(F.concat_ws(",", *fields), 256)
     hashed = chunks.select("corpus_id", row.alias("h"))
     lanes = [
         F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"lane{i}") for i in range(4)

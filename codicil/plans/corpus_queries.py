@@ -103,6 +103,28 @@ def publish(spark, sf):
     return live.groupBy("corpus_id", "snapshot_id").agg(F.count("*").alias("chunks"))
 
 
+@register("s06_publish_again", with_(LV, """gated AS (SELECT *, jurisdiction IN ('gb', 'us') AS passes FROM lv)""",
+    body="""SELECT jurisdiction AS corpus_id, CASE WHEN passes THEN 's2' ELSE 's1' END AS snapshot_id, count(*) AS chunks,
+    count(*) FILTER (WHERE passes AND chunk_id % 7 = 0) AS amended FROM gated WHERE NOT passes OR chunk_id % 19 <> 0 GROUP BY ALL"""))
+def publish_again(spark, sf):
+    """Same id published thrice: good; other content whose gate fails; then a second snapshot that half of the corpora pass."""
+    chunks = legal_view(spark, sf).withColumn("corpus_id", F.col("jurisdiction"))
+    none = spark.createDataFrame([], "corpus_id string, reason string")
+    root = fresh_path(spark, "publish")
+    src.publish(chunks, gt.ingestion_gate(chunks, none), root, "s1")
+    spoiled = chunks.withColumn("text", F.lit("spoiled amended"))
+    every = chunks.select("corpus_id").distinct()
+    src.publish(spoiled, gt.ingestion_gate(spoiled, every.withColumn("reason", F.lit("null"))), root, "s1")
+    marked = F.when(F.col("chunk_id") % 7 == 0, F.concat("text", F.lit(" amended"))).otherwise(F.col("text"))
+    new = chunks.where("chunk_id % 19 <> 0").withColumn("text", marked)
+    blocked = every.where("corpus_id NOT IN ('gb', 'us')").withColumn("reason", F.lit("count"))
+    src.publish(new, gt.ingestion_gate(new, blocked), root, "s2")
+    live = src.read_published(spark, root)
+    return live.groupBy("corpus_id", "snapshot_id").agg(
+        F.count("*").alias("chunks"), F.count_if(F.col("text").endswith(" amended")).alias("amended")
+    )
+
+
 SYN = """syn AS (SELECT DISTINCT jurisdiction, act AS alias, act || ' act' AS canonical,
    ['law of ' || act, act || ' act', act || ' code', act || ' order', act || ' rules', act || ' statute'] AS expansions FROM lv)"""
 
@@ -447,7 +469,7 @@ def c06(spark, sf):
 LANE = "CAST(sum(CAST(('0x' || substr(h, {}, 15)) AS BIGINT)) AS VARCHAR)"
 
 
-@register("c07_sign_manifest", with_(LV, "hs AS (SELECT jurisdiction AS corpus_id, sha256(concat_ws(chr(31), CAST(chunk_id AS VARCHAR), act, section_no, CAST(version AS VARCHAR), text)) AS h FROM lv)",
+@register("c07_sign_manifest", with_(LV, "hs AS (SELECT jurisdiction AS corpus_id, sha256(" + " || ',' || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("CAST(chunk_id AS VARCHAR)", "act", "section_no", "CAST(version AS VARCHAR)", "text")) + ") AS h FROM lv)",
    f"sums AS (SELECT corpus_id, count(*) AS rows, sha256(concat_ws(':', corpus_id, CAST(count(*) AS VARCHAR), {', '.join(LANE.format(1 + 15 * i) for i in range(4))})) AS digest FROM hs GROUP BY corpus_id)",
    body="SELECT corpus_id, rows, digest, corpus_id || '-' || substr(digest, 1, 16) AS corpus_snapshot_id FROM sums"))
 def c07(spark, sf):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import time
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,34 +70,87 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def content_address(df: DataFrame) -> str:
+    """Digest of a table's columns and rows; order and partitioning do not count, repeated rows do."""
+    names = sorted(df.columns)
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}), 256)
+    lanes = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)), *lanes).first()
+    kinds = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in names)
+    return hashlib.sha256("|".join([kinds, *map(str, sums)]).encode()).hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+class _Log:
+    """Numbered entries of a commit log; an entry is created exclusively, so two publishers never share a number."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._folder = self._path(folder)
+        self._files = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def entries(self) -> list[int]:
+        if not self._files.exists(self._folder):
+            return []
+        return sorted(int(f.getPath().getName()) for f in self._files.listStatus(self._folder) if f.getPath().getName().isdigit())
+
+    def append(self) -> int:
+        """Claim the next number."""
+        number = (self.entries() or [0])[-1] + 1
+        while not self._files.createNewFile(self._path(self._folder, f"{number:012d}")):
+            number += 1
+        return number
+
+
 def publish(snapshot_df: DataFrame, gate: DataFrame, root: str, snapshot_id: str) -> DataFrame:
     """S-06. Stage a snapshot, then point readers to it for the corpora that pass.
 
-    ``gate`` is (corpus_id, passed, reasons). The pointer table is append-only and
-    numbered, so the last published snapshot counts, whatever its name; a blocked
-    corpus keeps its former pointer. A failed run can be repeated: staging is
-    written anew. Returns the decisions.
+    ``gate`` is (corpus_id, passed, reasons), and this call's gate alone decides.
+    Staging lies under the digest of its content, so no publish can change what an
+    earlier one shows, and a repeated one writes nothing twice. The decisions are
+    written next; last, one entry of the commit log is created exclusively and names
+    them. A run that ends before that shows nothing to readers. A blocked corpus
+    keeps its former snapshot. Returns the decisions.
     """
-    staged = f"{root}/staging/snapshot_id={snapshot_id}"
-    snapshot_df.hint("rebalance", "corpus_id").write.mode("overwrite").partitionBy("corpus_id").parquet(staged)
     spark = snapshot_df.sparkSession
-    decided = gate.withColumn("snapshot_id", F.lit(snapshot_id))
-    decided.write.mode("append").parquet(f"{root}/decisions")
-    done = spark.read.schema(decided.schema).parquet(f"{root}/decisions").where(F.col("snapshot_id") == snapshot_id)
-    turn = F.lit(time.time_ns() // 1000).alias("published_us")
-    done.where("passed").select("corpus_id", "snapshot_id", turn).distinct().write.mode("append").parquet(f"{root}/published")
-    return done
+    content = f"c{content_address(snapshot_df)}"
+    staged = f"{root}/staging/content={content}"
+    if not _exists(spark, f"{staged}/_SUCCESS"):
+        snapshot_df.hint("rebalance", "corpus_id").write.mode("overwrite").partitionBy("corpus_id").parquet(staged)
+    decided = gate.withColumns({"snapshot_id": F.lit(snapshot_id), "content": F.lit(content)})
+    attempt = f"{root}/decisions/attempt=a{uuid.uuid4().hex}"
+    decided.write.parquet(attempt)
+    number = _Log(spark, f"{root}/numbers").append()
+    entry = spark.createDataFrame([(number, attempt.rsplit("=", 1)[1])], "number bigint, attempt string")
+    entry.coalesce(1).write.parquet(f"{root}/log/entry={number:012d}")
+    return spark.read.schema(decided.schema).parquet(attempt).drop("content")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The commit log as a table: corpus_id, passed, snapshot_id, content and the number of the publish."""
+    if not _exists(spark, f"{root}/log"):
+        raise ValueError(f"nothing was published under {root}")
+    log = spark.read.schema("number bigint, attempt string").parquet(f"{root}/log").select("number", "attempt")
+    made = spark.read.option("mergeSchema", "true").parquet(f"{root}/decisions")
+    return made.select("corpus_id", "passed", "snapshot_id", "content", "attempt").join(log, "attempt")
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot of each corpus that was published last."""
-    pointers = (
-        spark.read.schema("corpus_id string, snapshot_id string, published_us bigint")
-        .parquet(f"{root}/published")
+    """The snapshot of each corpus that passed last. Only the folders of live content are read."""
+    live = (
+        published(spark, root)
+        .where("passed")
         .groupBy("corpus_id")
-        .agg(F.max_by("snapshot_id", F.struct("published_us", "snapshot_id")).alias("snapshot_id"))
+        .agg(F.max_by(F.struct("snapshot_id", "content"), "number").alias("last"))
+        .select("corpus_id", "last.*")
     )
-    found = spark.read.parquet(f"{root}/staging").schema
-    names = T.StructType([T.StructField(f.name, T.StringType() if f.name in pointers.columns else f.dataType) for f in found])
-    staged = spark.read.schema(names).parquet(f"{root}/staging")
-    return staged.join(small_side(pointers), ["corpus_id", "snapshot_id"], "left_semi")
+    folders = sorted(r["content"] for r in live.select("content").distinct().collect())  # at most one a corpus
+    paths = [f"{root}/staging/content={f}" for f in folders] or [f"{root}/staging"]
+    read = spark.read.option("mergeSchema", "true").option("basePath", f"{root}/staging")
+    names = [T.StructField(f.name, T.StringType() if f.name in live.columns else f.dataType) for f in read.parquet(*paths).schema]
+    return read.schema(T.StructType(names)).parquet(*paths).join(small_side(live), ["corpus_id", "content"]).drop("content")
