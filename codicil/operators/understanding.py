@@ -62,24 +62,58 @@ def classify_question(df: DataFrame, rules: list[tuple[str, str]] | None = None)
     return df.withColumn("question_type", F.coalesce(*hits, F.lit("general")))
 
 
+def phrase_matches(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Aliases of the dictionary in each question, cut leftmost and longest first, with their expansions.
+
+    Rows: query_id, jurisdiction, toks and ``matches``, an array of (start, size,
+    alias, expansions). Aliases and questions are compared as runs of lower-cased
+    words. The runs of a question, up to the longest alias, meet the dictionary in
+    an equi-join, so neither side is held whole by a task; a question's own matches
+    are then folded in one pass.
+    """
+    known = (
+        synonyms.select("jurisdiction", F.array_join(tokens("alias"), " ").alias("alias"), F.explode("expansions").alias("x"))
+        .where("alias <> '' AND x IS NOT NULL")
+        .groupBy("jurisdiction", "alias")
+        .agg(F.array_sort(F.collect_set("x")).alias("expansions"))
+    )
+    longest = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    base = queries.select("query_id", "jurisdiction", tokens("text").alias("toks"))
+    toks = F.col("toks")
+
+    def runs(width: int) -> Column:
+        return F.transform(shingles(toks, width), lambda run, i: F.struct(run.alias("alias"), i.alias("start"), F.lit(width).alias("size")))
+
+    every = [runs(w) for w in range(1, longest + 1)]
+    found = (
+        base.select("query_id", "jurisdiction", F.inline_outer(F.flatten(F.array(*every))))
+        .join(small_side(known), ["jurisdiction", "alias"])
+        .groupBy("query_id", "jurisdiction")
+        .agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("size")).alias("order"), "size", "alias", "expansions"))).alias("all"))
+    )
+    kept = "aggregate(all, filter(all, m -> false), (kept, m) -> IF(size(kept) > 0 AND m.start < kept[size(kept) - 1].start + kept[size(kept) - 1].size, kept, concat(kept, array(m))))"
+    return base.join(found.select("query_id", "jurisdiction", F.expr(kept).alias("matches")), ["query_id", "jurisdiction"])
+
+
 def expand_queries(queries: DataFrame, synonyms: DataFrame, max_n: int = 5) -> DataFrame:
     """Q-03. Variant 0 is the question; up to ``max_n - 1`` more replace an alias by an expansion.
 
-    ``synonyms`` is (jurisdiction, alias, expansions); the dictionary is broadcast
-    if small, and a question's variants are gathered per question only.
+    ``synonyms`` is (jurisdiction, alias, expansions); an alias may be of several
+    words and of any case. A question is cut into its longest aliases first, so an
+    alias inside a longer one that matches is not replaced.
     """
-    base = queries.select("query_id", "jurisdiction", tokens("text").alias("toks"))
-    met = (
-        base.select("query_id", "jurisdiction", F.explode_outer(F.array_distinct("toks")).alias("alias"))
-        .join(small_side(synonyms.select("jurisdiction", "alias", "expansions")), ["jurisdiction", "alias"])
-        .select("query_id", "alias", F.explode("expansions").alias("expansion"))
-        .join(base, "query_id")
-    )
-    swapped = F.array_join(
-        F.transform("toks", lambda t: F.when(t == F.col("alias"), F.col("expansion")).otherwise(t)), " "
+    met = phrase_matches(queries, synonyms)
+    chosen = F.explode(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.transform(m["expansions"], lambda x: F.struct(m["alias"].alias("alias"), x.alias("x")))))))
+    met = met.withColumn("swap", chosen)
+    spots = F.col("spots")
+    begins = lambda i: F.exists(spots, lambda m: m["start"] == i)
+    covered = lambda i: F.exists(spots, lambda m: (m["start"] < i) & (i < m["start"] + m["size"]))
+    swapped = F.transform(
+        "toks", lambda t, i: F.when(begins(i), F.col("swap.x")).when(~covered(i), t)
     )
+    met = met.withColumn("spots", F.filter("matches", lambda m: m["alias"] == F.col("swap.alias")))
     extra = (
-        met.select("query_id", "jurisdiction", swapped.alias("text"))
+        met.select("query_id", "jurisdiction", F.array_join(swapped, " ").alias("text"))
         .groupBy("query_id", "jurisdiction")
         .agg(F.slice(F.array_sort(F.collect_set("text")), 1, max_n - 1).alias("v"))
         .select("query_id", "jurisdiction", F.posexplode("v").alias("variant_no", "text"))
@@ -197,9 +231,23 @@ def hit_rate(hits: DataFrame) -> DataFrame:
 
 # --- parts, screening, caps -----------------------------------------------
 
+# Words that open a clause of a compound question.
+OPENERS = (
+    "who|what|when|where|which|why|how|whether|is|are|was|were|can|could|must|may|should|does|do|did|will|would|has|have|if|"
+    "wer|was|wann|wo|wie|warum|welche|welcher|welches|ob|ist|sind|kann|muss|darf|"
+    "qui|que|quand|où|comment|pourquoi|quel|quelle|est|sont|peut|doit|"
+    "quién|qué|cuándo|dónde|cómo|cuál|es|son|puede|debe"
+)
+CLAUSE = rf"(?i),? (?:and|und|et|y) ((?:{OPENERS})[^\p{{L}}\p{{N}}])"
+
+
 def decompose(queries: DataFrame) -> DataFrame:
-    """Q-09. One row per part of a compound question: cut at ? ; line ends and joined clauses."""
-    cut = F.split(F.regexp_replace("text", r"[?;\n]+| and | und | et | y ", "\n"), "\n")
+    """Q-09. One row per part of a compound question: cut at ? ; line ends, and before a joined clause.
+
+    A joining word cuts only where a clause opens behind it (``and who pays``);
+    ``health and safety duties`` stays whole.
+    """
+    cut = F.split(F.regexp_replace(F.regexp_replace("text", CLAUSE, "\n$1"), r"[?;\n]+", "\n"), "\n")
     parts = F.filter(F.transform(cut, lambda p: squash(p)), lambda p: p != "")
     return queries.select("query_id", F.posexplode_outer(parts).alias("part_no", "text")).where(
         F.col("text").isNotNull()

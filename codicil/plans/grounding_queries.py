@@ -128,6 +128,34 @@ def expand(spark, sf):
     return un.expand_queries(base, cq.synonyms(spark, sf))
 
 
+PLACED_Q = "CASE item_id % 4 WHEN 0 THEN 'gb' WHEN 1 THEN 'de' WHEN 2 THEN 'ca' ELSE 'us' END"
+
+
+@register("q03_phrase_synonyms", f"""WITH RECURSIVE q AS (SELECT item_id AS query_id, {PLACED_Q} AS jurisdiction, text, {tok('text')} AS toks FROM benchmark),
+  dict AS (SELECT DISTINCT jurisdiction, alias FROM (SELECT jurisdiction, toks[1:2] AS alias FROM q WHERE query_id % 3 = 0
+    UNION ALL SELECT jurisdiction, toks[2:2] FROM q WHERE query_id % 3 = 1 UNION ALL SELECT jurisdiction, toks[2:4] FROM q WHERE query_id % 5 = 0)),
+  spots AS (SELECT q.query_id, p.pos, max(len(d.alias)) AS size FROM q, unnest(range(1, len(q.toks) + 1)) p(pos) JOIN dict d
+    ON d.jurisdiction = q.jurisdiction AND d.alias = q.toks[p.pos : p.pos + len(d.alias) - 1] GROUP BY ALL),
+  walk AS (SELECT query_id, CAST(1 AS BIGINT) AS pos FROM q UNION ALL
+    SELECT w.query_id, w.pos + coalesce(s.size, 1) FROM walk w JOIN q USING (query_id) LEFT JOIN spots s ON s.query_id = w.query_id AND s.pos = w.pos WHERE w.pos <= len(q.toks)),
+  steps AS (SELECT w.query_id, w.pos, s.size IS NOT NULL AS hit, array_to_string(q.toks[w.pos : w.pos + coalesce(s.size, 1) - 1], ' ') AS run
+    FROM walk w JOIN q USING (query_id) LEFT JOIN spots s ON s.query_id = w.query_id AND s.pos = w.pos WHERE w.pos <= len(q.toks)),
+  swaps AS (SELECT query_id, run AS alias, unnest([run || ' act', 'law of ' || run, 'Statute: ' || run]) AS x FROM (SELECT DISTINCT query_id, run FROM steps WHERE hit)),
+  made AS (SELECT DISTINCT query_id, text FROM (SELECT w.query_id, w.alias, w.x, string_agg(CASE WHEN t.hit AND t.run = w.alias THEN w.x ELSE t.run END, ' ' ORDER BY t.pos) AS text
+    FROM swaps w JOIN steps t USING (query_id) GROUP BY w.query_id, w.alias, w.x)),
+  num AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text) AS INT) AS variant_no FROM made)
+  SELECT query_id, jurisdiction, text, CAST(0 AS INT) AS variant_no FROM q UNION ALL SELECT n.query_id, jurisdiction, n.text, variant_no FROM num n JOIN q USING (query_id) WHERE variant_no <= 4""")
+def expand_phrases(spark, sf):
+    """A dictionary of one to three words an alias, in capitals and with odd blanks, drawn from the questions themselves."""
+    words = questions(spark, sf).withColumn("t", tokens("text"))
+    part = lambda at, n, only: words.where(only).select("jurisdiction", F.array_join(F.slice("t", at, n), " ").alias("run"))
+    runs = part(1, 2, "query_id % 3 = 0").unionByName(part(2, 1, "query_id % 3 = 1")).unionByName(part(2, 3, "query_id % 5 = 0")).distinct()
+    made = F.array(F.concat("run", F.lit(" act")), F.concat(F.lit("law of "), "run"), F.concat(F.lit("Statute: "), "run"))
+    capitals = F.translate("run", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    odd = F.concat(F.lit(" "), F.replace(capitals, F.lit(" "), F.lit("  -")))
+    return un.expand_queries(questions(spark, sf), runs.select("jurisdiction", odd.alias("alias"), made.alias("expansions")))
+
+
 @register("q04_named_acts", with_(*ASK_CTES, body="SELECT query_id, act FROM named"))
 def named_query(spark, sf):
     return un.named_acts(asked(spark, sf), act_names(spark, sf))
@@ -173,7 +201,7 @@ def hit_rate(spark, sf):
 
 def parts_sql(src: str) -> str:
     return rf"""parts AS (SELECT query_id, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS part_no, unnest(ps) AS text FROM (SELECT query_id, list_filter(list_transform(
-     string_split(regexp_replace(text, '[?;\n]+| and | und | et | y ', chr(10), 'g'), chr(10)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS ps FROM {src}))"""
+     string_split(regexp_replace(regexp_replace(text, '{un.CLAUSE}', chr(10) || '\1', 'g'), '[?;\n]+', chr(10), 'g'), chr(10)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS ps FROM {src}))"""
 
 
 @register("q09_decompose", with_("src AS (SELECT conv_id * 100000 + turn AS query_id, text FROM conversations)", parts_sql("src"), body="SELECT * FROM parts"))

@@ -82,3 +82,35 @@ def test_case_names_and_initials_do_not_end_a_claim(spark):
         "Acme v. Smith holds [2].", "This is so, i.e. always.", "J. Doe agrees, e.g. here, etc. and more.", "Plans end etc.", "The rest."
     ]
     assert got[0].cited == [2]
+
+
+def test_phrase_synonyms(spark):
+    from codicil.operators import understanding as un
+
+    asked = [(1, "za", "BCEA notice period"), (2, "za", "The Basic Conditions of Employment Act, and BCEA again"), (3, "gb", "BCEA"), (4, "za", None), (5, "za", "notice notice period period")]
+    q = spark.createDataFrame(asked, "query_id bigint, jurisdiction string, text string")
+    syn = spark.createDataFrame(
+        [("za", "BCEA", ["Basic Conditions of Employment Act"]), ("za", "bcea", ["act 75", None]), ("za", "notice period", ["period of notice"]),
+         ("za", "Employment Act", ["EA"]), ("za", "basic conditions OF employment act", ["BCEA"]), ("za", "period", ["term"]), ("za", " - ", ["none"])],
+        "jurisdiction string, alias string, expansions array<string>",
+    )
+    got = {}
+    for r in un.expand_queries(q, syn).orderBy("variant_no").collect():
+        got.setdefault(r.query_id, []).append(r.text)
+    assert got == {
+        1: ["BCEA notice period", "Basic Conditions of Employment Act notice period", "act 75 notice period", "bcea period of notice"],
+        2: [asked[1][2], "the BCEA and bcea again", "the basic conditions of employment act and Basic Conditions of Employment Act again",
+            "the basic conditions of employment act and act 75 again"],
+        3: ["BCEA"],
+        4: [None],
+        5: ["notice notice period period", "notice notice period term", "notice period of notice period"],
+    }
+
+
+def test_parts_of_a_question_keep_joined_nouns(spark):
+    from codicil.operators import understanding as un
+
+    q = spark.createDataFrame([(1, "What are health and safety duties, and who pays? Bread and butter\nWas gilt und wer zahlt")], "query_id bigint, text string")
+    assert [r.text for r in un.decompose(q).orderBy("part_no").collect()] == [
+        "What are health and safety duties", "who pays", "Bread and butter", "Was gilt", "wer zahlt"
+    ]
