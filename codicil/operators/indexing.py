@@ -178,3 +178,35 @@ def build_vector_index(chunks: DataFrame, cells: int = 16, seed: int = 7, train_
         "cell int, centroid array<double>",
     )
     return index, centroids
+
+
+def assign_cells(chunks: DataFrame, centroids: DataFrame) -> DataFrame:
+    """I-13. Chunks with the ``cell`` of the nearest centroid by cosine, ties to the lower cell; no shuffle.
+
+    ``centroids`` (cell, centroid) is as small as the number of cells asked for.
+    """
+    known = sorted((r["cell"], r["centroid"]) for r in centroids.select("cell", "centroid").collect())
+    cells, spots = np.array([c for c, _ in known]), np.array([v for _, v in known], dtype=np.float64)
+    spots = spots / np.maximum(np.linalg.norm(spots, axis=1, keepdims=True), 1e-300)
+    shipped = chunks.sparkSession.sparkContext.broadcast((cells, spots))
+
+    def nearest_cell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names, at = shipped.value
+        for vectors in batches:
+            if len(vectors) == 0:
+                yield pd.Series([], dtype="int32")
+                continue
+            rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+            rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+            yield pd.Series(names[np.argmax(np.round(rows @ at.T, 6), axis=1)].astype("int32"))
+
+    return chunks.withColumn("cell", F.pandas_udf(_typed(nearest_cell), "int")("embedding"))
+
+
+def write_vector_index(index: DataFrame, path: str) -> None:
+    """Store an index in one folder a cell, so that a search reads the cells it probes only; crowded cells are split."""
+    index.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+
+
+def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

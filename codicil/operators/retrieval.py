@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import best_first, join_hot, small_side, stage, top_k
+from codicil.functions.relational import best_first, fresh_path, join_hot, small_side, stage, top_k
 from codicil.functions.text import bigrams, share_in, tokens
 from codicil.operators.indexing import TextIndex, chunk_counts, embed
 
@@ -141,7 +141,7 @@ def bm25_from_index(
 
 # --- dense leg ------------------------------------------------------------
 
-MAX_SHIPPED = 4096
+QUESTIONS_A_ROUND = 4096
 
 
 def _best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,20 +206,29 @@ def _ranked_type(corpus: DataFrame, asked: DataFrame) -> str:
 def nearest(chunks: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """Top ``k`` cosine neighbours among the chunks that share ``key`` with the query.
 
-    A question batch of checked size travels to the tasks, which score Arrow
-    batches as matrix products and each return at most ``k`` rows per query. A
-    larger batch is cut, like the chunks, into hashed blocks, and the block
-    pairs are scored as cogroups; both ways are exact. ``queries`` may name one
-    query under several keys.
+    Questions go round by round to a corpus that stays in place: each round ships a
+    bounded block of questions to the tasks, which score Arrow batches as matrix
+    products and return at most ``k`` rows per question. No vector of the corpus is
+    shuffled, whatever the number of questions. ``queries`` may name one query
+    under several keys; all of them travel in one round.
     """
     corpus = chunks.select(F.col(key).cast("string").alias("key"), "chunk_id", "embedding")
     asked = queries.select(F.col(key).cast("string").alias("key"), "query_id", "embedding")
-    rows = asked.limit(MAX_SHIPPED + 1).collect()
-    if len(rows) <= MAX_SHIPPED:
-        partial = _nearest_shipped(corpus, rows, k, _ranked_type(corpus, asked))
-    else:
-        partial = _nearest_blocks(corpus, asked, k)
-    return top_k(partial, ["query_id"], best_first(), k)
+    shape = _ranked_type(corpus, asked)
+
+    def answered(rows: list) -> DataFrame:
+        return top_k(_nearest_shipped(corpus, rows, k, shape), ["query_id"], best_first(), k)
+
+    rows = asked.limit(QUESTIONS_A_ROUND + 1).collect()
+    if len(rows) <= QUESTIONS_A_ROUND:
+        return answered(rows)
+    rounds = -(-2 * asked.count() // QUESTIONS_A_ROUND)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int").alias("block")
+    blocks, path = stage(asked.select("*", block), "questions", by="block"), fresh_path(corpus.sparkSession, "rounds")
+    for n in range(rounds):
+        rows = blocks.where(F.col("block") == n).drop("block").collect()
+        answered(rows).write.mode("append").parquet(path)
+    return corpus.sparkSession.read.schema(f"{shape}, rank int").parquet(path)
 
 
 def _nearest_shipped(corpus: DataFrame, rows: list, k: int, shape: str) -> DataFrame:
@@ -241,28 +250,6 @@ def _nearest_shipped(corpus: DataFrame, rows: list, k: int, shape: str) -> DataF
     return corpus.mapInPandas(score, shape)
 
 
-def _nearest_blocks(corpus: DataFrame, asked: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    corpus = corpus.join(small_side(asked.select("key").distinct()), "key", "left_semi")
-    per_key = asked.groupBy("key").count().agg(F.max("count")).first()[0]
-    most = corpus.groupBy("key").count().agg(F.max("count")).first()[0] or 1
-    n_q, n_c = -(-per_key // block), -(-most // (block * 8))
-    left = corpus.withColumn("c", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).cast("int")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    )
-    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
-        "c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))
-    )
-
-    def score(_, part: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        best = _Shortlist(k)
-        if len(part) and len(qs):
-            best.add(_ids(qs["query_id"]), _unit(qs["embedding"]), _ids(part["chunk_id"]), _unit(part["embedding"]))
-        return best.frame()
-
-    keys = ["key", "q", "c"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _ranked_type(corpus, asked))
-
-
 def dense_exact(chunks: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     """R-03. Exact cosine top ``k`` inside the query's jurisdiction."""
     return nearest(chunks, queries, "jurisdiction", k)
@@ -290,6 +277,30 @@ def overlap_recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def recall_by_probes(
+    chunks: DataFrame, index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = POOL, least: float = 1.0
+) -> DataFrame:
+    """Mean recall against the exact search for 1, 2, 4, ... probed cells: (probes, recall).
+
+    Stops at the first number of cells that reaches ``least``, or at all of them, which is exact.
+    """
+    spark, cells = queries.sparkSession, centroids.count()
+    queries = stage(queries, "recall-questions")
+    exact, out, probes = stage(dense_exact(chunks, queries, k), "recall-exact"), [], 1
+    while True:
+        found = dense_ann(index, centroids, queries, k, min(probes, cells))
+        out.append((min(probes, cells), overlap_recall(exact, found).agg(F.round(F.avg("recall"), 6)).first()[0]))
+        if probes >= cells or (out[-1][1] or 0.0) >= least:
+            return spark.createDataFrame(out, "probes int, recall double")
+        probes *= 2
+
+
+def enough_probes(recalls: DataFrame, least: float = 0.9) -> int:
+    """Least number of probed cells whose measured recall reaches ``least``; all that were tried if none does."""
+    reached = recalls.where(F.col("recall") >= least).agg(F.min("probes")).first()[0]
+    return reached or recalls.agg(F.max("probes")).first()[0]
+
+
 # --- fusion, boosts, rerank -----------------------------------------------
 
 def rrf(lists: list[DataFrame], k: int = RRF_K, pool: int = POOL) -> DataFrame:

@@ -98,12 +98,51 @@ def test_dense_exact_against_brute_force(spark, monkeypatch):
     named = chunks.withColumn("chunk_id", F.format_string("c%03d", "chunk_id"))
     texts = {(r.query_id, int(r.chunk_id[1:]), r["rank"]) for r in rt.dense_exact(named, queries, 5).collect()}
     assert texts == want
-    monkeypatch.setattr(rt, "MAX_SHIPPED", 2)
-    monkeypatch.setattr(rt._nearest_blocks, "__defaults__", (4,))
+    monkeypatch.setattr(rt, "QUESTIONS_A_ROUND", 4)
     blocked = {(r.query_id, r.chunk_id, r["rank"]) for r in rt.dense_exact(chunks, queries, 5).collect()}
     assert blocked == want
 
 
+def test_many_questions_leave_the_corpus_in_place(spark, monkeypatch):
+    chunks, queries = vectors(spark, 60, "chunk_id", 5), vectors(spark, 10_000, "query_id", 6)
+    plans, real = [], rt._nearest_shipped
+
+    def seen(*args):
+        plans.append(real(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(rt, "_nearest_shipped", seen)
+    got = rt.dense_exact(chunks, queries, 3).collect()
+    assert len(plans) >= 3 and not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    monkeypatch.setattr(rt, "QUESTIONS_A_ROUND", 20_000)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rt.dense_exact(chunks, queries, 3).collect()))
+
+
+def test_probes_are_chosen_by_measured_recall(spark):
+    place = lambda df: df.withColumn("jurisdiction", F.lit("all"))
+    chunks, queries = place(vectors(spark, 300, "chunk_id", 7)), place(vectors(spark, 8, "query_id", 8))
+    spots = chunks.where("chunk_id < 8").selectExpr("CAST(chunk_id AS INT) AS cell", "CAST(embedding AS array<double>) AS centroid")
+    index = ix.assign_cells(chunks, spots)
+    recalls = rt.recall_by_probes(chunks, index, spots, queries, 10, least=0.9)
+    got = {r.probes: r.recall for r in recalls.collect()}
+    assert max(got.values()) >= 0.9 and all(v < 0.9 for p, v in got.items() if p < max(got))
+    assert rt.enough_probes(recalls) == max(got)
+
+
+def test_a_stored_index_reads_the_probed_cells_only(spark):
+    chunks = vectors(spark, 200, "chunk_id", 9).withColumn("jurisdiction", F.lit("all"))
+    queries = vectors(spark, 1, "query_id", 10).withColumn("jurisdiction", F.lit("all"))
+    spots = chunks.where("chunk_id < 8").selectExpr("CAST(chunk_id AS INT) AS cell", "CAST(embedding AS array<double>) AS centroid")
+    path = fresh_path(spark, "cells")
+    ix.write_vector_index(ix.assign_cells(chunks, spots), path)
+    stored = ix.read_vector_index(spark, path)
+    one = rt.dense_ann(stored, spots, queries, 5, probes=2)
+    filters = [line for line in one._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
+    assert any("cell" in line.split("PartitionFilters")[1].split("]")[0] for line in filters)
+    memory = rt.dense_ann(ix.assign_cells(chunks, spots), spots, queries, 5, probes=2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, memory.collect()))
+
+
 def test_ann_with_all_cells_is_exact(spark):
     chunks, queries = vectors(spark, 80, "chunk_id", 3).withColumn("jurisdiction", F.lit("all")), vectors(spark, 5, "query_id", 4).withColumn("jurisdiction", F.lit("all"))
     index, centroids = ix.build_vector_index(chunks, cells=4)
