@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import flags_to_reasons, fresh_path, small_side, stage
+from codicil.functions.relational import drop_staged, flags_to_reasons, small_side, stage, staged_paths
 from codicil.functions.text import shingles, squash, tokens
 from codicil.schemas import UNDERSTANDING
 
@@ -185,38 +185,67 @@ def cache_key(jurisdiction: str = "jurisdiction", text: str = "text") -> Column:
     return F.sha2(F.concat_ws("#", jurisdiction, squash(F.lower(text))), 256)
 
 
+#: Parts of a lifetime in which requests are looked up; more parts mean smaller groups and more of them.
+CELLS = 4096
+
+
+def next_requests(times: DataFrame, after: int) -> DataFrame:
+    """First request of the same key at or after ``us + after``, for each (key, us): column ``next``, null if none.
+
+    Time is cut in cells. The answer lies in the cell of the time asked for, where
+    requests and questions meet in one small group, or is the first request of a
+    later cell; the first requests of a key's cells are as many as its cells in use,
+    not its requests.
+    """
+    width = max(1, after // CELLS)
+    cell = lambda c: F.floor(F.col(c) / width)
+    events = times.select("key", "us").withColumn("cell", cell("us"))
+    asked = times.select("key", "us", (F.col("us") + after).alias("t")).withColumn("cell", cell("t"))
+    ahead = Window.partitionBy("key", "cell").orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
+    both = events.select("key", "cell", F.col("us").alias("t"), F.lit(None).cast("bigint").alias("us"), F.lit(1).alias("kind")).unionByName(
+        asked.select("key", "cell", "t", "us", F.lit(0).alias("kind"))
+    )
+    here = both.withColumn("here", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(ahead)).where("kind = 0")
+    firsts = events.groupBy("key", "cell").agg(F.min("us").alias("first"))
+    marks = firsts.unionByName(asked.select("key", "cell", F.lit(None).cast("bigint").alias("first"))).groupBy("key", "cell").agg(
+        F.min("first").alias("first")
+    )
+    beyond = Window.partitionBy("key").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    later = marks.select("key", "cell", F.min("first").over(beyond).alias("later"))
+    return here.join(later, ["key", "cell"]).select("key", "us", F.coalesce("here", "later").alias("next"))
+
+
 def cache_hits(requests: DataFrame, ttl_hours: int = 24) -> DataFrame:
     """Q-07. Requests and misses per (key, ts); a miss stores an entry that lives ``ttl_hours``.
 
-    The lifetime runs from the store, so entries form a chain per key. Time is
-    cut in spans of one lifetime: a span holds at most one store per key, and
-    only the former span's stores can still be alive in it. Spans are therefore
-    folded in order, each with one partial aggregate, and a question that holds
-    a third of the log is never gathered anywhere. Every other request is a hit.
+    The lifetime runs from the store, so stores form a chain per key: from the first
+    request to the first at or after its end, and so on. The chain is walked by
+    pointer doubling: each round joins the pointers with themselves, so a chain
+    of n stores takes log2 n rounds, whatever the length of the log, and rows are
+    spread by (key, time), so a question that holds a third of the log is never
+    gathered anywhere. Every other request is a hit.
     """
-    span = ttl_hours * 3_600_000_000
     per = stage(
-        requests.groupBy("key", "jurisdiction", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-        .agg(F.count("*").alias("requests"))
-        .withColumn("span", F.floor(F.col("us") / span)),
+        requests.groupBy("key", "jurisdiction", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(
+            F.count("*").alias("requests")
+        ),
         "requests",
-        by="span",
     )
-    spans = [r[0] for r in per.select("span").distinct().orderBy("span").collect()]
-    spark = per.sparkSession
-    root, former, last = fresh_path(spark, "stores"), None, None
-    for s in spans:
-        mine = per.where(F.col("span") == s).select("key", "us")
-        if former is not None and last == s - 1:
-            alive = former.select("key", (F.col("us") + span).alias("until"))
-            mine = mine.join(alive, "key", "left").where(F.col("until").isNull() | (F.col("us") >= F.col("until")))
-        path = f"{root}/span={s}"
-        mine.groupBy("key").agg(F.min("us").alias("us")).write.parquet(path)
-        former, last = spark.read.schema("key string, us bigint").parquet(path), s
-    if not spans:
-        return per.select("key", "jurisdiction", "us", "requests", F.lit(0).cast("bigint").alias("misses"))
-    stores = spark.read.schema("key string, us bigint").parquet(root).select("key", "us").withColumn("stored", F.lit(1))
-    return per.join(stores, ["key", "us"], "left").select(
+    spark, times = per.sparkSession, per.select("key", "us").distinct()
+    with staged_paths() as old:
+        jumps = stage(next_requests(times, ttl_hours * 3_600_000_000).where("next IS NOT NULL"), "jumps")
+        stores = stage(times.groupBy("key").agg(F.min("us").alias("us")), "stores")
+    while True:
+        with staged_paths() as new:
+            reached = stage(stores.join(jumps, ["key", "us"]).select("key", F.col("next").alias("us")), "reached")
+            if reached.isEmpty():
+                break
+            stores = stage(stores.unionByName(reached), "stores")
+            onward = jumps.select("key", F.col("us").alias("next"), F.col("next").alias("last"))
+            jumps = stage(jumps.join(onward, ["key", "next"]).select("key", "us", F.col("last").alias("next")), "jumps")
+        drop_staged(spark, old)
+        old = new
+    return per.join(stores.withColumn("stored", F.lit(1)), ["key", "us"], "left").select(
         "key", "jurisdiction", "us", "requests", F.coalesce("stored", F.lit(0)).cast("bigint").alias("misses")
     )
 

@@ -325,6 +325,26 @@ def blended_acts(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
     )
 
 
+def blended_refs(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """V-09. Section references that only an Act the claim does not cite holds: (claim, ref, cited_acts, held_by).
+
+    Each reference meets the sections of all Acts among the question's excerpts;
+    it is blended if some Act there holds it and none of the cited ones does.
+    """
+    refs = claims.select(*CLAIM, F.explode_outer(refs_of(F.col("claim"))).alias("ref")).where(F.col("ref").isNotNull())
+    refs = refs.withColumn("section_no", F.regexp_extract("ref", r"^([0-9]+(?:\.[0-9]+)*[A-Za-z]?)", 1))
+    held = excerpts.select("query_id", "act", "section_no").where("act IS NOT NULL").groupBy("query_id", "section_no")
+    held = held.agg(F.array_sort(F.collect_set("act")).alias("held_by"))
+    cited = evidence(claims, excerpts.select("query_id", "n", "act")).groupBy(*CLAIM)
+    cited = cited.agg(F.array_sort(F.collect_set("act")).alias("cited_acts"))
+    return (
+        refs.join(held, ["query_id", "section_no"])
+        .join(cited, CLAIM)
+        .where(~F.arrays_overlap("held_by", "cited_acts"))
+        .select(*CLAIM, "ref", "cited_acts", "held_by")
+    )
+
+
 def attempt_status(answers: DataFrame, *failures: DataFrame) -> DataFrame:
     """Each attempt with its sorted failure reasons; each frame is (query_id, attempt, reason)."""
     pooled = answers.select("query_id", "attempt", F.lit(None).cast("string").alias("reason"))

@@ -516,6 +516,16 @@ def v09(spark, sf):
     return vf.blended_acts(claims_of(spark, sf), drafts.excerpts(spark, sf))
 
 
+@register("v09_blended_refs", with_(DRAFTS, """d AS (SELECT doc_id, 3 * (1 + doc_id % 3) + doc_id % 4 AS sec, 1 + doc_id % 3 AS home FROM documents),
+  acts AS (SELECT d.doc_id, d.sec, max(CASE WHEN n = home THEN e.act END) AS holder, max(CASE WHEN n = 1 THEN e.act END) AS cited FROM d JOIN exc e ON e.query_id = d.doc_id GROUP BY ALL)""",
+    body="SELECT doc_id AS query_id, CAST(sec AS VARCHAR) || '(2)' AS ref, [cited] AS cited_acts, [holder] AS held_by FROM acts WHERE holder IS NOT NULL AND holder <> cited"))
+def v09_refs(spark, sf):
+    """Claims that cite the first excerpt and refer to a section of the first, second or third."""
+    text = "'Duties stand in s ' || CAST(3 * (1 + doc_id % 3) + doc_id % 4 AS STRING) || '(2) [1].' AS text"
+    drafted = table(spark, sf, "documents").selectExpr("doc_id AS query_id", "1 AS attempt", text)
+    return vf.blended_refs(vf.split_claims(drafted), drafts.excerpts(spark, sf)).select("query_id", "ref", "cited_acts", "held_by")
+
+
 ATTEMPTS = """fails AS (SELECT query_id, attempt, 'citation' AS reason FROM fake UNION SELECT query_id, attempt, 'section' FROM invented
    UNION SELECT query_id, attempt, 'entailment' FROM outcomes WHERE outcome <> 'pass'),
 att AS (SELECT a.query_id, a.attempt, coalesce(list(DISTINCT reason ORDER BY reason) FILTER (WHERE reason IS NOT NULL), []) AS reasons FROM ans a LEFT JOIN fails USING (query_id, attempt) GROUP BY ALL),

@@ -114,3 +114,42 @@ def test_parts_of_a_question_keep_joined_nouns(spark):
     assert [r.text for r in un.decompose(q).orderBy("part_no").collect()] == [
         "What are health and safety duties", "who pays", "Bread and butter", "Was gilt", "wer zahlt"
     ]
+
+
+def test_a_section_of_an_act_that_is_not_cited(spark):
+    claims = vf.split_claims(spark.createDataFrame(
+        [(1, 1, "Dismissal under s 37(1) and s 145 needs notice [1]."), (2, 1, "s 37 and s 145 [1][2]."), (3, 1, "s 9 [1]."), (4, 1, "s 37 needs no cite.")],
+        "query_id bigint, attempt int, text string",
+    ))
+    held = spark.createDataFrame(
+        [(q, n, act, no) for q in (1, 2, 3, 4) for n, act, no in ((1, "lra", "145"), (2, "bcea", "37"), (3, "bcea", "145"))],
+        "query_id bigint, n bigint, act string, section_no string",
+    )
+    got = {(r.query_id, r.ref, *r.cited_acts, "|", *r.held_by) for r in vf.blended_refs(claims, held).collect()}
+    assert got == {(1, "37(1)", "lra", "|", "bcea"), (4, "37", "|", "bcea")}
+
+
+def test_cache_chains_of_any_length_take_few_rounds(spark, monkeypatch):
+    import datetime as dt
+
+    from codicil.operators import understanding as un
+
+    hour, start = 3_600_000_000, dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    draw = random.Random(11)
+    times = {"hot": sorted(draw.sample(range(0, 900 * 24), 4000)), "daily": [24 * k for k in range(700)], "one": [5], "gaps": [0, 23, 24, 4000, 4023, 9000]}
+    rows = [(k, "za", start + dt.timedelta(hours=t)) for k, ts in times.items() for t in ts]
+    rounds, real = [], un.stage
+    monkeypatch.setattr(un, "stage", lambda df, name, *a: rounds.append(name) or real(df, name, *a))
+    got = {}
+    for r in un.cache_hits(spark.createDataFrame(rows, "key string, jurisdiction string, ts timestamp")).collect():
+        if r.misses:
+            got.setdefault(r.key, []).append((r.us - int(start.timestamp()) * 1_000_000) // hour)
+    want = {}
+    for key, ts in times.items():
+        until = None
+        for t in ts:
+            if until is None or t >= until:
+                want.setdefault(key, []).append(t)
+                until = t + 24
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert rounds.count("reached") <= 12
