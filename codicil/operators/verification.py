@@ -408,27 +408,68 @@ def cite_format(rows: DataFrame) -> DataFrame:
     return rows.withColumn("citation", F.concat(base, F.coalesce(warn, F.lit(""))))
 
 
-def respond(decisions: DataFrame, answers: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """V-13. Response JSON per question; confidence is the top rerank score.
+def _column_or_null(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
-    ``excerpts`` (query_id, n, chunk_id, score) holds at most twelve per question.
+
+def respond(
+    decisions: DataFrame, answers: DataFrame, excerpts: DataFrame, provider: str = "codicil", writer: str = "none"
+) -> DataFrame:
+    """V-13. Response JSON per question with every key of the contract; confidence is the top rerank score.
+
+    ``decisions`` is (query_id, refused, reason) and may name jurisdiction,
+    corpus_id and suggested_jurisdiction; ``answers`` is (query_id, text) and may
+    hold ``structured``. ``excerpts`` (query_id, n, chunk_id, score) holds at most
+    twelve per question; act and section_no, if there, name the sources. A refused
+    answer is null, and its reason stands under ``errors``.
     """
+    source = F.struct(
+        "n", "chunk_id", _column_or_null(excerpts, "act", "string").alias("act"), _column_or_null(excerpts, "section_no", "string").alias("section_no")
+    )
     held = excerpts.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "chunk_id"))).alias("results"), F.max("score").alias("confidence")
+        F.array_sort(F.collect_list(F.struct("n", "chunk_id"))).alias("results"),
+        F.array_sort(F.collect_list(source)).alias("sources"),
+        F.max("score").alias("confidence"),
     )
-    both = decisions.join(answers.select("query_id", F.col("text").alias("answer")), "query_id", "left").join(held, "query_id", "left")
-    shown = both.select(
+    given = decisions.select(
         "query_id",
         "refused",
         "reason",
-        F.when(~F.col("refused"), F.col("answer")).alias("answer"),
-        F.coalesce(F.size("results"), F.lit(0)).alias("match_count"),
-        F.col("results"),
-        F.round("confidence", 6).alias("confidence"),
-    )
-    return shown.withColumn(
-        "response",
-        F.to_json(F.struct("refused", "reason", "answer", F.col("match_count").alias("matchCount"), "results")),
+        *[_column_or_null(decisions, c, "string").alias(c) for c in ("jurisdiction", "corpus_id", "suggested_jurisdiction")],
+    )
+    said = answers.select("query_id", F.col("text").alias("answer"), _column_or_null(answers, "structured", "string").alias("structured"))
+    both = given.join(said, "query_id", "left").join(held, "query_id", "left")
+    open_ = ~F.col("refused")
+    shown = both.withColumns(
+        {
+            "answer": F.when(open_, F.col("answer")),
+            "structured": F.when(open_, F.col("structured")),
+            "match_count": F.coalesce(F.size("results"), F.lit(0)),
+            "grounded": open_ & (F.coalesce(F.size("results"), F.lit(0)) > 0),
+            "confidence": F.round("confidence", 6),
+            "errors": F.array_compact(F.array(F.when(F.col("refused"), F.col("reason")))),
+        }
+    )
+    none = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType))
+    body = F.struct(
+        F.lit(provider).alias("provider"),
+        "answer",
+        "structured",
+        none("sources").alias("sources"),
+        none("results").alias("results"),
+        F.col("match_count").alias("matchCount"),
+        "grounded",
+        "jurisdiction",
+        "corpus_id",
+        F.lit(writer).alias("writer"),
+        F.col("suggested_jurisdiction").alias("suggestedJurisdiction"),
+        "errors",
+        "refused",
+        "reason",
+    )
+    return shown.select(
+        "query_id", "refused", "reason", "answer", "match_count", "results", "confidence",
+        F.to_json(body, {"ignoreNullFields": "false"}).alias("response"),
     )
 
 

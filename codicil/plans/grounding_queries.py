@@ -587,6 +587,27 @@ def v13(spark, sf):
     return out.select("query_id", "refused", "answer", "match_count", "confidence", F.col("results.chunk_id").alias("chunks"))
 
 
+@register("v13_response_contract", with_(LV, rq.Q_SCOPED, rq.CHUNKS_SCOPED, rq.BM25.strip(), rq.rerank_sql("bm25"), COVER,
+   body="""SELECT c.query_id, true AS valid, covered AND c.excerpts > 0 AS grounded, CAST(c.excerpts AS INT) AS match_count, q.jurisdiction, covered AS answered,
+   CASE WHEN covered THEN 0 ELSE 1 END AS errors, 'gb' AS suggested FROM cov c JOIN questions q USING (query_id)"""))
+def v13_contract(spark, sf):
+    """The written responses parsed again: contract check and the fields that only the JSON holds."""
+    found = stage(scoped_excerpts(spark, sf), "excerpts").withColumn("n", F.col("excerpt_no"))
+    asked = questions(spark, sf)
+    state = cv.coverage(asked, found, THRESHOLDS).join(asked.select("query_id", F.col("jurisdiction").alias("place")), "query_id")
+    decisions = state.select(
+        "query_id", (~F.col("covered")).alias("refused"), F.when(~F.col("covered"), "no_coverage").alias("reason"),
+        F.col("place").alias("jurisdiction"), F.concat("place", F.lit("-1")).alias("corpus_id"), F.lit("gb").alias("suggested_jurisdiction"),
+    )
+    written = vf.respond(decisions, asked.select("query_id", "text"), found).select("query_id", F.col("response").alias("payload"))
+    kinds = "grounded boolean, matchCount int, jurisdiction string, answer string, errors array<string>, suggestedJurisdiction string"
+    read = written.select("query_id", F.from_json("payload", kinds).alias("r"))
+    return cv.check_contract(written).join(read, "query_id").select(
+        "query_id", "valid", "r.grounded", F.col("r.matchCount").alias("match_count"), "r.jurisdiction",
+        F.col("r.answer").isNotNull().alias("answered"), F.size("r.errors").alias("errors"), F.col("r.suggestedJurisdiction").alias("suggested"),
+    )
+
+
 @register("v14_review_documents", with_(DRAFTS, rf"""dr AS (SELECT query_id * 10 + attempt AS doc_id, source AS act, unnest({REFS.replace('{t}', 'a.text')}) AS ref FROM ans a JOIN documents d ON d.doc_id = a.query_id),
    live AS (SELECT act, section_no, bool_or(status = 'in_force') AS live FROM exc GROUP BY ALL)""",
    body="""SELECT doc_id, d.act, ref, CASE WHEN live IS NULL THEN 'not_held' ELSE 'not_in_force' END AS finding FROM dr d LEFT JOIN live l

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from codicil.schemas import GOLDEN, SYNONYMS
 
-BODIES = ("text", "body", "html", "prompt", "excerpts", "props")
+# Fields of a per-query trace. Texts of any kind are not among them; prompts and answers are sampled apart.
+TRACE_FIELDS = (
+    "request_id", "event_id", "query_id", "session_id", "user_id", "ts", "jurisdiction", "corpus_id", "corpus_snapshot_id",
+    "event_type", "step", "attempt", "role", "intent", "question_type", "verdict", "verdicts", "refused", "reason", "reasons",
+    "score", "scores", "confidence", "match_count", "tokens", "value", "ms", "timings", "status", "provider", "writer", "model",
+)
 
 
 def write_dict(df: DataFrame, path: str) -> None:
@@ -32,14 +37,15 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLDEN).option("mode", "FAILFAST").json(path)
 
 
-def without_bodies(df: DataFrame) -> DataFrame:
-    return df.drop(*BODIES)
+def without_bodies(df: DataFrame, allowed: tuple[str, ...] = TRACE_FIELDS) -> DataFrame:
+    """The columns that a trace may hold; any other, known or new, is left out."""
+    return df.select(*[c for c in df.columns if c in allowed])
 
 
-def write_trace(df: DataFrame, path: str) -> None:
-    """S-09. Append traces by day, document bodies and prompts left out."""
+def write_trace(df: DataFrame, path: str, allowed: tuple[str, ...] = TRACE_FIELDS) -> None:
+    """S-09. Append traces by day; only ``allowed`` fields are written, so no body, prompt or answer can slip in."""
     (
-        without_bodies(df)
+        without_bodies(df, allowed)
         .withColumn("day", F.to_date("ts"))
         .hint("rebalance", "day")
         .write.mode("append")

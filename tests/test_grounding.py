@@ -272,7 +272,10 @@ def test_response_hides_a_refused_answer(spark):
     e = spark.createDataFrame([(2, 1, 7, 0.75), (2, 2, 8, 0.5)], "query_id bigint, n int, chunk_id bigint, score double")
     got = by(vf.respond(d, a, e), "query_id")
     one, two = json.loads(got[1].response), json.loads(got[2].response)
-    assert "answer" not in one and one["refused"] and one["matchCount"] == 0
+    assert one["answer"] is None and one["refused"] and one["matchCount"] == 0
+    checked = cv.check_contract(vf.respond(d, a, e).select("query_id", F.col("response").alias("payload"))).collect()
+    assert [(r.valid, r.missing_keys) for r in checked] == [(True, [])] * 2
+    assert (one["grounded"], one["errors"], one["results"]) == (False, ["no_coverage"], []) and (two["grounded"], two["errors"]) == (True, [])
     assert two["answer"] == "shown" and [r["chunk_id"] for r in two["results"]] == [7, 8] and got[2].confidence == 0.75
 
 

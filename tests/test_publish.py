@@ -81,3 +81,14 @@ def test_signatures_tell_nulls_and_separators_apart(spark):
         chunks = spark.createDataFrame([("za", act, text)], "corpus_id string, act string, text string")
         digests.add(gt.sign_manifest(chunks, b"k", ["act", "text"]).first().digest)
     assert len(digests) == len(cases)
+
+
+def test_traces_hold_allowed_fields_only(spark, tmp_path):
+    import datetime as dt
+
+    from codicil.sources import tables as tb
+
+    row = ("r1", dt.datetime(2024, 1, 1), "za", 0.5, "a body", "an answer", "a claim", "a prompt")
+    shape = "request_id string, ts timestamp, jurisdiction string, score double, context string, answer string, claim string, anything string"
+    tb.write_trace(spark.createDataFrame([row], shape), str(tmp_path / "trace"))
+    assert set(spark.read.parquet(str(tmp_path / "trace")).columns) == {"request_id", "ts", "jurisdiction", "score", "day"}
