@@ -7,6 +7,8 @@ which no gate accepts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,15 +166,25 @@ PROFILES = {
 RELEASE_RECALL = {"za": 0.85, "gb": 0.80}
 
 
-def gate(metrics: DataFrame, profile: str = "ci") -> DataFrame:
+def _each_expected(found: DataFrame, expected: Sequence[str] | None) -> DataFrame:
+    """The rows of a report with one row of nulls for each expected jurisdiction that has none."""
+    if expected is None:
+        return found
+    places = found.sparkSession.createDataFrame([(p,) for p in sorted(set(expected))], "jurisdiction string")
+    return found.join(places, "jurisdiction", "full")
+
+
+def gate(metrics: DataFrame, profile: str = "ci", expected: Sequence[str] | None = None) -> DataFrame:
     """E-10. Per jurisdiction: does every bound of the profile hold, and which fail.
 
-    Input (jurisdiction, metric, value). A bound whose metric is absent or null fails.
+    Input (jurisdiction, metric, value). A bound whose metric is absent or null fails;
+    of a jurisdiction that is ``expected`` and has no metric at all, every bound does.
     """
     values = F.map_from_entries(F.collect_list(F.struct("metric", "value")))
     wide = metrics.where(F.col("metric").isin(*[m for m, _, _ in PROFILES["release"]], "recall")).groupBy(
         "jurisdiction"
     ).agg(values.alias("v"))
+    wide = _each_expected(wide, expected)
     checks = [
         (m, (F.col("v")[m] <= bound) if way == "max" else (F.col("v")[m] >= bound))
         for m, way, bound in PROFILES[profile]
@@ -218,13 +230,17 @@ def best_threshold(swept: DataFrame) -> DataFrame:
     ).select("jurisdiction", (-F.col("top.t")).alias("threshold"), F.col("top.gain").alias("gain"))
 
 
-def golden_quota(golden: DataFrame, quota: dict[str, int]) -> DataFrame:
-    """E-12. Counts per jurisdiction against quotas (keys total, must_refuse, trap)."""
+def golden_quota(golden: DataFrame, quota: dict[str, int], expected: Sequence[str] | None = None) -> DataFrame:
+    """E-12. Counts per jurisdiction against quotas (keys total, must_refuse, trap).
+
+    An ``expected`` jurisdiction without golden rows counts 0 and is short of every quota.
+    """
     counts = golden.groupBy("jurisdiction").agg(
         F.count("*").alias("total"),
         F.count_if("must_refuse").alias("must_refuse"),
         F.count_if(F.array_contains("tags", "trap")).alias("trap"),
     )
+    counts = _each_expected(counts, expected).fillna(0, ["total", "must_refuse", "trap"])
     short = F.array_compact(F.array(*[F.when(F.col(n) < q, F.lit(n)) for n, q in sorted(quota.items())]))
     return counts.withColumn("short", short).withColumn("met", F.size("short") == 0)
 

@@ -715,3 +715,12 @@ def ci_gate(spark, sf):
   SELECT *, len(short) = 0 AS met FROM s""")
 def quota(spark, sf):
     return ev.golden_quota(cq.golden(spark, sf), {"total": 60, "must_refuse": 10, "trap": 2})
+
+
+@register("e12_golden_quota_expected", """WITH g AS (SELECT CASE item_id % 4 WHEN 0 THEN 'gb' WHEN 1 THEN 'de' WHEN 2 THEN 'ca' ELSE 'us' END AS jurisdiction, item_id % 4 = 3 AS must_refuse, item_id % 5 = 0 AS trap FROM benchmark),
+  c AS (SELECT p.jurisdiction, count(g.jurisdiction) AS total, count(*) FILTER (WHERE must_refuse) AS must_refuse, count(*) FILTER (WHERE trap) AS trap
+    FROM (SELECT unnest(['gb', 'de', 'ca', 'us', 'za', 'ie']) AS jurisdiction) p LEFT JOIN g USING (jurisdiction) GROUP BY p.jurisdiction),
+  s AS (SELECT *, list_filter([CASE WHEN total < 1 THEN 'total' END, CASE WHEN trap < 1 THEN 'trap' END], lambda x: x IS NOT NULL) AS short FROM c)
+  SELECT *, len(short) = 0 AS met FROM s""")
+def quota_expected(spark, sf):
+    return ev.golden_quota(cq.golden(spark, sf), {"total": 1, "trap": 1}, ["gb", "de", "ca", "us", "za", "ie"])

@@ -101,3 +101,16 @@ def test_quota_and_language(spark):
     assert (r.total, r.must_refuse, r.trap, r.short, r.met) == (2, 1, 1, ["total"], False)
     langs = spark.createDataFrame([("de", 1.0), ("de", 0.0), ("en", 1.0)], "lang string, recall double")
     assert {r.lang: r.vs_overall for r in ev.by_language(langs).collect()} == {"de": round(0.5 - 2 / 3, 6), "en": round(1 / 3, 6)}
+
+
+def test_expected_jurisdictions_cannot_be_missing(spark):
+    metrics = spark.createDataFrame(
+        [("gb", m, v) for m, v in (("leakage", 0.0), ("refusal_recall", 1.0), ("citation_validity", 1.0))],
+        "jurisdiction string, metric string, value double",
+    )
+    got = {r.jurisdiction: (r.passed, r.failing) for r in ev.gate(metrics, "ci", ["gb", "za"]).collect()}
+    assert got == {"gb": (True, []), "za": (False, sorted(m for m, _, _ in ev.PROFILES["ci"]))}
+    assert [r.jurisdiction for r in ev.gate(metrics, "ci").collect()] == ["gb"]
+    golden = spark.createDataFrame([("gb", True, ["trap"])], "jurisdiction string, must_refuse boolean, tags array<string>")
+    rows = {r.jurisdiction: (r.total, r.short, r.met) for r in ev.golden_quota(golden, {"total": 1, "trap": 1}, ["gb", "za"]).collect()}
+    assert rows == {"gb": (1, [], True), "za": (0, ["total", "trap"], False)}
