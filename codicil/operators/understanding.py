@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.functions.relational import drop_staged, flags_to_reasons, small_side, stage, staged_paths
 from codicil.functions.text import shingles, squash, tokens
-from codicil.schemas import UNDERSTANDING
+from codicil.schemas import PLACE, UNDERSTANDING
 
 # Question types in rule order, each with its pattern.
 QUESTION_RULES = [
@@ -30,14 +30,17 @@ INJECTION = {
 
 
 def parse_understanding(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Q-01. Parse understanding JSON and list its contract errors; an empty list is valid."""
+    """Q-01. Parse understanding JSON and list its contract errors; an empty list is valid.
+
+    A jurisdiction is one of the corpus, or a state of the United States (``us-ca``).
+    """
     parsed = F.from_json(column, f"{UNDERSTANDING}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
     u = F.col("u")
     n = F.size(u["expanded_queries"])
     ok = u["_broken"].isNull()
     flags = {
         "malformed": ~ok,
-        "jurisdiction": ok & u["jurisdiction"].isNull(),
+        "jurisdiction": ok & ~F.coalesce(u["jurisdiction"].rlike(PLACE), F.lit(False)),
         "question_type": ok & ~F.coalesce(u["question_type"].isin(*QUESTION_TYPES), F.lit(False)),
         "expanded_queries": ok & ~F.coalesce(n.between(3, 5), F.lit(False)),
         "named_acts": ok & u["named_acts"].isNull(),

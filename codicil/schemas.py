@@ -38,3 +38,5 @@ OPTIONAL_KEYS = ("errors",)
 
 # Jurisdictions of the corpus.
 COUNTRIES = ("za", "gb", "us", "ca", "au", "ie", "de", "nz")
+# A country of the corpus, or a state as ``us-`` and two letters.
+PLACE = f"^(?:{'|'.join(COUNTRIES)}|us-[a-z]{{2}})$"

@@ -47,6 +47,13 @@ def test_understanding_contract(spark):
     assert got[9].errors == ["malformed"] and got[9].jurisdiction is None
 
 
+def test_a_jurisdiction_is_one_of_the_corpus(spark):
+    shape = '{{"jurisdiction": "{}", "question_type": "penalty", "expanded_queries": ["a", "b", "c"], "named_acts": [], "intent": "ask"}}'
+    rows = [(j, shape.format(j)) for j in ("za", "us", "us-ca", "xx", "us-cal", "ZA", "")]
+    got = un.parse_understanding(spark.createDataFrame(rows, "id string, payload string")).collect()
+    assert {r.id: r.errors for r in got} == {"za": [], "us": [], "us-ca": [], **{j: ["jurisdiction"] for j in ("xx", "us-cal", "ZA", "")}}
+
+
 def test_question_rules(spark):
     q = spark.createDataFrame([(1, "What is a worker?"), (2, "the fine for late filing"), (3, "How do I file?"), (4, "Must I pay?"), (5, "hello"), (6, "what is the penalty")], "id int, text string")
     assert {r.id: r.question_type for r in un.classify_question(q).collect()} == {1: "definition", 2: "penalty", 3: "procedure", 4: "obligation", 5: "general", 6: "definition"}
