@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codicil.functions.relational import drop_staged, small_side, stage, staged_paths
 from codicil.llm.components import components
+from codicil.llm.exact_dedup import any_order
 from codicil.llm.passages import _portions
 from codicil.llm.words import Rolling, Words, as_long, mixed, text_of
 
@@ -428,7 +429,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Rows of ``docs`` that stand for their component: one with the least id, and all rows without words.
 
     A null id stands only for a component without ids. Rows that share that id are
-    told apart by hashes of their texts; of equal rows one stays.
+    told apart by hashes of their texts; of rows equal in both the one first by a
+    digest of all columns stays. Columns may have any names. An empty table gives no rows.
     """
     text = text_of(F.col(text_col))
     row = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
@@ -442,13 +444,13 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.count(F.lit(1)).alias("__copies"), F.max("n_shingles").alias("__shingles")
     )
     kept = kept.select(
-        F.col("__row.id").alias("__id"), F.col("__row.t1").alias("__t1"), F.col("__row.t2").alias("__t2"),
-        ((F.col("__copies") > 1) & (F.col("__shingles") > 0)).alias("__several"),
+        F.col("__row.id").alias("kept_id"), F.col("__row.t1").alias("t1"), F.col("__row.t2").alias("t2"),
+        ((F.col("__copies") > 1) & (F.col("__shingles") > 0)).alias("several"),
     )
     kept = stage(kept, "near-kept")
     drop_staged(docs.sparkSession, made)
-    rows = docs.withColumns({"__h1": row[0], "__h2": row[1]})
-    same = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__h1"] == kept["__t1"]) & (rows["__h2"] == kept["__t2"])
-    rows = rows.join(kept, same)
-    several = rows.where("__several").dropDuplicates([id_col, "__h1", "__h2"])
-    return rows.where("NOT __several").unionByName(several).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *row)
+    rows = rows.join(kept.withColumnRenamed("kept_id", "other"), ["t1", "t2"])
+    rows = rows.where(F.col("id").eqNullSafe(F.col("other")))
+    several = rows.where("several").groupBy("id", "t1", "t2").agg(F.min_by("row", any_order(F.col("row"))).alias("row"))
+    return rows.where("NOT several").select("row").unionByName(several.select("row")).select("row.*")

@@ -22,8 +22,9 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_grams(df: DataFrame, buckets: int) -> DataFrame:
     """Buckets of the unigrams and bigrams of a row's word codes."""
     codes = F.col("codes")
+    firsts = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
     pairs = F.transform(
-        codes, lambda c, i: F.pmod(F.xxhash64(c, F.get(codes, i + 1)), F.lit(buckets)).cast("int")
+        firsts, lambda c, i: F.pmod(F.xxhash64(c, F.get(codes, i + 1)), F.lit(buckets)).cast("int")
     )
     single = F.transform(codes, lambda c: F.pmod(c, F.lit(buckets)).cast("int"))
     return df.withColumn("grams", F.concat(single, pairs))
@@ -36,16 +37,14 @@ def likelihood_weights(
 
     With no trusted row every weight is 0, so nothing is rejected by the ratio.
     """
-    marks = trusted.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
-    flagged = docs.join(small_side(marks), docs[id_col] == marks["__id"], "left").select(
-        docs[id_col], docs[text_col], F.col("__id").isNotNull().cast("bigint").alias("__target")
-    )
-    df = flagged.select(text_of(F.col(text_col)).alias("text"), "__target")
+    marks = trusted.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("marked", F.lit(1))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
+    df = texts.join(small_side(marks), "id", "left").select("text", F.coalesce("marked", F.lit(0)).cast("bigint").alias("target"))
     df = df.withColumn("words", word_array(F.col("text"))).withColumn(
         "codes", F.transform("words", lambda w: F.xxhash64(w))
     )
-    grams = with_grams(df, buckets).select("__target", F.explode_outer("grams").alias("bucket"))
-    counts = grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("__target").alias("target"))
+    grams = with_grams(df, buckets).select("target", F.explode_outer("grams").alias("bucket"))
+    counts = grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
     counts = stage(counts, "gram-counts")
     totals = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
     share = F.col("raw") / F.col("n_raw")

@@ -2,7 +2,11 @@
 
 import collections
 import hashlib
+import math
 import re
+from collections import defaultdict, deque
+
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -166,3 +170,114 @@ def base_spans(text):
         if good[kind](m.group())
     ]
     return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+class Network:
+    """Directed network for blocking-flow augmentation."""
+
+    def __init__(self, nodes: int) -> None:
+        self.edges: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def add(self, a: int, b: int, room: int) -> int:
+        self.edges[a].append(len(self.to))
+        self.edges[b].append(len(self.to) + 1)
+        self.to += [b, a]
+        self.room += [room, 0]
+        return len(self.to) - 2
+
+    def push(self, source: int, sink: int) -> None:
+        """Route as much more as fits."""
+        while True:
+            level = [-1] * len(self.edges)
+            level[source] = 0
+            queue = deque([source])
+            while queue:
+                a = queue.popleft()
+                for e in self.edges[a]:
+                    if self.room[e] and level[self.to[e]] < 0:
+                        level[self.to[e]] = level[a] + 1
+                        queue.append(self.to[e])
+            if level[sink] < 0:
+                return
+            at = [0] * len(self.edges)
+            while path := self._path(source, sink, level, at):
+                least = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= least
+                    self.room[e ^ 1] += least
+
+    def _path(self, source: int, sink: int, level: list[int], at: list[int]) -> list[int]:
+        path: list[int] = []
+        a = source
+        while a != sink:
+            while at[a] < len(self.edges[a]):
+                e = self.edges[a][at[a]]
+                if self.room[e] and level[self.to[e]] == level[a] + 1:
+                    path.append(e)
+                    a = self.to[e]
+                    break
+                at[a] += 1
+            else:
+                if a == source:
+                    return []
+                e = path.pop()
+                a = self.to[e ^ 1]
+                at[a] += 1
+        return path
+
+
+def route(cells: dict[tuple[str, str], tuple[int, int]], quotas: dict[str, int], repeats: int = 2) -> dict:
+    """Words taken per (pattern, source).
+
+    ``cells`` gives the words of the rows of a source whose texts have that
+    pattern, and the words of the pattern's texts counted once. A pattern's texts
+    cost nothing the first time, 1 the second, 2 the third and so on: its capacity
+    at each price is its once-counted words. Prices stand at the patterns alone, so
+    routing all that fits at one price before opening the next is a least-cost flow.
+    A cell takes ``repeats`` times its words at most, a source its quota.
+    """
+    patterns = sorted({p for p, _ in cells})
+    sources = sorted(quotas)
+    node = {("p", p): 2 + i for i, p in enumerate(patterns)}
+    node |= {("s", s): 2 + len(patterns) + i for i, s in enumerate(sources)}
+    net = Network(2 + len(node))
+    once, most = {}, defaultdict(int)
+    arcs = {}
+    for (p, s), (size, unique) in sorted(cells.items()):
+        once[p] = max(unique, 1)
+        most[p] += repeats * size
+        arcs[p, s] = net.add(node["p", p], node["s", s], repeats * size)
+    for s in sources:
+        net.add(node["s", s], 1, quotas[s])
+    left = dict(most)
+    while any(left.values()):
+        step = {p: min(once[p], n) for p, n in left.items() if n}
+        for p, n in step.items():
+            net.add(0, node["p", p], n)
+            left[p] -= n
+        net.push(0, 1)
+        if all(net.room[e] == 0 for s in sources for e in net.edges[node["s", s]] if net.to[e] == 1):
+            break
+    return {key: net.room[e ^ 1] for key, e in arcs.items()}
+
+
+def code(value, seed=42):
+    """Hash of a string or long as Spark's xxhash64 gives it, signed."""
+    data = value.encode() if isinstance(value, str) else (value % (1 << 64)).to_bytes(8, "little")
+    h = xxhash.xxh64_intdigest(data, seed % (1 << 64))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def ratios(rows, trusted, buckets, prior):
+    """Mean weight per hashed unigram and bigram of each text: the smoothed trusted share over the raw one."""
+    grams = []
+    for _, t in rows:
+        codes = [code(w) for w in words(t)]
+        grams.append([c % buckets for c in codes] + [code(b, code(a)) % buckets for a, b in zip(codes, codes[1:])])
+    raw = collections.Counter(g for gs in grams for g in gs)
+    good = collections.Counter(g for (d, _), gs in zip(rows, grams, strict=True) if d in trusted for g in gs)
+    n, m = sum(raw.values()), sum(good.values())
+    weight = {g: math.log((good[g] + prior * c / n) / (m + prior)) - math.log(c / n) if m else 0.0 for g, c in raw.items()}
+    return [sum(weight[g] for g in gs) / len(gs) if gs else 0.0 for gs in grams]

@@ -14,7 +14,7 @@ from codicil.llm.exact_dedup import exact_dedup, keep_one
 from codicil.llm.near_dedup import keep_representatives, near_dedup
 from codicil.llm.passages import cut_repeats, located
 from codicil.llm.pii import find_pii, masked, pii_report
-from codicil.llm.quality import quality_rules
+from codicil.llm.quality import PRIOR, quality_rules
 from codicil.llm.tokencount import UnigramCounter, pieces_of, token_counts
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -125,6 +125,22 @@ def test_quality_base_rules(spark):
         assert got == sorted(((d, *brute.base_rules(t)) for d, t in rows), key=repr)
 
 
+@pytest.mark.parametrize("buckets", [64, 1 << 14])
+def test_quality_ratio_equals_brute_force(spark, buckets):
+    for rows, df in inputs(spark):
+        trusted = {d for d, _ in rows if d is not None and d % 3 == 0}
+        marks = spark.createDataFrame([(d,) for d in trusted], "doc_id bigint")
+        want = brute.ratios(rows, trusted, buckets, PRIOR)
+        got = quality_rules(df.withColumn("__id", F.lit("clash")), marks, buckets=buckets).collect()
+        assert sorted((r.doc_id is None, r.doc_id, r.n_words) for r in got) == sorted(
+            (d is None, d, len(brute.words(t))) for d, t in rows
+        )
+        near = sorted(((d is None, d or 0, len(brute.words(t))), x) for (d, t), x in zip(rows, want, strict=True))
+        mine = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words), r.llr) for r in got)
+        assert [x for _, x in mine] == pytest.approx([x for _, x in near], abs=2e-6)
+        assert all(r.kept == (not r.base_failed and r.llr >= -0.15) for r in got if abs(r.llr + 0.15) > 1e-5)
+
+
 def test_quality_ratio_keeps_the_trusted_kind(spark):
     good = [(i, " ".join(f"good{(i * 7 + j) % 50}" for j in range(30))) for i in range(60)]
     junk = [(100 + i, " ".join(f"junk{(i * 7 + j) % 50}" for j in range(30))) for i in range(60)]
@@ -306,9 +322,11 @@ def test_masking_replaces_found_values(spark):
 
 # --- op10 -----------------------------------------------------------------
 
-def test_exact_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot_share", [1, 10, 4096])
+def test_exact_dedup_equals_brute_force(spark, hot_share):
+    """With no text, some texts and every text dealt over sub-ranges."""
     for rows, df in inputs(spark):
-        got = rows_of(exact_dedup(df), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+        got = rows_of(exact_dedup(df, hot_share=hot_share), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
         assert got == sorted(brute.exact(rows), key=repr)
 
 
@@ -320,6 +338,34 @@ def test_a_hot_text_is_split_and_keeps_its_least_id(spark):
     assert tuple(got) == (0, 0, 1000, 1)
 
 
+def test_groups_come_from_sorted_neighbours(spark, monkeypatch):
+    """The runs decide: with every row a run of its own, no group is left."""
+    from codicil.llm import exact_dedup as module
+
+    df = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 50).cast("string").alias("text"))
+    assert {r.group_size for r in exact_dedup(df, hot_share=1).collect()} == {4}
+    real = module.Window.partitionBy
+    monkeypatch.setattr(module.Window, "partitionBy", staticmethod(lambda *c: real(*c, "id")))
+    assert {r.group_size for r in exact_dedup(df, hot_share=1).collect()} == {1}
+
+
+def test_kept_rows_do_not_depend_on_order_or_names(spark):
+    """Of rows equal in id and text the same one stays in any order; columns may have the names used inside."""
+    rows = [(1, "a b c d e f", f"x{i}") for i in range(6)] + [(2, "a b c d e f", "y"), (3, "other words", "z")]
+    names = ["__id", "__digest", "__several", "row", "digest", "kept_id", "n", "t1", "several", "id"]
+    pick = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string, extra string").repartition(3)
+        for name in names:
+            df = df.withColumn(name, F.lit(f"clash {name}"))
+        for keep in (keep_one, keep_representatives):
+            kept = keep(df)
+            assert kept.columns == df.columns
+            pick.append(sorted(kept.collect()))
+            assert [(r.doc_id, r.extra[0], r["__id"]) for r in pick[-1]] == [(1, "x", "clash __id"), (3, "z", "clash __id")]
+    assert pick[0] == pick[2] and pick[1] == pick[3]
+
+
 def test_kept_rows_are_whole(spark):
     df = frame(spark)
     kept = keep_one(df)
