@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.functions.relational import stage
+from codicil.functions.relational import small_side, stage
 from codicil.llm.words import text_of, word_count
 
 #: Fixed values of the mix: weights by order of the source, share of all words, most repeats of a document.
@@ -36,99 +36,8 @@ def targets(sizes: list[int], weights: list[float], total: float, repeats: int =
     return out
 
 
-class Network:
-    """Directed network for blocking-flow augmentation."""
-
-    def __init__(self, nodes: int) -> None:
-        self.edges: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-
-    def add(self, a: int, b: int, room: int) -> int:
-        self.edges[a].append(len(self.to))
-        self.edges[b].append(len(self.to) + 1)
-        self.to += [b, a]
-        self.room += [room, 0]
-        return len(self.to) - 2
-
-    def push(self, source: int, sink: int) -> None:
-        """Route as much more as fits."""
-        while True:
-            level = [-1] * len(self.edges)
-            level[source] = 0
-            queue = deque([source])
-            while queue:
-                a = queue.popleft()
-                for e in self.edges[a]:
-                    if self.room[e] and level[self.to[e]] < 0:
-                        level[self.to[e]] = level[a] + 1
-                        queue.append(self.to[e])
-            if level[sink] < 0:
-                return
-            at = [0] * len(self.edges)
-            while path := self._path(source, sink, level, at):
-                least = min(self.room[e] for e in path)
-                for e in path:
-                    self.room[e] -= least
-                    self.room[e ^ 1] += least
-
-    def _path(self, source: int, sink: int, level: list[int], at: list[int]) -> list[int]:
-        path: list[int] = []
-        a = source
-        while a != sink:
-            while at[a] < len(self.edges[a]):
-                e = self.edges[a][at[a]]
-                if self.room[e] and level[self.to[e]] == level[a] + 1:
-                    path.append(e)
-                    a = self.to[e]
-                    break
-                at[a] += 1
-            else:
-                if a == source:
-                    return []
-                e = path.pop()
-                a = self.to[e ^ 1]
-                at[a] += 1
-        return path
-
-
-def route(cells: dict[tuple[str, str], tuple[int, int]], quotas: dict[str, int], repeats: int = REPEATS) -> dict:
-    """Words taken per (pattern, source).
-
-    ``cells`` gives the words of the rows of a source whose texts have that
-    pattern, and the words of the pattern's texts counted once. A pattern's texts
-    cost nothing the first time, 1 the second, 2 the third and so on: its capacity
-    at each price is its once-counted words. Prices stand at the patterns alone, so
-    routing all that fits at one price before opening the next is a least-cost flow.
-    A cell takes ``repeats`` times its words at most, a source its quota.
-    """
-    patterns = sorted({p for p, _ in cells})
-    sources = sorted(quotas)
-    node = {("p", p): 2 + i for i, p in enumerate(patterns)}
-    node |= {("s", s): 2 + len(patterns) + i for i, s in enumerate(sources)}
-    net = Network(2 + len(node))
-    once, most = {}, defaultdict(int)
-    arcs = {}
-    for (p, s), (size, unique) in sorted(cells.items()):
-        once[p] = max(unique, 1)
-        most[p] += repeats * size
-        arcs[p, s] = net.add(node["p", p], node["s", s], repeats * size)
-    for s in sources:
-        net.add(node["s", s], 1, quotas[s])
-    left = dict(most)
-    while any(left.values()):
-        step = {p: min(once[p], n) for p, n in left.items() if n}
-        for p, n in step.items():
-            net.add(0, node["p", p], n)
-            left[p] -= n
-        net.push(0, 1)
-        if all(net.room[e] == 0 for s in sources for e in net.edges[node["s", s]] if net.to[e] == 1):
-            break
-    return {key: net.room[e ^ 1] for key, e in arcs.items()}
-
-
 class CellFlow:
-    """The flow of ``route`` on arrays, for any number of patterns: one entry per cell, sorted by pattern.
+    """A flow from patterns to sources on arrays, for any number of patterns: one entry per cell, sorted by pattern.
 
     Augmenting paths run from source to source: ``a`` gives way to ``b`` in every
     pattern where ``a`` holds flow and ``b`` has room, all patterns at once. Paths are
@@ -196,7 +105,15 @@ class CellFlow:
 def route_cells(
     pattern: np.ndarray, source: np.ndarray, size: np.ndarray, unique: np.ndarray, quotas: np.ndarray, repeats: int = REPEATS
 ) -> np.ndarray:
-    """Words taken per cell, at the cost of ``route``; ``pattern`` and ``source`` are numbers from 0."""
+    """Words taken per cell; ``pattern`` and ``source`` are numbers from 0.
+
+    A cell gives the words of the rows of a source whose texts have that pattern, and
+    the words of the pattern's texts counted once. A pattern's texts cost nothing the
+    first time, 1 the second, 2 the third and so on: its capacity at each price is its
+    once-counted words. Prices stand at the patterns alone, so routing all that fits at
+    one price before opening the next is a least-cost flow. A cell takes ``repeats``
+    times its words at most, a source its quota.
+    """
     net = CellFlow(pattern, source, repeats * size, quotas)
     once = np.ones(len(net.spare), np.int64)
     np.maximum.at(once, pattern, unique)
@@ -215,14 +132,7 @@ def _named(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), source.cast("string")))
 
 
-def _flow_of_few(in_cell: DataFrame, quotas: dict[str, int]) -> DataFrame:
-    """Words taken per pattern and source, by ``route``."""
-    flow = route({(r["pattern"], r["source"]): (r["size"], r["unique"]) for r in in_cell.collect()}, quotas)
-    rows = [(p, s, n) for (p, s), n in flow.items()]
-    return in_cell.sparkSession.createDataFrame(rows, "pattern string, source string, flow bigint")
-
-
-def _flow_of_many(in_cell: DataFrame, names: list[str], quotas: dict[str, int], portion: int = 500_000) -> DataFrame:
+def _flow(in_cell: DataFrame, names: list[str], quotas: dict[str, int], portion: int = 500_000) -> DataFrame:
     """Words taken per pattern and source, by ``route_cells``; patterns travel as 128-bit hashes."""
     spark = in_cell.sparkSession
     number = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, place int")
@@ -232,15 +142,16 @@ def _flow_of_many(in_cell: DataFrame, names: list[str], quotas: dict[str, int],
     order = np.lexsort((found["place"], found["p2"], found["p1"]))
     found = {c: v[order] for c, v in found.items()}
     p1, p2 = found["p1"], found["p2"]
-    new = np.concatenate([[True], (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])])
+    new = np.ones(len(p1), bool)
+    new[1:] = (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
     taken = route_cells(
         np.cumsum(new) - 1, found["place"], found["size"], found["unique"], np.array([quotas[s] for s in names], np.int64)
     )
     parts = []
-    for lo in range(0, len(taken), portion):
+    for lo in range(0, max(len(taken), 1), portion):
         at = slice(lo, lo + portion)
         part = pa.table({"p1": p1[at], "p2": p2[at], "place": found["place"][at], "flow": taken[at]})
-        parts.append(stage(spark.createDataFrame(part), "mix-flow"))
+        parts.append(stage(spark.createDataFrame(part, "p1 bigint, p2 bigint, place int, flow bigint"), "mix-flow"))
     flow = parts[0]
     for part in parts[1:]:
         flow = flow.unionByName(part)
@@ -254,16 +165,14 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     seed: int = 17,
-    most_patterns: int = 20_000,
     bucket_rows: int = 2_000,
 ) -> DataFrame:
     """Words taken of each row: id, ``size``, ``source_size``, ``target``, ``taken``.
 
     Sources overlap where they hold the same text; a text's membership pattern is
     the set of sources that hold it. Rows are aggregated by pattern and source;
-    that table (one row per pattern and source) goes to the driver, where ``route``
-    fixes the words of each cell, or beyond ``most_patterns`` shared patterns
-    ``route_cells``, which takes a few numbers a cell. Within a cell
+    that table (one row per pattern and source) goes to the driver as a few numbers a
+    cell, where ``route_cells`` fixes the words of each cell. Within a cell
     every row is taken whole as often as the cell allows, and the rows taken once
     more are the first by a seeded hash. That cut needs no global order: word sums
     per hash bucket find the bucket where it falls, and only that bucket's rows are
@@ -299,14 +208,12 @@ def mix(
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))]
     goal = dict(zip(names, targets([sizes[s] for s in names], weights, SHARE * sum(sizes.values())), strict=True))
     quotas = {s: min(round(t), REPEATS * sizes[s]) for s, t in goal.items()}
-    several = in_cell.where(F.col("pattern").contains("\n")).select("pattern").distinct().limit(most_patterns + 1).count()
-    many = several > most_patterns
-    flow = _flow_of_many(in_cell, names, quotas) if many else _flow_of_few(in_cell, quotas)
+    flow = _flow(in_cell, names, quotas)
     size = F.greatest(F.col("size"), F.lit(1))
     small = spark.createDataFrame(
         [(s, sizes[s], goal[s]) for s in names], "source string, source_size bigint, target double"
     )
-    plan = in_cell.join(flow if many else F.broadcast(flow), ["pattern", "source"]).join(F.broadcast(small), "source")
+    plan = in_cell.join(flow, ["pattern", "source"]).join(F.broadcast(small), "source")
     plan = plan.select(
         "pattern",
         "source",
@@ -317,9 +224,8 @@ def mix(
         "target",
     )
     plan = stage(plan, "mix-plan")
-    near = (lambda df: df) if many else F.broadcast
     own = stage(shared.select("t1", "t2", "source", "pattern"), "mix-membership")
-    placed = rows.join(own, ["t1", "t2", "source"]).join(near(plan), ["pattern", "source"])
+    placed = rows.join(own, ["t1", "t2", "source"]).join(small_side(plan), ["pattern", "source"])
     dealt = F.xxhash64(F.lit(seed), "id", "t1")
     placed = placed.select(
         "id", "source", "pattern", "size", "times", "rest", "source_size", "target", dealt.alias("draw"),
@@ -334,7 +240,7 @@ def mix(
         sums.where("before < rest AND upto >= rest").select("pattern", "source", F.col("bucket").alias("cut"), "before"),
         "mix-cuts",
     )
-    placed = placed.join(near(cut), ["pattern", "source"], "left")
+    placed = placed.join(small_side(cut), ["pattern", "source"], "left")
     in_cut = F.col("bucket").eqNullSafe(F.col("cut"))
     order = Window.partitionBy("pattern", "source").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where(in_cut).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -349,30 +255,45 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    portion: int = 1_000,
+) -> DataFrame:
     """The mix as rows of ``docs``: each as often as it is taken, a part taken as the text up to that many words.
 
-    Rows are told apart by id, text and source; rows equal in all three share out
-    what the mix takes of them.
+    Rows are told apart by their id and a digest of all their columns. Rows equal in
+    all columns are interchangeable: what the mix takes of them has three values at
+    most (times, one time more, or a part), so their number by value says all, and a
+    row repeated often is written ``portion`` copies a piece of work. Columns may have
+    any names; a row without words is not taken; an empty table gives no rows.
     """
+    row = F.struct("*")
+    json = F.to_json(row)
     key = F.concat_ws(
-        ":",
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
-        F.xxhash64(text_of(F.col(text_col)), _named(F.col(source_col))).cast("string"),
+        ":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(json), F.xxhash64(F.lit(1), json)
+    )
+    keyed = docs.select(row.alias("row"), key.alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    counts = mix(keyed, "key", "text", "source").groupBy("key", "taken").agg(F.count(F.lit(1)).alias("copies"))
+    shares = counts.groupBy("key").agg(
+        F.collect_list(F.struct("taken", "copies")).alias("shares"), F.sum("copies").alias("rows"), F.max("taken").alias("most")
     )
-    keyed = docs.withColumn("__row", key)
-    taken = mix(keyed, "__row", text_col, source_col)
-    taken = taken.groupBy(F.col("__row").alias("__key")).agg(F.sort_array(F.collect_list("taken"), False).alias("__taken"))
-    taken = stage(taken.where(F.get("__taken", F.lit(0)) > 0), "mix-taken")
-    rows = keyed.join(taken, F.col("__row") == F.col("__key"))
-    alone = rows.where(F.size("__taken") == 1).withColumn("__take", F.get("__taken", F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
-    several = rows.where(F.size("__taken") > 1).withColumn("__take", F.get("__taken", number - 1))
-    rows = alone.unionByName(several).where("__take > 0").withColumn("__words", word_count(F.col(text_col)))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__take") / F.col("__words")).cast("int"))
-    rows = rows.withColumn("__copy", F.explode(copies))
-    last = F.col("__take") - (F.col("__copy") - 1) * F.col("__words")
-    parts = F.regexp_extract_all(text_of(F.col(text_col)), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    first = F.array_join(F.slice(parts, 1, F.greatest(last, F.lit(1)).cast("int")), "")
-    text = F.when(last >= F.col("__words"), F.col(text_col)).otherwise(first)
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    shares = stage(shares.where("most > 0").drop("most"), "mix-taken")
+    rows = keyed.drop("source").join(shares, "key")
+    each = F.explode(F.filter("shares", lambda s: s["taken"] > 0))
+    alone = rows.where("rows = 1").select("row", "text", each.alias("share"), F.lit(0).cast("bigint").alias("part"))
+    several = rows.where("rows > 1").dropDuplicates(["key"]).select("key", "row", "text", each.alias("share"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(share.copies - 1) div {portion}"))
+    several = several.withColumn("part", F.explode(parts)).repartition("key", "share", "part").drop("key")
+    rows = alone.unionByName(several)
+    number = F.least(F.lit(portion).cast("bigint"), F.col("share.copies") - F.col("part") * portion)
+    rows = rows.select("row", "text", "share.taken", F.explode(F.sequence(F.lit(1).cast("bigint"), number)).alias("turn"))
+    rows = rows.withColumn("words", word_count(text_of(F.col("text"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("words")).cast("int"))))
+    last = F.col("taken") - (F.col("copy") - 1) * F.col("words")
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first = F.array_join(F.slice(pieces, 1, F.greatest(last, F.lit(1)).cast("int")), "")
+    text = F.when(last >= F.col("words"), F.col("text")).otherwise(first)
+    return rows.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from codicil.llm.chat import chat_format
 from codicil.llm.components import components
-from codicil.llm.mixing import REPEATS, SHARE, mix, mixed_rows, route, route_cells, targets
+from codicil.llm.mixing import REPEATS, SHARE, mix, mixed_rows, route_cells, targets
 from codicil.llm.queries import ORACLES, QUERIES
 from codicil.llm.toxicity import LandmarkKernel, fit_words, held_out, kept_by_score, toxicity
 from tests.conftest import SMALL
 from tests.llm import brute
-from tests.llm.brute import ROWS, frame
+from tests.llm.brute import ROWS, frame, route
 
 # --- op5 ------------------------------------------------------------------
 
@@ -183,7 +183,7 @@ def test_flow_on_arrays_costs_what_route_costs():
 
 
 def test_rare_patterns_are_priced_as_shared(spark):
-    """More shared patterns than the network takes: texts still count once over all their sources."""
+    """The whole mix costs what the network flow of the pattern table costs: texts count once over all their sources."""
     draw = random.Random(8)
     rows, held = [], {}
     for t in range(60):
@@ -194,13 +194,24 @@ def test_rare_patterns_are_priced_as_shared(spark):
     unique = collections.Counter()
     for text, sources in held.items():
         unique["".join(sorted(sources))] += len(text.split())
+    cells = collections.Counter()
+    for text, sources in held.items():
+        for source in sources:
+            cells["".join(sorted(sources)), source] += len(text.split())
+    sizes = {x: sum(n for (_, y), n in cells.items() if y == x) for x in "abcdef"}
+    goal = targets(list(sizes.values()), [5, 2, 1, 5, 2, 1], SHARE * sum(sizes.values()))
+    quotas = {x: min(round(t), REPEATS * sizes[x]) for x, t in zip(sizes, goal, strict=True)}
+    least = route({k: (n, unique[k[0]]) for k, n in cells.items()}, quotas)
+    taken = {r.doc_id: r.taken for r in mix(df).collect()}
+    assert len(taken) == len(rows)
     costs = []
-    for most in (20_000, 2):
+    for flow in (
+        [(p, n) for (p, _), n in least.items()],
+        [("".join(sorted(held[text])), taken[d]) for d, text, _ in rows],
+    ):
         used = collections.Counter()
-        taken = {r.doc_id: r.taken for r in mix(df, most_patterns=most).collect()}
-        assert len(taken) == len(rows)
-        for d, text, _ in rows:
-            used["".join(sorted(held[text]))] += taken[d]
+        for p, n in flow:
+            used[p] += n
         costs.append((flow_cost(used, unique), sum(used.values())))
     assert costs[0] == costs[1]
 
@@ -238,6 +249,19 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert sum(r.text not in whole for r in out.collect()) <= 8
 
 
+def test_repeated_rows_share_what_is_taken(spark):
+    """A row that most of a source repeats comes as often as the mix takes it, however it is portioned."""
+    rows = [(1, "one two three four", "a")] * 500 + [(d, f"w{d} x y", "a") for d in range(2, 40)] + [(99, "b " * 40, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for name in ("key", "row", "taken", "copies", "share", "__take", "words"):
+        df = df.withColumn(name, F.lit("clash"))
+    want = sum(r.taken for r in mix(df).collect())
+    out = mixed_rows(df, portion=7)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sum(len(brute.words(r.text)) for r in got) == want and {r["__take"] for r in got} == {"clash"}
+
+
 def test_a_part_taken_keeps_its_line_breaks(spark):
     rows = [(d, "".join(f"{' ' * (i % 3)}d{d}w{i}\n\t" for i in range(30 + d)), f"s{d % 3}") for d in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
