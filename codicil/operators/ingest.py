@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,55 +17,50 @@ from pyspark.sql import functions as F
 from codicil.functions.relational import small_side
 from codicil.functions.text import lines_of, squash, tokens, with_trigrams
 
-# Mark-up removed with its content, block ends that become line
-# breaks, and character entities (the ampersand last).
+# Mark-up removed with its content, and block ends that become line breaks.
 DROPPED = ("script", "style", "nav", "footer", "head")
 BREAKS = r"(?i)<br\s*/?>|</p>|</h[1-6]>|</li>|</div>|</tr>"
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&apos;", "'"),
-    ("&sect;", "§"),
-    ("&#167;", "§"),
-    ("&para;", "¶"),
-    ("&auml;", "ä"),
-    ("&ouml;", "ö"),
-    ("&uuml;", "ü"),
-    ("&Auml;", "Ä"),
-    ("&Ouml;", "Ö"),
-    ("&Uuml;", "Ü"),
-    ("&szlig;", "ß"),
-    ("&agrave;", "à"),
-    ("&ccedil;", "ç"),
-    ("&eacute;", "é"),
-    ("&egrave;", "è"),
-    ("&ntilde;", "ñ"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&euro;", "€"),
-    ("&amp;", "&"),
-)
+# HTML reads the character numbers 128 to 159 as this code page, and a blank for a no-break space.
+WINDOWS = "€\u0081‚ƒ„…†‡ˆ‰Š‹Œ\u008dŽ\u008f\u0090‘’“”•–—˜™š›œ\u009džŸ"
+NUMBERED_FROM = "".join(map(chr, range(128, 161)))
+NUMBERED_TO = WINDOWS + " "
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+ENTITY = r"&(?=(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,7}|[A-Za-z][A-Za-z0-9]{1,7});)"
 
 Rules = dict[str, list[tuple[str, str]]]
 
 
+def decode_entities(text: Column) -> Column:
+    """Character references by name, number and hex number, each decoded once, in one pass over the text.
+
+    Numbers that are no character give U+FFFD; unknown names stay as written.
+    """
+    names = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        hexed = F.lower(F.substr(name, F.lit(1), F.lit(2))) == "#x"
+        digits = F.when(hexed, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        code = F.when(name.startswith("#"), digits.cast("bigint"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        code = F.when(valid, code).otherwise(F.lit(0xFFFD))
+        char = F.translate(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), NUMBERED_FROM, NUMBERED_TO)
+        known = F.when(name.startswith("#"), char).otherwise(F.try_element_at(names, name))
+        rest = F.substr(part, F.length(name) + 2)
+        return F.coalesce(F.concat(known, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, ENTITY)
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(0))), decoded), ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
 def clean_html(html: Column) -> Column:
     """Text of a page: dropped blocks, tags and comments out, entities decoded, blank lines folded."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED:
         text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^>]+>", "")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = decode_entities(text)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"\s*\n\s*", "\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -37,25 +37,46 @@ def scope_filter(
 
     Plain predicates, so partitions are pruned and the rest reaches the scan.
     ``include_status`` widens the default in-force rule; widened rows keep their
-    ``status`` for disclosure.
+    ``status`` for disclosure. A scope over a column that the table lacks is an
+    error, never a wider result.
     """
+    wanted = {
+        "effective_from": as_of, "effective_to": as_of, "jurisdiction": jurisdictions, "doc_type": doc_types,
+        "authority_level": min_authority, "tenant_id": tenant_id,
+    }
+    missing = [c for c, v in wanted.items() if v is not None and c not in chunks.columns]
+    if missing:
+        raise ValueError(f"scope over columns that the table lacks: {', '.join(missing)}")
     df = chunks.where(F.col("status").isin("in_force", *include_status))
     if as_of is not None:
         d = F.lit(as_of)
-        df = df.where((F.col("effective_from") <= d))
-        if "effective_to" in df.columns:
-            df = df.where(F.col("effective_to").isNull() | (d < F.col("effective_to")))
+        df = df.where(F.col("effective_from") <= d)
+        df = df.where(F.col("effective_to").isNull() | (d < F.col("effective_to")))
     if jurisdictions is not None:
         df = df.where(F.col("jurisdiction").isin(*jurisdictions))
     if doc_types is not None:
         df = df.where(F.col("doc_type").isin(*doc_types))
     if min_authority is not None:
         df = df.where(F.col("authority_level") >= min_authority)
-    if tenant_id is not None and "tenant_id" in df.columns:
+    if tenant_id is not None:
         df = df.where(F.col("tenant_id").isNull() | (F.col("tenant_id") == tenant_id))
     return df
 
 
+def one_version(chunks: DataFrame) -> DataFrame:
+    """R-10. All chunks of the newest version of each section; chunks of no Act or section have no versions and stay.
+
+    Versions are compared on narrow columns with partial aggregates, so texts move
+    only where the sections held are too many to broadcast.
+    """
+    key = ["jurisdiction", "act", "section_no"]
+    cited = F.col("act").isNotNull() & F.col("section_no").isNotNull()
+    version = F.struct("effective_from", "version")
+    newest = chunks.where(cited).groupBy(*key).agg(F.max(version).alias("newest"))
+    held = chunks.join(small_side(stage(newest, "versions")), key, "left")
+    return held.where(F.col("newest").isNull() | (version == F.col("newest"))).select(*chunks.columns)
+
+
 # --- sparse leg -----------------------------------------------------------
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -421,12 +442,18 @@ def retrieve(
     keep: int = KEEP,
     modes: dict[str, str] | None = None,
     boosts: dict[str, tuple[Column, float]] | None = None,
+    scope: dict[str, object] | None = None,
 ) -> DataFrame:
     """R-10. One plan for all jurisdictions: sparse and dense, fused, boosted, reranked.
 
-    ``chunks`` must already be scoped (R-01). Ranked lists are staged, at most
-    ``k`` rows per query, so each leg reads the corpus once.
+    ``scope`` holds the arguments of ``scope_filter``, a date (``as_of``) among them;
+    it cuts the corpus before any ranking, so statistics see the scope only, and a
+    section enters with one version. Without it ``chunks`` must already be scoped.
+    Ranked lists are staged, at most ``k`` rows per query, so each leg reads the
+    corpus once.
     """
+    if scope is not None:
+        chunks = one_version(scope_filter(chunks, **scope))
     sparse = stage(bm25(chunks, queries, k), "sparse")
     vectors = embed(chunks.select("chunk_id", "jurisdiction", "text"))
     dense = stage(dense_exact(vectors, embed(queries), k), "dense")

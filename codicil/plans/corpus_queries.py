@@ -182,6 +182,42 @@ def traces(spark, sf):
 
 # Normalizing, sections, chunks ---------------------------------------------
 
+# Character entities of the SQL side (the ampersand last).
+ENTITIES = (
+    ("&nbsp;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&apos;", "'"),
+    ("&sect;", "§"),
+    ("&#167;", "§"),
+    ("&para;", "¶"),
+    ("&auml;", "ä"),
+    ("&ouml;", "ö"),
+    ("&uuml;", "ü"),
+    ("&Auml;", "Ä"),
+    ("&Ouml;", "Ö"),
+    ("&Uuml;", "Ü"),
+    ("&szlig;", "ß"),
+    ("&agrave;", "à"),
+    ("&ccedil;", "ç"),
+    ("&eacute;", "é"),
+    ("&egrave;", "è"),
+    ("&ntilde;", "ñ"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&lsquo;", "‘"),
+    ("&rsquo;", "’"),
+    ("&ldquo;", "“"),
+    ("&rdquo;", "”"),
+    ("&euro;", "€"),
+    ("&amp;", "&"),
+)
+
+
 def clean_sql(html: str) -> str:
     def sub(x, pat, rep):
         return f"regexp_replace({x}, '{pat}', {rep}, 'g')"
@@ -189,7 +225,7 @@ def clean_sql(html: str) -> str:
     for t in ig.DROPPED:
         x = sub(x, rf"(?is)<{t}\b[^>]*>.*?</{t}>", "''")
     x = sub(sub(x, ig.BREAKS, "chr(10)"), "<[^>]+>", "''")
-    for name, char in ig.ENTITIES:
+    for name, char in ENTITIES:
         x = "replace({}, '{}', '{}')".format(x, name.replace("'", "''"), char.replace("'", "''"))
     x = sub(x, "[ \\t]+", "' '")
     x = sub(x, r"\s*\n\s*", "chr(10)")

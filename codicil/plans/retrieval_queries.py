@@ -376,6 +376,24 @@ def hybrid(spark, sf):
     return rt.retrieve(questions(spark, sf), scoped_chunks(spark, sf), boosts=soft_boosts())
 
 
+CHUNKS_AS_OF = """chunks AS (SELECT * FROM lv WHERE status = 'in_force' AND effective_from <= DATE '2021-01-15'
+    AND (version = 3 OR DATE '2021-01-15' < effective_from + 400)
+  QUALIFY act IS NULL OR section_no IS NULL
+    OR rank() OVER (PARTITION BY jurisdiction, act, section_no ORDER BY effective_from DESC, version DESC) = 1)"""
+
+
+@register(
+    "r10_retrieve_as_of",
+    with_(LV, Q_SCOPED, CHUNKS_AS_OF, BM25.strip(), DENSE, rrf_sql(["bm25", "dense"]), BOOSTED.format(src="fused"),
+          rerank_sql("boosted"), body="SELECT * FROM excerpts"),
+)
+def hybrid_as_of(spark, sf):
+    """On the date two versions of a section are valid; one of them is ranked, and cases are ranked with the Acts."""
+    ends = F.when(F.col("version") < 3, F.date_add("effective_from", 400))
+    dated = legal_view(spark, sf).withColumn("effective_to", ends)
+    return rt.retrieve(questions(spark, sf), dated, boosts=soft_boosts(), scope={"as_of": dt.date(2021, 1, 15)})
+
+
 @register("r11_doc_type_filter", with_(LV, body="""SELECT jurisdiction, doc_type, count(*) AS chunks, CAST(sum(len(text)) AS BIGINT) AS chars
   FROM lv WHERE doc_type IN ('case', 'regulation') AND status = 'in_force' GROUP BY ALL"""))
 def doc_type_filter(spark, sf):

@@ -204,3 +204,17 @@ def test_pins(spark):
     chunks = spark.createDataFrame([("za", "s1", 1), ("za", "s2", 2), ("gb", "s1", 3)], "jurisdiction string, snapshot_id string, v int")
     pins = spark.createDataFrame([("za", "s2")], "jurisdiction string, snapshot_id string")
     assert [r.v for r in gt.read_pinned(chunks, pins).collect()] == [2]
+
+
+def test_entities_decode_as_the_standard_library_does(spark):
+    import html
+
+    texts = [
+        "&#8211; &#xA7; &#XA7; &hellip; &iacute; &amp;lt; &amp;amp; a&b; &unknown; &#128512; &#150; &#x93;q&#x94;",
+        "&& &; &#; &#x; &lt;p&gt; &#39;x&#39; &apos; AT&T; &eacute;&Eacute;", "no reference", "", "&#0; &#xD800; &#1114112; &#999999999;",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", ig.decode_entities(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [html.unescape(t) for t in texts] and got[len(texts)] is None
+    blank = df.limit(1).select(ig.decode_entities(F.lit("a&nbsp;b&#160;c&#xa0;d")).alias("x")).first().x
+    assert blank == "a b c d"

@@ -186,13 +186,44 @@ def test_scope_keeps_marked_status_only_if_asked(chunks):
 
 def test_scope_reaches_the_scan(spark, chunks):
     path = fresh_path(spark, "scoped")
-    chunks.withColumn("effective_from", F.lit(dt.date(2020, 1, 1))).write.partitionBy("jurisdiction").parquet(path)
+    dated = chunks.withColumn("effective_from", F.lit(dt.date(2020, 1, 1))).withColumn("effective_to", F.lit(None).cast("date"))
+    dated.write.partitionBy("jurisdiction").parquet(path)
     df = rt.scope_filter(spark.read.parquet(path), dt.date(2021, 1, 1), jurisdictions=["gb"], doc_types=["statute"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "jurisdiction" in plan.split("PartitionFilters:")[1].split("]")[0]
     assert "EqualTo(doc_type,statute)" in plan or "doc_type" in plan.split("PushedFilters:")[1]
 
 
+def test_scope_over_absent_columns_is_an_error(spark, chunks):
+    for scope in ({"as_of": dt.date(2021, 1, 1)}, {"tenant_id": "t"}):
+        with pytest.raises(ValueError, match="lacks"):
+            rt.scope_filter(chunks, **scope)
+
+
+def test_retrieve_ranks_one_version_valid_on_the_date(spark):
+    day = dt.date
+    data = [
+        (1, "a1", "1", 1, day(2019, 1, 1), day(2021, 3, 1), "in_force", "t1"),
+        (2, "a1", "1", 2, day(2021, 1, 1), None, "in_force", None),
+        (3, "a1", "1", 2, day(2021, 1, 1), None, "in_force", None),
+        (4, "a1", "1", 3, day(2022, 1, 1), None, "in_force", None),
+        (5, "a1", "2", 1, day(2019, 1, 1), day(2020, 1, 1), "in_force", None),
+        (6, None, None, 1, day(2019, 1, 1), None, "in_force", None),
+        (7, None, None, 2, day(2020, 1, 1), None, "in_force", None),
+        (8, "a1", "3", 1, day(2019, 1, 1), None, "repealed", None),
+        (9, "a2", "1", 1, day(2019, 1, 1), None, "in_force", "t2"),
+    ]
+    corpus = spark.createDataFrame(
+        data, "chunk_id bigint, act string, section_no string, version int, effective_from date, effective_to date, status string, tenant_id string"
+    ).selectExpr("*", "'gb' AS jurisdiction", "'case' AS doc_type", "1 AS authority_level", "'notice' AS heading",
+                 "concat('notice period number ', chunk_id) AS text")
+    asked = spark.createDataFrame([(1, "gb", "notice period")], "query_id bigint, jurisdiction string, text string")
+    found = lambda **scope: sorted(r.chunk_id for r in rt.retrieve(asked, corpus, scope=scope).collect())
+    assert found(as_of=day(2021, 2, 1), tenant_id="t1") == [2, 3, 6, 7]
+    assert found(as_of=day(2020, 6, 1), tenant_id="t2") == [6, 7, 9]
+    assert sorted(r.chunk_id for r in rt.one_version(corpus).collect()) == [4, 5, 6, 7, 8, 9]
+
+
 def test_top_k_prunes_before_the_shuffle(spark):
     run = ranked(spark, [(1, i, i) for i in range(20)]).withColumn("score", F.rand(1))
     plan = rel.top_k(run.drop("rank"), ["query_id"], rel.best_first(), 3)._jdf.queryExecution().executedPlan().toString()
