@@ -198,13 +198,14 @@ def next_requests(times: DataFrame, after: int) -> DataFrame:
     Time is cut in cells. The answer lies in the cell of the time asked for, where
     requests and questions meet in one small group, or is the first request of a
     later cell; the first requests of a key's cells are as many as its cells in use,
-    not its requests.
+    not its requests. Both windows look back from the end, so each is one running
+    minimum; a frame up to the end is computed anew for every row.
     """
     width = max(1, after // CELLS)
     cell = lambda c: F.floor(F.col(c) / width)
     events = times.select("key", "us").withColumn("cell", cell("us"))
     asked = times.select("key", "us", (F.col("us") + after).alias("t")).withColumn("cell", cell("t"))
-    ahead = Window.partitionBy("key", "cell").orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("key", "cell").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     both = events.select("key", "cell", F.col("us").alias("t"), F.lit(None).cast("bigint").alias("us"), F.lit(1).alias("kind")).unionByName(
         asked.select("key", "cell", "t", "us", F.lit(0).alias("kind"))
     )
@@ -213,7 +214,7 @@ def next_requests(times: DataFrame, after: int) -> DataFrame:
     marks = firsts.unionByName(asked.select("key", "cell", F.lit(None).cast("bigint").alias("first"))).groupBy("key", "cell").agg(
         F.min("first").alias("first")
     )
-    beyond = Window.partitionBy("key").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    beyond = Window.partitionBy("key").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     later = marks.select("key", "cell", F.min("first").over(beyond).alias("later"))
     return here.join(later, ["key", "cell"]).select("key", "us", F.coalesce("here", "later").alias("next"))
 
