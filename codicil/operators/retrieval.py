@@ -20,6 +20,8 @@ from codicil.operators.indexing import TextIndex, chunk_counts, embed
 
 K1, B, RRF_K = 1.2, 0.75, 60
 POOL, KEEP = 50, 10
+#: Pairs of a question's term and a posting that one task scores; their sums are held in memory.
+PAIRS_A_TASK = 2_000_000
 
 
 # --- scope ----------------------------------------------------------------
@@ -91,19 +93,23 @@ def _bm25_score(
     """Best ``k`` chunks per question.
 
     Weights of checked size meet the postings dealt by chunk, so a chunk's score is
-    whole in its task and each task sends on at most ``k`` chunks a question.
+    whole in its task and each task sends on at most ``k`` chunks a question. The
+    document frequencies give the number of pairs, and that the number of tasks.
     """
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damp = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     weighted = (
         wanted.join(df, ["jurisdiction", "term"])
         .join(stats, "jurisdiction")
-        .select("query_id", "jurisdiction", "term", "avgdl", idf.alias("idf"))
+        .select("query_id", "jurisdiction", "term", "avgdl", idf.alias("idf"), "df")
     )
-    weights = stage(weighted, "weights")
+    weighted = stage(weighted, "weights")
+    weights = weighted.drop("df")
     shipped, on = small_side(weights), ["jurisdiction", "term"]
     if shipped is not weights:
-        met = hits.repartition("chunk_id").join(shipped, on)
+        pairs = weighted.agg(F.sum("df")).first()[0] or 0
+        tasks = max(hits.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_A_TASK))
+        met = hits.repartition(tasks, "chunk_id").join(shipped, on)
     else:
         met = join_hot(hits, weights, on, "chunk_id")
     scored = (
