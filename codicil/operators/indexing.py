@@ -69,16 +69,16 @@ def build_index(chunks: DataFrame, stop: DataFrame | None = None) -> TextIndex:
 
 def write_index(index: TextIndex, path: str, buckets: int = 64) -> None:
     """Store an index. Postings lie in term buckets so that a query reads only its own;
-    the rebalance hint splits buckets that a frequent term makes large."""
+    the rebalance hint splits buckets that a frequent term makes large.
+
+    Document frequencies are counted from the stored postings, so the texts are not
+    cut into terms once more for them."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    for name in ("postings", "terms"):
-        (
-            getattr(index, name)
-            .withColumn("term_bucket", bucket)
-            .hint("rebalance", "term_bucket")
-            .write.partitionBy("term_bucket")
-            .parquet(f"{path}/{name}")
-        )
+    postings = index.postings.withColumn("term_bucket", bucket)
+    postings.hint("rebalance", "term_bucket").write.partitionBy("term_bucket").parquet(f"{path}/postings")
+    held = postings.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
+    terms = held.groupBy("jurisdiction", "term", "term_bucket").agg(F.count("*").alias("df"))
+    terms.hint("rebalance", "term_bucket").write.partitionBy("term_bucket").parquet(f"{path}/terms")
     index.stats.write.parquet(f"{path}/stats")
 
 
