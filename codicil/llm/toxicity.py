@@ -24,6 +24,8 @@ _ENTRIES = 200_000
 _LONGEST = 40
 #: Words of a text, and rows of a batch, that the gathering of neighbourhoods holds at a time.
 _SPAN_WORDS = 50_000
+#: Words whose kernel is computed at a time.
+_PORTION = 1_024
 STEMS = (4, 5, 6)
 
 
@@ -94,16 +96,21 @@ class LandmarkKernel:
         self.rows *= scale((codes > 0).sum(axis=1))[None, :]
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        index = np.full(_CLASSES**ORDER, -1, np.int32)
-        index[self.keys] = np.arange(len(self.keys))
-        codes = char_codes(words)
-        out = np.zeros((len(words), len(self.landmarks)))
-        for weight, keys, there in subsequences(codes):
-            found = index[keys]
-            hit = np.flatnonzero((found >= 0) & there)
-            if len(hit):
-                out[hit] += weight * self.rows[found[hit]]
-        return out * scale((codes > 0).sum(axis=1))[:, None]
+        return np.vstack([values for _, values in self.portions(words)])
+
+    def portions(self, words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, kernel) of some words at a time; of the table of subsequences only the pages in use take memory."""
+        place = np.zeros(_CLASSES**ORDER, np.int32)
+        place[self.keys] = np.arange(1, len(self.keys) + 1)
+        for lo in range(0, len(words), _PORTION):
+            codes = char_codes(words[lo : lo + _PORTION])
+            out = np.zeros((len(codes), len(self.landmarks)))
+            for weight, keys, there in subsequences(codes):
+                found = place[keys]
+                hit = np.flatnonzero((found > 0) & there)
+                if len(hit):
+                    out[hit] += weight * self.rows[found[hit] - 1]
+            yield lo, out * scale((codes > 0).sum(axis=1))[:, None]
 
 
 @dataclass
@@ -133,6 +140,11 @@ class WordModel:
         return total * scale((codes > 0).sum(axis=1)) + self.bias
 
 
+def gram_of(words: list[str], block: int = 64) -> np.ndarray:
+    """Kernel of words among themselves, some columns at a time: few words need few subsequences."""
+    return np.hstack([LandmarkKernel(words[lo : lo + block])(words) for lo in range(0, len(words), block)])
+
+
 def farthest(kernel_of, words: list[str], n: int) -> list[str]:
     """Landmarks chosen one after another, each least like those chosen before."""
     if len(words) <= n:
@@ -175,9 +187,10 @@ def fit_words(insults: list[str], plain: list[str], n_landmarks: int = 256) -> W
         return WordModel(np.zeros(0, np.int64), np.zeros(0), 0.0, np.zeros(4))
     insults, plain = sorted(insults), sorted(plain)
     pool = insults[:: max(1, len(insults) // 600)]
-    marks = farthest(lambda ws: LandmarkKernel(ws)(ws), pool, n_landmarks // 2)
-    first = LandmarkKernel(marks)
-    likeness = first(plain).max(axis=1) if plain else np.zeros(0)
+    marks = farthest(gram_of, pool, n_landmarks // 2)
+    likeness = np.zeros(len(plain))
+    for lo, values in LandmarkKernel(marks).portions(plain):
+        likeness[lo : lo + len(values)] = values.max(axis=1)
     hard = [plain[i] for i in np.argsort(-likeness, kind="stable")[:3000]]
     easy = plain[:: max(1, len(plain) // 1000)]
     kernel = LandmarkKernel(marks + hard[: n_landmarks // 2])

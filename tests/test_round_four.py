@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codicil.functions.relational import fresh_path
+from codicil.llm import toxicity as tx
 from codicil.operators import indexing as ix
 from codicil.operators import retrieval as rt
 from codicil.operators import understanding as un
@@ -152,3 +155,19 @@ def test_references_are_found_once_for_rate_and_check(spark):
     assert vf.REF_LIST not in optimized(again) and vf.INNER_REF not in optimized(again)
     want = sorted(map(tuple, vf.section_realism(claims, held).collect()))
     assert sorted(map(tuple, again.collect())) == want and {w[-1] for w in want} == {"12", "15", "13 to 14", "(4)"}
+
+
+def test_training_words_meet_landmarks_some_at_a_time():
+    """pipeline: the driver holds no table of all subsequences times all words; the kernels are the same to the bit."""
+    random.seed(13)
+    word = lambda: "".join(random.choices("etaoinshrdlucmfwypvbgk", k=random.randint(4, 12)))
+    insults, plain = ([*{word(): 0 for _ in range(n)}] for n in (1_500, 4_000))
+    whole = tx.LandmarkKernel(insults[:150])
+    assert np.array_equal(tx.gram_of(insults[:150]), whole(insults[:150]))
+    parts = [values for _, values in whole.portions(plain[:2_500])]
+    assert len(parts) == 3 and np.array_equal(np.vstack(parts), whole(plain[:2_500]))
+    tracemalloc.start()
+    tx.fit_words(insults, plain)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6, peak
